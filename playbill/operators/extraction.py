@@ -94,12 +94,14 @@ def extract_event(url: Column, content: Column) -> Column:
     date = present(F.regexp_extract(content, _DATE, 0))
     at = F.instr(content, date)
     headline = F.regexp_replace(F.substr(content, F.lit(1), at - 1), rf"(?:{WS}|[-–|,:])+\z", "")
+    after = F.substr(content, at + F.length(date))
+    undated = F.concat(headline, F.lit(" | "), after)
     event = F.struct(
         headline.alias("title"),
         date.alias("date"),
         present(trim_text(F.regexp_extract(headline, rf"(?is)(?:@|{WS}at{WS})(.*)\z", 1))).alias("venue_name"),
-        present(trim_text(F.substr(content, at + F.length(date)))).alias("description"),
-        F.coalesce(present(F.regexp_extract(content, _PRICE, 0)), F.lit("N/A")).alias("price"),
+        present(trim_text(after)).alias("description"),
+        F.coalesce(present(F.regexp_extract(undated, _PRICE, 0)), F.lit("N/A")).alias("price"),
         present(F.regexp_extract(content, _TICKET, 1)).alias("ticket_url"),
         url.alias("url"),
     )

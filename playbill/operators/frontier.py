@@ -121,7 +121,7 @@ def add_if_absent(urls: DataFrame, extra: Sequence[str]) -> DataFrame:
 def event_links(links: Column, rule: Callable[[Column], Column] = is_event_link,
                 n: int | None = LINKS_PER_PAGE) -> Column:
     """The links of one page that lead to single events, at most `n`."""
-    chosen = F.filter(links, rule)
+    chosen = F.filter(links, lambda link: rule(link))
     return chosen if n is None else F.slice(chosen, 1, n)
 
 
