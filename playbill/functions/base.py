@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as web text uses it, Unicode spaces included. Java's \s is ASCII
 # only, so the class is spelled out.
-SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_WIDE_SPACE = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE = r"\t\n\x0B\f\r " + _WIDE_SPACE
 WS = f"[{SPACE}]"
 
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
@@ -21,13 +22,22 @@ def trim_text(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Turn every run of white space into one space and strip the ends."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    """Turn every run of white space into one space and strip the ends.
+
+    Single plain spaces, by far the most common run, are left where they are, and
+    the wide class, slow to match, is only tried on texts that may need it.
+    """
+    def run(t: Column) -> Column:
+        maybe_wide = t.contains("\u00a0") | t.rlike(r"[\x{1680}-\x{FEFF}]")
+        narrow = F.when(maybe_wide, F.regexp_replace(t, f"[{_WIDE_SPACE}]", " ")).otherwise(t)
+        return F.trim(F.regexp_replace(narrow, r"[\t-\r][\t-\r ]*| [\t-\r ]+", " "))
+
+    return let(text, run)
 
 
 def present(text: Column) -> Column:
     """The text, or null when it is empty."""
-    return F.nullif(text, F.lit(""))
+    return F.when(text != "", text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,6 +45,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) costly columns so that later filters read their values.
+
+    A filter on a plain projected column is pushed below the projection and
+    evaluates the expression a second time; it cannot pass a generator.
+    """
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    wide = df.select(*kept, F.explode(F.array(packed)).alias("_computed"))
+    return wide.select(*kept, "_computed.*")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, the unit the stored column limits count in."""
     extra = F.when(text.rlike(ASTRAL), F.regexp_count(text, F.lit(ASTRAL))).otherwise(0)

@@ -50,12 +50,16 @@ def _canonical(text: Column) -> Column:
 
 
 def _number(part: Column) -> Column:
-    return part.try_cast("int")
+    """The number in a captured group of digits; null for an absent group.
+
+    A plain cast behind a test: a failed `try_cast` costs an exception per row.
+    """
+    return F.when(part != "", part.cast("int"))
 
 
 def _month_number(part: Column) -> Column:
     name = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(part, 1, 3)))
-    return F.coalesce(_number(part), F.when(name > 0, name.cast("int")))
+    return F.when(part.rlike(r"\A\d+\z"), part.cast("int")).when(name > 0, name.cast("int"))
 
 
 def _rolled(year: Column, month: Column, day: Column) -> Column:
@@ -77,30 +81,26 @@ def _instant(p: Column, tz: str, day_first: bool) -> Column:
     year = (F.when((kind == "iso") | (raw_year > 99), raw_year)
             .otherwise(raw_year + F.when(raw_year < 50, 2000).otherwise(1900)))
 
-    hour, minute = F.coalesce(_number(p[4]), F.lit(0)), F.coalesce(_number(p[5]), F.lit(0))
-    second, milli = F.coalesce(_number(p[6]), F.lit(0)), F.coalesce(
-        _number(F.rpad(F.substring(p[7], 1, 3), 3, "0")), F.lit(0))
+    hour, minute, second = (F.coalesce(_number(p[i]), F.lit(0)) for i in (4, 5, 6))
+    milli = F.coalesce(_number(F.rpad(F.substring(p[7], 1, 3), 3, "0")), F.lit(0))
     half = F.lower(p[8])
     clock_ok = (F.when(half != "", hour.between(1, 12))
                 .otherwise((hour <= 23) | ((hour == 24) & (minute == 0) & (second == 0) & (milli == 0))))
     hour24 = (F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour))
     valid = month.between(1, 12) & day.between(1, 31) & clock_ok & (minute <= 59) & (second <= 59)
 
-    since_midnight = F.make_dt_interval(
-        F.lit(0), hour24, minute, second + milli.cast("decimal(9,6)") / 1000)
-    at = _rolled(year, month, day).cast("timestamp_ntz") + since_midnight
+    since_midnight = ((hour24 * 60 + minute) * 60 + second) * 1000 + milli
+    local = F.when(valid, F.timestamp_add(
+        "MILLISECOND", since_midnight, _rolled(year, month, day).cast("timestamp_ntz")))
 
     zone = F.lower(p[9])
-    offset = F.regexp_extract(zone, r"([+-])(\d{2}):?(\d{2})", 1)
-    off_h = F.coalesce(_number(F.substring(zone, 2, 2)), F.lit(0))
-    off_m = F.coalesce(_number(F.substring(zone, -2, 2)), F.lit(0))
-    ahead = F.make_dt_interval(F.lit(0), off_h, off_m)
-    instant = (F.when(zone == "", _local_to_utc(at, tz))
-               .when(offset == "+", at - ahead)
-               .when(offset == "-", at + ahead)
-               .otherwise(at))
-    offset_ok = (offset == "") | ((off_h <= 23) & (off_m <= 59))
-    return F.when(valid & offset_ok, instant)
+    signed = zone.rlike(r"\A[+-]")
+    off_h, off_m = (F.when(signed, F.substring(zone, start, 2).cast("int")) for start in (2, -2))
+    minutes = (off_h * 60 + off_m) * F.when(zone.startswith("-"), 1).otherwise(-1)
+    return let(local, lambda at: (
+        F.when(zone == "", _local_to_utc(at, tz))
+        .when(~signed, at)
+        .when((off_h <= 23) & (off_m <= 59), F.timestamp_add("MINUTE", minutes, at))))
 
 
 def parse_flexible_date(text: Column, tz: str = DEFAULT_ZONE, day_first: bool = False) -> Column:
@@ -111,15 +111,21 @@ def parse_flexible_date(text: Column, tz: str = DEFAULT_ZONE, day_first: bool =
     numeric shapes that have an impossible month or day are read day first and
     roll over into the next month or year.
     """
-    direct = let(F.split(_canonical(text), ";"), lambda p: _instant(p, tz, day_first))
+    def parse(text: Column) -> Column:
+        return F.coalesce(
+            let(F.split(_canonical(text), ";"), lambda p: _instant(p, tz, day_first)),
+            _overflowing(text, _YMD, (1, 2, 3), tz),
+            _overflowing(text, _DMY, (4, 3, 1), tz))
+
+    return let(text, parse)
 
-    def overflow(pattern: str, y: int, m: int, d: int) -> Column:
-        part = [F.regexp_extract(text, _whole(pattern), g).try_cast("int") for g in (y, m, d)]
-        year = F.when(part[0] < 100, part[0] + 1900).otherwise(part[0])
-        rolled = _rolled(year, part[1], part[2]).cast("timestamp_ntz")
-        return F.when(text.rlike(_whole(pattern)), _local_to_utc(rolled, tz))
 
-    return F.coalesce(direct, overflow(_YMD, 1, 2, 3), overflow(_DMY, 4, 3, 1))
+def _overflowing(text: Column, pattern: str, groups: tuple[int, int, int], tz: str) -> Column:
+    """Local midnight of a plain numeric date whose month or day is out of range."""
+    year, month, day = (_number(F.regexp_extract(text, _whole(pattern), g)) for g in groups)
+    century = F.when(year < 100, 1900).otherwise(0)
+    return F.when(text.rlike(_whole(pattern)),
+                  _local_to_utc(_rolled(year + century, month, day).cast("timestamp_ntz"), tz))
 
 
 def utc_day(at: Column) -> Column:

@@ -13,15 +13,19 @@ PAGE_BUDGET = 50000  # text units in a single-page prompt
 
 _SCRIPT = r"(?is)<script[^>]*>.*?</script>"
 _STYLE = r"(?is)<style[^>]*>.*?</style>"
-_COMMENT = r"(?s)<!--.*?-->"
 _ANCHOR = rf"""(?is)<a{WS}[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 
 # Any attribute, then the one wanted; values may be quoted or bare.
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _ATTRIBUTE = r"""[\s/]+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
-_HREF = rf"(?i)<a(?:{_ATTRIBUTE})*?[\s/]+href\s*=\s*{_VALUE}"
+# Comments, scripts and styles are matched first, so links inside them are passed over.
+_HREF = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
+         rf"|<a(?:{_ATTRIBUTE}){{0,200}}?[\s/]+href\s*=\s*{_VALUE}")
 
 _URL = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?\z"
+# An address that is already in its canonical form: nothing to fold, drop or encode.
+_CLEAN_URL = (r"\Ahttps?://[a-z0-9.-]++/[\w~!$&'()*+,;=:@%./\[\]|^-]*+"
+              r"(?:\?[\w~!$&()*+,;=:@%./?\[\]|^`{}-]*+)?(?:#[\w~!$&'()*+,;=:@%./?\[\]|^{}-]*+)?\z")
 
 
 def _without_code(html: Column) -> Column:
@@ -45,32 +49,34 @@ def text_with_links(html: Column) -> Column:
 def main_content(html: Column) -> Column:
     """Markup of the main part: the article, else `main`, else the body without
     its navigation, header, footer and side bars. Null when nothing is left."""
-    body = F.coalesce(present(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)), html)
+    body = let(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1),
+               lambda b: F.when(b != "", b).otherwise(html))
     for tag in ("nav", "header", "footer", "aside"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    found = F.coalesce(
-        present(F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)),
-        present(F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1)),
-        body,
+    return F.coalesce(
+        let(F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1), present),
+        let(F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1), present),
+        let(body, lambda b: F.when(b.rlike(r"[^\s]"), b)),
     )
-    return F.when(strip_html(found) != "", found)
 
 
 def page_text(html: Column) -> Column:
     """Readable text of a page, or null when it has no content."""
-    return text_with_links(main_content(html))
+    return let(text_with_links(main_content(html)), present)
 
 
 def choose_content(text: Column, raw_html: Column) -> Column:
     """The page text, or the stripped raw page when the text is too short."""
-    text = F.coalesce(text, F.lit(""))
-    short = (F.length(text) < MIN_TEXT) & (utf16_length(text) < MIN_TEXT)
-    return F.when(short & present(raw_html).isNotNull(), strip_html(raw_html)).otherwise(text)
+    def choose(t: Column) -> Column:
+        short = (F.length(t) < MIN_TEXT) & (utf16_length(t) < MIN_TEXT)
+        return F.when(short & F.coalesce(raw_html != "", F.lit(False)), strip_html(raw_html)).otherwise(t)
+
+    return let(F.coalesce(text, F.lit("")), choose)
 
 
 def prompt_content(text: Column, raw_html: Column, budget: int = BATCH_BUDGET) -> Column:
     """The chosen content cut to a prompt's budget."""
-    return truncate(choose_content(text, raw_html), budget)
+    return let(choose_content(text, raw_html), lambda content: truncate(content, budget))
 
 
 def hostname(url: Column) -> Column:
@@ -82,48 +88,45 @@ def hostname(url: Column) -> Column:
 def _percent(text: Column, reserved: str) -> Column:
     """Percent-encode non-ASCII, control and `reserved` characters."""
     unsafe = rf"[^\x21-\x7E]|[{reserved}]"
-    encoded = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda c: F.when(c.rlike(unsafe), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c),
-        ),
-        "",
-    )
-    return F.when(text.rlike(unsafe), encoded).otherwise(text)
+
+    def encode(c: Column) -> Column:
+        return F.when(c.rlike(unsafe), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+
+    return let(text, lambda t: F.when(
+        t.rlike(unsafe), F.array_join(F.transform(F.split(t, ""), encode), "")).otherwise(t))
 
 
 def _fold_dots(path: Column) -> Column:
     """Resolve `.` and `..` segments of an absolute path."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    folded = F.aggregate(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == ".", done)
-        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-        .otherwise(F.concat(done, F.array(s))),
-    )
-    tail = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    joined = F.concat(F.lit("/"), F.array_join(folded, "/"), tail)
-    return F.when(path.rlike(r"/\.{1,2}(/|\z)"), F.regexp_replace(joined, r"\A//\z", "/")).otherwise(path)
+    def fold(parts: Column) -> Column:
+        segments = F.aggregate(
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+            F.array().cast("array<string>"),
+            lambda done, s: F.when(s == ".", done)
+            .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .otherwise(F.concat(done, F.array(s))),
+        )
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+        return F.regexp_replace(F.concat(F.lit("/"), F.array_join(segments, "/"), tail), r"\A//\z", "/")
+
+    return F.when(path.rlike(r"/\.{1,2}(/|\z)"), let(F.split(path, "/"), fold)).otherwise(path)
 
 
 def _normalize(url: Column) -> Column:
     """Canonical text of an absolute http(s) address."""
-    def build(u: Column) -> Column:
-        part = [F.regexp_extract(u, _URL, g) for g in range(6)]
-        scheme = F.lower(part[1])
+    def build(part: Column) -> Column:
+        scheme = F.lower(part[0])
         authority = F.concat(
-            F.regexp_extract(part[2], r"\A(.*@)?", 1),
-            F.lower(F.regexp_replace(part[2], r"\A.*@", "")),
+            F.regexp_extract(part[1], r"\A(.*@)?", 1),
+            F.lower(F.regexp_replace(part[1], r"\A.*@", "")),
         )
         port = F.when(scheme == "https", F.lit(r":443\z")).otherwise(F.lit(r":80\z"))
         authority = F.regexp_replace(F.regexp_replace(authority, port, F.lit("")), r":\z", "")
-        path = F.when(part[3] == "", "/").otherwise(_percent(_fold_dots(part[3]), r'"<>`{}'))
+        path = F.when(part[2] == "", "/").otherwise(_percent(_fold_dots(part[2]), r'"<>`{}'))
         return F.concat(scheme, F.lit("://"), authority, path,
-                        _percent(part[4], r'"<>\''), _percent(part[5], r'"<>`'))
+                        _percent(part[3], r'"<>\''), _percent(part[4], r'"<>`'))
 
-    return let(url, build)
+    return let(F.array(*[F.regexp_extract(url, _URL, g) for g in range(1, 6)]), build)
 
 
 def url_parts(url: Column) -> Column:
@@ -150,9 +153,12 @@ def _resolve(href: Column, base: Column) -> Column:
             .otherwise(F.concat(base["origin"], base["folder"], h))
         )
         # No host, or one with forbidden characters, is not an address.
-        return F.when(absolute.rlike(r"""(?i)\Ahttps?://[^/?#\s<>"|\\^]+([/?#]|\z)"""), _normalize(absolute))
+        return let(absolute, lambda u: (
+            F.when(~u.contains("/.") & u.rlike(_CLEAN_URL), u)
+            .when(u.rlike(r"""(?i)\Ahttps?://[^/?#\s<>"|\\^]+([/?#]|\z)"""), _normalize(u))))
 
-    clean = F.regexp_replace(F.regexp_replace(href, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    clean = F.when(href.rlike(r"\A[\x00-\x20]|[\t\n\r]|[\x00-\x20]\z"), F.regexp_replace(
+        F.regexp_replace(href, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")).otherwise(href)
     before = F.regexp_extract(clean, r"\A[^?#]*", 0)
     slashed = F.concat(F.translate(before, "\\", "/"), F.substr(clean, F.length(before) + 1))
     return let(F.when(clean.contains("\\"), slashed).otherwise(clean), build)
@@ -164,10 +170,11 @@ def resolve_url(href: Column, base: Column) -> Column:
 
 
 def _href_value(raw: Column) -> Column:
-    value = F.regexp_replace(raw, r"""\A["']|["']\z""", "")
+    value = F.when(raw.rlike(r"""\A["']"""), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    plain = value
     for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(raw.contains("&"), plain).otherwise(value)
 
 
 def page_links(html: Column, url: Column) -> Column:
@@ -175,12 +182,13 @@ def page_links(html: Column, url: Column) -> Column:
 
     Works inside the page's own row: no explode and no shuffle.
     """
-    markup = _without_code(F.regexp_replace(html, _COMMENT, ""))
-    hrefs = F.array_distinct(F.regexp_extract_all(markup, F.lit(_HREF), F.lit(1)))
+    hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)))
     values = F.filter(F.transform(hrefs, _href_value), lambda v: v != "")
 
     def same_host(base: Column) -> Column:
         links = F.transform(values, lambda v: _resolve(v, base))
-        return F.array_distinct(F.filter(links, lambda u: hostname(u) == base["host"]))
+        here = F.concat(base["origin"], F.lit("/"))
+        return F.array_distinct(F.filter(
+            links, lambda u: F.when(u.startswith(here), True).otherwise(hostname(u) == base["host"])))
 
     return let(url_parts(url), same_host)

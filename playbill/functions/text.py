@@ -33,7 +33,8 @@ def normalize_price(raw: Column) -> Column:
 
 def price_eur(price: Column) -> Column:
     """The amount of a normalised `€n` price as an integer."""
-    return F.regexp_extract(price, r"\A€(\d+)\z", 1).try_cast("bigint")
+    digits = F.regexp_extract(price, r"\A€(\d{1,18})\z", 1)
+    return F.when(digits != "", digits.cast("bigint"))
 
 
 def normalize_url(raw: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playbill.functions.base import WS, present, trim_text
+from playbill.functions.base import WS, compute_once, let, present, trim_text
 from playbill.functions.dates import DEFAULT_ZONE, is_future, parse_flexible_date, utc_day
 from playbill.functions.rules import EXTRACTION_GENRES, OTHER_CITIES, SKIP_GENRES, city_ok, genre_ok
 from playbill.functions.text import clean_title, gig_url, name_key, normalize_price, venue_or_default
@@ -91,21 +91,27 @@ def extract_event(url: Column, content: Column) -> Column:
     The headline is what stands before the first date, the venue what follows `@`
     or `at` in it, the description what stands after the date.
     """
-    date = present(F.regexp_extract(content, _DATE, 0))
-    at = F.instr(content, date)
-    headline = F.regexp_replace(F.substr(content, F.lit(1), at - 1), rf"(?:{WS}|[-–|,:])+\z", "")
-    after = F.substr(content, at + F.length(date))
-    undated = F.concat(headline, F.lit(" | "), after)
-    event = F.struct(
-        headline.alias("title"),
-        date.alias("date"),
-        present(trim_text(F.regexp_extract(headline, rf"(?is)(?:@|{WS}at{WS})(.*)\z", 1))).alias("venue_name"),
-        present(trim_text(after)).alias("description"),
-        F.coalesce(present(F.regexp_extract(undated, _PRICE, 0)), F.lit("N/A")).alias("price"),
-        present(F.regexp_extract(content, _TICKET, 1)).alias("ticket_url"),
-        url.alias("url"),
-    )
-    return F.when(date.isNotNull() & (headline != ""), event)
+    def around(text: Column, date: Column) -> Column:
+        at = F.instr(text, date)
+        headline = F.regexp_replace(F.substr(text, F.lit(1), at - 1), rf"(?:{WS}|[-–|,:])+\z", "")
+        after = F.substr(text, at + F.length(date))
+        return let(F.struct(headline.alias("headline"), after.alias("after")),
+                   lambda s: F.when(s["headline"] != "", event(s["headline"], date, s["after"])))
+
+    def event(headline: Column, date: Column, after: Column) -> Column:
+        undated = F.concat(headline, F.lit(" | "), after)
+        return F.struct(
+            headline.alias("title"),
+            date.alias("date"),
+            present(trim_text(F.regexp_extract(headline, rf"(?is)(?:@|{WS}at{WS})(.*)\z", 1))).alias("venue_name"),
+            let(trim_text(after), present).alias("description"),
+            let(F.regexp_extract(undated, _PRICE, 0),
+                lambda p: F.when(p != "", p).otherwise("N/A")).alias("price"),
+            let(F.regexp_extract(after, _TICKET, 1), present).alias("ticket_url"),
+            url.alias("url"),
+        )
+
+    return let(F.regexp_extract(content, _DATE, 0), lambda date: F.when(date != "", around(content, date)))
 
 
 def rule_response(pages: Column) -> Column:
@@ -155,9 +161,9 @@ def normalize_gigs(records: DataFrame, tz: str = DEFAULT_ZONE, day_first: bool =
     """
     kept = [c for c in records.columns
             if c not in ("title", "date", "venue_name", "description", "price", "ticket_url", "url", "image_url")]
-    return records.select(
-        *kept, "title",
-        parse_flexible_date(F.col("date"), tz, day_first).alias("date"),
+    dated = compute_once(records, date=parse_flexible_date(F.col("date"), tz, day_first))
+    return dated.select(
+        *kept, "title", "date",
         venue_or_default(F.col("venue_name")).alias("venue_name"),
         "description",
         normalize_price(F.col("price")).alias("price"),

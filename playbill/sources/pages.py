@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill import schemas
-from playbill.functions.base import present
+from playbill.functions.base import compute_once
 from playbill.functions.html import page_links, page_text
 
 
@@ -21,12 +21,12 @@ def scrape_rows(pages: DataFrame) -> DataFrame:
     A page without markup is a failed one. Text and links come out of the same
     scan, inside the row.
     """
-    ok = present(F.col("html")).isNotNull()
+    ok = F.coalesce(F.col("html") != "", F.lit(False))
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     extra = [c for c in pages.columns if c not in ("url", "html", "error")]
-    return pages.select(
-        *extra, "url",
-        F.when(ok, page_text(F.col("html"))).alias("text"),
+    read = compute_once(pages, text=F.when(ok, page_text(F.col("html"))))
+    return read.select(
+        *extra, "url", "text",
         F.when(ok, F.col("html")).alias("raw_html"),
         ok.alias("success"),
         F.when(~ok, F.coalesce(error, F.lit("no content"))).alias("error"),

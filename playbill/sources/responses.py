@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill import schemas
+from playbill.functions.base import compute_once
 
 _STRICT = {"allowSingleQuotes": "false"}
 
@@ -40,7 +41,7 @@ def parse_gig_responses(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """
     doc = _document(F.col(column), "gigs array<string>")
     items = df.select(*keep, F.posexplode(doc["gigs"]).alias("pos", "item"))
-    parsed = items.select(*keep, "pos", F.from_json("item", schemas.MODEL_GIG, _STRICT).alias("g"))
+    parsed = compute_once(items, g=F.from_json("item", schemas.MODEL_GIG, _STRICT))
     return parsed.where(F.col("g").isNotNull()).select(*keep, "pos", "g.*")
 
 
