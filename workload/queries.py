@@ -606,7 +606,7 @@ def accepted_records(spark, sf_dir):
     return reconcile.split_valid(rows, reason)[0].select("i", "title")
 
 
-def _reconciled(spark, sf_dir, stage=reconcile.same):
+def _reconciled(spark, sf_dir, stage=materialize):
     return reconcile.reconcile(t.records(spark, sf_dir), t.stored_gigs(spark, sf_dir), t.venues(spark, sf_dir), stage)
 
 
