@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playbill.functions.base import let
 from playbill.functions.html import hostname, page_links
 from playbill.functions.rules import (
     OTHER_CITIES,
@@ -125,13 +126,20 @@ def event_links(links: Column, rule: Callable[[Column], Column] = is_event_link,
     return chosen if n is None else F.slice(chosen, 1, n)
 
 
+def detail_targets(rule: Callable[[Column], Column] = is_event_link,
+                   n: int | None = LINKS_PER_PAGE) -> Column:
+    """Detail addresses of a page (url, links): the chosen links, or the page itself
+    when it has no links at all."""
+    def choose(links: Column) -> Column:
+        return F.when(F.size(links) > 0, event_links(links, rule, n)).otherwise(F.array("url"))
+
+    return let(F.coalesce("links", F.array().cast("array<string>")), choose)
+
+
 def route_pages(pages: DataFrame, rule: Callable[[Column], Column] = is_event_link,
                 n: int | None = LINKS_PER_PAGE) -> DataFrame:
-    """Detail addresses per page (url, links): the chosen links, or the page itself
-    when it has no links at all."""
-    has_links = F.size(F.coalesce("links", F.array().cast("array<string>"))) > 0
-    targets = F.when(has_links, event_links(F.col("links"), rule, n)).otherwise(F.array("url"))
-    return pages.select(F.explode(targets).alias("url"))
+    """The detail addresses that pages (url, links) lead to."""
+    return pages.select(F.explode(detail_targets(rule, n)).alias("url"))
 
 
 def sample_key(url: Column, seed: str) -> Column:

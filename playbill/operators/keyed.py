@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A side is broadcast only when the optimizer's size estimate is below this.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 10 * 1024 * 1024
 # A key is hot when it holds more than 1/SLICES of all rows.
 SLICES = 1024
 # Unique integer keys are grouped into ranges of this width.
 RANGE_WIDTH = 1 << 17
+# Ranges whose counts are summed up together, one task per group.
+RANGES_PER_GROUP = 1 << 12
 
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int,
@@ -84,15 +86,22 @@ def lookup_join(
 def number_rows(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "row_no") -> DataFrame:
     """Number rows 1, 2, 3 ... over the whole table, without one global sort.
 
-    `bucket` cuts the order into ranges: it must not decrease along `order`, and
-    each range must be of limited size (`id_range` for unique integer keys,
-    `hash_range` for hashes). Ranges are numbered on their own and shifted by the
-    rows before them; only one count per range meets in a single task.
+    `bucket` is an integer that cuts the order into ranges: it must not decrease
+    along `order`, and a range must be of limited size (`id_range` for unique
+    integer keys, `hash_range` for hashes). Ranges are numbered on their own and
+    shifted by the rows before them. Those shifts are summed in groups of ranges,
+    so a single task only sees one count per RANGES_PER_GROUP ranges.
     """
+    def before(count: str, *keys: str) -> Column:
+        window = (W.partitionBy(*keys[:-1]) if keys[:-1] else W).orderBy(keys[-1])
+        return F.coalesce(F.sum(count).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
     ranged = df.withColumn("_b", bucket)
-    counts = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    counts = (ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_g", F.floor(F.col("_b") / RANGES_PER_GROUP)))
+    groups = counts.groupBy("_g").agg(F.sum("_c").alias("_gc")).select("_g", before("_gc", "_g").alias("_gs"))
+    starts = (counts.select("_g", "_b", before("_c", "_g", "_b").alias("_s")).join(groups, "_g")
+              .select("_b", (F.col("_s") + F.col("_gs")).alias("_start")))
     inside = W.partitionBy("_b").orderBy(*order)
     return (ranged.withColumn("_i", F.row_number().over(inside))
             .join(starts, "_b")
@@ -106,5 +115,29 @@ def id_range(key: Column, width: int = RANGE_WIDTH) -> Column:
 
 
 def hash_range(digest: Column, digits: int = 4) -> Column:
-    """Range of a hex digest: its leading digits, 16**digits even ranges."""
-    return F.substring(digest, 1, digits)
+    """Range of a hex digest: its leading digits as a number, 16**digits even ranges."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
+
+
+def page_by_range(
+    keys: DataFrame,
+    order: Sequence[str],
+    offset: int,
+    limit: int,
+    stage: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
+    """Rows `offset` to `offset + limit` of a long order, however deep.
+
+    `keys` holds just the order columns, which must be unique together. They are
+    written once in sampled ranges of even size; the ranges' counts show which of
+    them the page touches, and only those are sorted.
+    """
+    ranged = stage(keys.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_p", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    touched = starts.where((F.col("_start") < offset + limit) & (F.col("_start") + F.col("_c") > offset))
+    row = F.col("_start") + F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    return (ranged.join(F.broadcast(touched.drop("_c")), "_p").withColumn("_row", row)
+            .where((F.col("_row") > offset) & (F.col("_row") <= offset + limit))
+            .select(*order))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from playbill.functions.dates import DEFAULT_ZONE, day_label, is_future, month_key, month_label
 from playbill.functions.text import eq_ci, price_label, venue_label
-from playbill.operators.keyed import lookup_join
+from playbill.operators.keyed import lookup_join, page_by_range
+from playbill.session import materialize
 
 LISTING_LIMIT = 100
 PAGE_SIZE = 25
 MAX_PAGE_SIZE = 100
+DEEP_PAGE = 100_000  # rows a task may hold to serve a page
 
 
 def upcoming(gigs: DataFrame, as_of: str) -> DataFrame:
@@ -85,10 +87,15 @@ def find_one(rows: DataFrame, key: int) -> DataFrame:
 def page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """One page of an ordered list; sizes above the maximum are cut to it.
 
-    Each task keeps the rows up to the page's end and no more.
+    Near the start each task keeps the rows up to the page's end and no more. Deep
+    pages find their keys by range first, so no task holds the rows before them.
     """
     size = max(1, min(size, MAX_PAGE_SIZE))
-    return listing_order(rows).offset((max(number, 1) - 1) * size).limit(size)
+    offset = (max(number, 1) - 1) * size
+    if offset + size <= DEEP_PAGE:
+        return listing_order(rows).offset(offset).limit(size)
+    keys = page_by_range(rows.select("date", "id"), ["date", "id"], offset, size, materialize)
+    return listing_order(rows.join(F.broadcast(keys), ["date", "id"], "left_semi"))
 
 
 def with_total(page_rows: DataFrame, rows: DataFrame) -> DataFrame:

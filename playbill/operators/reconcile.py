@@ -75,12 +75,12 @@ class Reconciled:
     outcomes: DataFrame  # every candidate with outcome and reason
 
 
-def gig_outcomes(candidates: DataFrame, gigs: DataFrame, **skew) -> DataFrame:
+def gig_outcomes(candidates: DataFrame, gigs: DataFrame, stage: Stage = same, **skew) -> DataFrame:
     """Outcome and reason of every candidate.
 
     Each key is first reduced to one row (its first storable index, and whether it
     is stored), which partial aggregation keeps small however hot the key is; the
-    candidates then look that row up.
+    candidates then look that row up. Staging that table also gives its true size.
     """
     reason = F.coalesce(gig_reason(candidates.columns), venue_reason("venue_name"))
     keyed = (candidates.withColumn("reason", reason)
@@ -91,8 +91,8 @@ def gig_outcomes(candidates: DataFrame, gigs: DataFrame, **skew) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
     stored = gigs.select(name_key(F.col("title")).alias("title_key"), utc_day(F.col("date")).alias("day"),
                          F.lit(True).alias("stored")).distinct()
-    known = keys.join(stored, ["title_key", "day"], "left")
-    counts = keys.select("title_key", "day", "n")
+    known = stage(keys.join(stored, ["title_key", "day"], "left"), "keys")
+    counts = known.select("title_key", "day", "n")
     judged = lookup_join(keyed, known.drop("n"), ["title_key", "day"], F.col("i"), counts, **skew)
     outcome = (F.when(F.col("stored"), SKIPPED)
                .when(F.col("i") > F.col("first_valid"), SKIPPED)
@@ -146,7 +146,7 @@ def reconcile(
     highest stored id in order of `i`, so a repeated run makes the same ones.
     `width` is the range of `i` that one task numbers.
     """
-    outcomes = stage(gig_outcomes(candidates, gigs, **skew), "outcomes")
+    outcomes = stage(gig_outcomes(candidates, gigs, stage, **skew), "outcomes")
     matched = stage(match_venues(outcomes, venues, stage, width), "venues")
 
     new_venues = matched.where("is_new").select(

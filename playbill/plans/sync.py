@@ -28,6 +28,7 @@ from playbill.operators.frontier import (
     SITE_TIERS,
     add_if_absent,
     cap_hits,
+    detail_targets,
     distinct_urls,
     project_hits,
     rank_sources,
@@ -45,7 +46,7 @@ from playbill.operators.reconcile import (
     sync_stats,
 )
 from playbill.session import materialize
-from playbill.sources.pages import scrape_rows, successful, with_text
+from playbill.sources.pages import has_text, scrape_rows, successful
 from playbill.sources.seed import EXTRA_URLS
 from playbill.sources.store import Head, Store
 
@@ -101,9 +102,14 @@ def crawl_frontier(pages: DataFrame, n: int | None = MAX_DETAIL_PAGES, seed: str
     return sample_urls(distinct_urls(route_pages(linked, rule, links_per_page)), n, seed)
 
 
-def _pick(pages: DataFrame, urls: DataFrame, cap: int | None) -> DataFrame:
-    """The pages whose address is wanted; a capped list is small enough to broadcast."""
-    return pages.join(F.broadcast(urls) if cap is not None and cap <= 10_000 else urls, "url")
+def page_facts(pages: DataFrame, o: SyncOptions, budget: int | None) -> DataFrame:
+    """What a run needs of each page (url, html): the addresses it leads to, and its
+    content. One pass over the markup, which goes no further than this."""
+    rows = successful(scrape_rows(pages.select("url", "html")))
+    text, raw = F.col("text"), F.col("raw_html")
+    content = choose_content(text, raw) if budget is None else prompt_content(text, raw, budget)
+    return rows.select("url", detail_targets(o.link_rule, o.links_per_page).alias("targets"),
+                       F.when(has_text(), content).alias("content"))
 
 
 def run_sync(
@@ -124,20 +130,25 @@ def run_sync(
     o = options
     unique, sources = choose_sources(hits, o)
     sources = stage(sources, "sources")
-    raw = pages.select("url", "html")
-
-    source_cap = None if o.max_sources is None else o.max_sources + len(o.extra_urls)
-    frontier = crawl_frontier(successful_raw(_pick(raw, sources, source_cap)), o.max_details, o.seed,
-                              o.link_rule, o.links_per_page)
-    details = successful(scrape_rows(_pick(raw, frontier, o.max_details)))
-    body = (choose_content(F.col("text"), F.col("raw_html")) if fn is None or o.budget is None
-            else prompt_content(F.col("text"), F.col("raw_html"), o.budget))
-    has_text = F.coalesce(F.length("text") > 0, F.lit(False))
-    details = stage(details.select("url", "sample_key", "success", F.when(has_text, F.col("text")).alias("text"),
-                                   F.when(has_text, body).alias("content")), "details")
-
-    batches = collect_batches(chunk(with_text(details), ["sample_key", "url"],
-                                    hash_range(F.col("sample_key")), o.batch_size))
+    budget = None if fn is None else o.budget
+
+    # With caps only the few wanted pages are worked on. Without, nearly every page
+    # is wanted: work on all of them once, where they lie, and shuffle the result.
+    capped = o.max_sources is not None and o.max_details is not None
+    facts = None if capped else stage(page_facts(pages, o, budget), "pages")
+
+    def facts_of(urls: DataFrame) -> DataFrame:
+        if facts is not None:
+            return facts.join(urls, "url")
+        return page_facts(pages.join(F.broadcast(urls), "url"), o, budget)
+
+    targets = facts_of(sources).select(F.explode("targets").alias("url")).distinct()
+    frontier = stage(sample_urls(targets, o.max_details, o.seed), "frontier")
+    details = stage(facts_of(frontier).select("url", "content"), "details")
+
+    order = details.where(F.length("content") > 0).select("url").join(frontier, "url")
+    numbered = chunk(order, ["sample_key", "url"], hash_range(F.col("sample_key")), o.batch_size)
+    batches = collect_batches(details.join(numbered, "url"))
     scored = stage(score_batches(batches, fn), "scored")
     found = candidates(scored, o.tz, o.day_first)
     if fn is None:
@@ -149,11 +160,6 @@ def run_sync(
     return SyncResult(unique, sources, details, scored, found, result, stats)
 
 
-def successful_raw(pages: DataFrame) -> DataFrame:
-    """Raw pages that were read: the ones with markup."""
-    return pages.where(F.length("html") > 0)
-
-
 def sync_store(
     store: Store,
     hits: DataFrame,

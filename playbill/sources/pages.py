@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playbill import schemas
@@ -38,10 +38,14 @@ def successful(pages: DataFrame) -> DataFrame:
     return pages.where("success")
 
 
+def has_text() -> Column:
+    return F.coalesce(F.length("text") > 0, F.lit(False))
+
+
 def with_text(pages: DataFrame) -> DataFrame:
     """Successful pages with non-empty text; pages without text never reach the
     raw-page fallback."""
-    return pages.where(F.col("success") & (F.length("text") > 0))
+    return pages.where(F.col("success") & has_text())
 
 
 def scrape_counts(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playbill.operators import keyed
+from playbill.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,11 @@ def test_top_per_limits_before_the_shuffle(spark, skewed):
     top = keyed.top_per(frame, ["k"], ["id"], 2)
     assert top.where("k = 7").count() == 2
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("offset, limit", [(0, 5), (690, 25), (333, 10), (700, 5)])
+def test_page_by_range(spark, offset, limit):
+    keys = random.Random(3).sample(range(9000), 700)
+    frame = spark.createDataFrame([(k % 3, k) for k in keys], "d int, id long")
+    got = keyed.page_by_range(frame, ["d", "id"], offset, limit, materialize)
+    assert sorted(map(tuple, got.collect())) == sorted((k % 3, k) for k in keys)[offset:offset + limit]

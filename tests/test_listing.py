@@ -66,6 +66,13 @@ def test_pages(many, number, size, want):
     assert got == [r[0] for r in ordered[begin:begin + step]] and len(got) == want
 
 
+def test_deep_pages_agree(many, monkeypatch):
+    _, frame = many
+    near = [r.id for r in listing.page(frame, 5, 20).collect()]
+    monkeypatch.setattr(listing, "DEEP_PAGE", 10)
+    assert [r.id for r in listing.page(frame, 5, 20).collect()] == near
+
+
 def test_list_gigs(spark, many, store):
     rows, frame = many
     venues, _ = store
