@@ -67,11 +67,14 @@ def lookup_join(
 
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").cast("double").alias("n")).scalar()
     known = F.lit(True)
     for key in on:
         known = known & F.col(key).isNotNull()
-    hot = (counts.where(known & (F.col("n") * slices > total))
+    # One filtered aggregate serves the total and both uses of `hot`, so Spark can
+    # reuse its exchange.
+    counts = counts.where(known)
+    total = counts.agg(F.sum("n").cast("double").alias("n")).scalar()
+    hot = (counts.where(F.col("n") * slices > total)
            .select(*on, F.ceil(F.col("n") * slices / total).cast("int").alias("_k")))
 
     salt = (F.when(~known, F.pmod(F.xxhash64(spread), F.lit(slices)))

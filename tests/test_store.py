@@ -159,3 +159,19 @@ def test_jdbc_options():
     assert my["url"].startswith("jdbc:mysql://h:3306/") and my["sslMode"] == "REQUIRED"
     with pytest.raises(ValueError):
         jdbc_options({"DATABASE_CLIENT": "oracle"})
+
+
+def test_command_line(spark, tmp_path):
+    from playbill import job
+
+    hits, pages = site(spark)
+    pages.write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "hits.json").write_text("".join(
+        '{"query_idx":%d,"web":{"results":[{"url":"%s","title":"%s"}]}}\n' % (h.query_idx, h.url, h.title) for h in hits.collect()))
+    common = ["--store", str(tmp_path / "store"), "--as-of", "2026-01-01"]
+    job.main(["sync", "--hits", str(tmp_path / "hits.json"), "--pages", str(tmp_path / "pages"), "--max-details", "all", *common])
+    job.main(["listing", "--out", str(tmp_path / "listing"), *common])
+    rows = spark.read.parquet(str(tmp_path / "listing")).orderBy("date").collect()
+    assert [(r.title.lower(), r.month_label) for r in rows] == [("alpha", "May"), ("beta", "May"), ("solo", "June")]
+    job.main(["frontier", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "frontier"), "--max-details", "3"])
+    assert spark.read.parquet(str(tmp_path / "frontier")).count() == 3
