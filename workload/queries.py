@@ -79,6 +79,10 @@ links AS (
         FROM hrefs GROUP BY ALL))"""
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.spread_table(spark, sf_dir, "pages", "page_id", "url", "html")
+
+
 # --- sources ---------------------------------------------------------------
 
 def _search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +110,13 @@ def search_responses(spark, sf_dir):
 SELECT page_id, p.url, {sql_linked(MAIN)} AS text, html AS raw_html, TRUE AS success,
   (SELECT count(*) FROM links l WHERE l.page_id = p.page_id) AS n_links FROM pages p""")
 def scraped_pages(spark, sf_dir):
-    return page_source.successful(page_source.scrape_rows(t.table(spark, sf_dir, "pages"))).select(
+    return page_source.successful(page_source.scrape_rows(_pages(spark, sf_dir))).select(
         "page_id", "url", "text", "raw_html", "success", F.size("links").cast("bigint").alias("n_links"))
 
 
 @query("SELECT count(*) AS successful, CAST(0 AS BIGINT) AS failed, count(*) AS total FROM pages")
 def scrape_counts(spark, sf_dir):
-    return page_source.scrape_counts(page_source.scrape_rows(t.table(spark, sf_dir, "pages")))
+    return page_source.scrape_counts(page_source.scrape_rows(_pages(spark, sf_dir)))
 
 
 @query(f"""WITH {t.GIGS_SQL}, {t.VENUES_SQL}
@@ -192,7 +196,7 @@ SELECT l_orderkey, l_linenumber, CASE
 FROM (SELECT *, list_transform(regexp_extract_all(p, '\\d+[.,]\\d+|\\d+'),
         lambda x: CAST(replace(x, ',', '.') AS DOUBLE)) AS v FROM ({_AMOUNT})))""")
 def prices(spark, sf_dir):
-    lines = t.table(spark, sf_dir, "lineitem").selectExpr(
+    lines = t.spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").selectExpr(
         "l_orderkey", "l_linenumber", "l_orderkey * 7 + l_linenumber AS k", "CAST(l_quantity AS BIGINT) AS n")
     price = text.normalize_price(F.expr(t.PRICE_CASE.replace("VARCHAR(9)", "STRING")))
     priced = lines.select("l_orderkey", "l_linenumber", price.alias("price"))
@@ -289,7 +293,7 @@ SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 14
   ELSE w + INTERVAL 5 HOUR END AS parsed
 FROM (SELECT *, {_WHEN} AS w FROM lineitem))""")
 def flexible_dates(spark, sf_dir):
-    lines = t.table(spark, sf_dir, "lineitem").withColumn(
+    lines = t.spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").withColumn(
         "w", F.expr("l_shipdate + make_dt_interval(0, CAST(10 + l_linenumber AS INT), 5)"))
     day, at = F.col("l_shipdate"), F.col("w")
     shapes = [
@@ -338,23 +342,23 @@ def one_day(spark, sf_dir):
 
 @query(f"WITH {LINKS_SQL} SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM links")
 def links_of_pages(spark, sf_dir):
-    return frontier.with_links(t.table(spark, sf_dir, "pages")).select(
+    return frontier.with_links(_pages(spark, sf_dir)).select(
         "page_id", F.posexplode("links").alias("pos", "link"))
 
 
 @query(f"SELECT page_id, {sql_linked('html')} AS text FROM pages")
 def text_keeping_links(spark, sf_dir):
-    return t.table(spark, sf_dir, "pages").select("page_id", html.text_with_links(F.col("html")).alias("text"))
+    return _pages(spark, sf_dir).select("page_id", html.text_with_links(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, {sql_untag('html')} AS text FROM pages")
 def stripped_pages(spark, sf_dir):
-    return t.table(spark, sf_dir, "pages").select("page_id", html.strip_html(F.col("html")).alias("text"))
+    return _pages(spark, sf_dir).select("page_id", html.strip_html(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, {MAIN} AS main FROM pages")
 def main_parts(spark, sf_dir):
-    return t.table(spark, sf_dir, "pages").select("page_id", html.main_content(F.col("html")).alias("main"))
+    return _pages(spark, sf_dir).select("page_id", html.main_content(F.col("html")).alias("main"))
 
 
 _CONTENT = f"""SELECT page_id, url, CASE WHEN length(x) < 1000 THEN {sql_untag('html')} ELSE x END AS content
@@ -363,13 +367,13 @@ FROM (SELECT *, {sql_linked(MAIN)} AS x FROM pages)"""
 
 @query(f"{_CONTENT} WHERE length(x) > 0")
 def page_content(spark, sf_dir):
-    pages = page_source.with_text(page_source.scrape_rows(t.table(spark, sf_dir, "pages")))
+    pages = page_source.with_text(page_source.scrape_rows(_pages(spark, sf_dir)))
     return pages.select("page_id", "url", html.choose_content(F.col("text"), F.col("raw_html")).alias("content"))
 
 
 @query(f"SELECT page_id, substr(content, 1, 5000) AS content FROM ({_CONTENT})")
 def prompt_contents(spark, sf_dir):
-    pages = page_source.scrape_rows(t.table(spark, sf_dir, "pages"))
+    pages = page_source.scrape_rows(_pages(spark, sf_dir))
     return pages.select("page_id", html.prompt_content(F.col("text"), F.col("raw_html")).alias("content"))
 
 
@@ -453,7 +457,7 @@ def _two_letters(url: Column) -> Column:
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM links
   WHERE regexp_matches(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '^/[a-z]{{2,3}}$')) WHERE n <= 20 GROUP BY 1""")
 def event_links(spark, sf_dir):
-    pages = frontier.with_links(t.table(spark, sf_dir, "pages"))
+    pages = frontier.with_links(_pages(spark, sf_dir))
     picked = pages.select("page_id", frontier.event_links(F.col("links"), _two_letters).alias("links"))
     return picked.where(F.size("links") > 0).select("page_id", text.numbered(F.col("links")).alias("picked"))
 
@@ -475,7 +479,7 @@ _ROUTED_SQL = f"""{LINKS_SQL}, routed AS (
 
 @query(f"WITH {_ROUTED_SQL} SELECT url, count(*) AS n FROM routed GROUP BY 1")
 def routed_pages(spark, sf_dir):
-    pages = frontier.with_links(t.table(spark, sf_dir, "pages"))
+    pages = frontier.with_links(_pages(spark, sf_dir))
     return frontier.route_pages(pages, _two_letters).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -486,18 +490,18 @@ def sampled_urls(spark, sf_dir):
 
 @query(f"WITH {_ROUTED_SQL} SELECT url, md5('0' || url) AS sample_key FROM (SELECT DISTINCT url FROM routed) ORDER BY 2, 1 LIMIT 100")
 def crawl_frontier(spark, sf_dir):
-    return sync.crawl_frontier(t.table(spark, sf_dir, "pages"), rule=_two_letters)
+    return sync.crawl_frontier(_pages(spark, sf_dir), rule=_two_letters)
 
 
 @query(f"WITH {_ROUTED_SQL} SELECT DISTINCT url, md5('0' || url) AS sample_key FROM routed")
 def whole_frontier(spark, sf_dir):
-    return sync.crawl_frontier(t.table(spark, sf_dir, "pages"), n=None, rule=_two_letters)
+    return sync.crawl_frontier(_pages(spark, sf_dir), n=None, rule=_two_letters)
 
 
 # --- extraction ------------------------------------------------------------
 
 def _chunks(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").where(F.length("text") > 0).select(
+    docs = t.spread_table(spark, sf_dir, "documents", "doc_id", "text").where(F.length("text") > 0).select(
         "doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url"), F.col("text").alias("content"))
     return extraction.chunk(docs, ["doc_id"], keyed.id_range(F.col("doc_id"), 64))
 

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table's columns for work that is heavy per row: when the scan has fewer
+    partitions than the cluster has cores, as with one small file, rows are spread
+    over all of them. A scan of a large table is left as it is."""
+    rows = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 # --- gigs and venues -------------------------------------------------------
 
 _PRICE_CASES = [
@@ -165,7 +174,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.expr("o_orderkey % 19 = 0"), "{}")
             .when(F.expr("o_orderkey % 23 = 0"), '{"gigs":[]}')
             .otherwise(good))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), text.alias("response"))
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    return orders.select(F.col("o_orderkey").alias("batch"), text.alias("response"))
 
 
 # What reading those texts must give; needs `orders`.
@@ -189,7 +199,7 @@ _SITE_PRICE = "CASE o_orderkey % 4 WHEN 0 THEN '€' || (o_orderkey % 40) || '-
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One detail page per order; every second one is long, some name no date."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate").selectExpr(
         f"'{SITE}/event/' || o_orderkey AS url",
         f"""concat('<html><body><article><h1>Act ', o_custkey % 50, ' @ ', {_HALL}, '</h1><p>',
             CASE WHEN o_orderkey % 23 = 0 THEN 'soon'
