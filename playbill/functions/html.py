@@ -18,6 +18,7 @@ _ANCHOR = rf"""(?is)<a{WS}[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 # Any attribute, then the one wanted; values may be quoted or bare.
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _ATTRIBUTE = r"""[\s/]+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+# The attribute loop is bounded because Java matches it by recursion.
 # Comments, scripts and styles are matched first, so links inside them are passed over.
 _HREF = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
          rf"|<a(?:{_ATTRIBUTE}){{0,200}}?[\s/]+href\s*=\s*{_VALUE}")

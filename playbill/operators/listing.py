@@ -38,7 +38,7 @@ def populate_venue(gigs: DataFrame, venues: DataFrame, **skew) -> DataFrame:
 
 
 def populate_few(gigs: DataFrame, venues: DataFrame) -> DataFrame:
-    """`populate_venue` for a result that a limit already bounds: only the venues it
+    """`populate_venue` for one page of at most MAX_PAGE_SIZE rows: only the venues it
     names are looked up, so neither table is shuffled."""
     wanted = gigs.where(F.col("venue_id").isNotNull()).select(F.col("venue_id").alias("id")).distinct()
     few = venues.join(F.broadcast(wanted), "id", "left_semi").select(
@@ -125,7 +125,7 @@ def month_counts(gigs: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
 
 
 def by_month(listing: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
-    """A limited, dated listing as month groups: flat rows with the group's label, its
+    """A listing of at most MAX_PAGE_SIZE rows as month groups: flat rows with the group's label, its
     rank by first appearance and the row's place in the group."""
     keyed = listing.withColumn("month_key", month_key(F.col("date"), tz))
     inside = W.partitionBy("month_key").orderBy("date", "id")
@@ -136,12 +136,12 @@ def by_month(listing: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
 
 def upcoming_listing(gigs: DataFrame, venues: DataFrame, as_of: str, tz: str = DEFAULT_ZONE,
                      n: int = LISTING_LIMIT) -> DataFrame:
-    """The next `n` gigs with venue, labels and month groups.
+    """The next `n` gigs (at most MAX_PAGE_SIZE) with venue, labels and month groups.
 
     The limit comes before the venue lookup: the scan keeps `n` rows per task and
     everything after works on those `n`.
     """
-    rows = populate_few(top(upcoming(gigs, as_of), n), venues)
+    rows = populate_few(top(upcoming(gigs, as_of), min(n, MAX_PAGE_SIZE)), venues)
     label = day_label(F.col("date"), tz)
     return by_month(
         rows.withColumn("weekday", label["weekday"])

@@ -50,6 +50,8 @@ from playbill.sources.pages import has_text, scrape_rows, successful
 from playbill.sources.seed import EXTRA_URLS
 from playbill.sources.store import Head, Store
 
+# Lists of wanted pages up to this length are broadcast.
+_FEW_PAGES = 10_000
 # Batches whose records one task numbers.
 _BATCHES_PER_RANGE = 4096
 
@@ -132,10 +134,11 @@ def run_sync(
     sources = stage(sources, "sources")
     budget = None if fn is None else o.budget
 
-    # With caps only the few wanted pages are worked on. Without, nearly every page
+    # With low caps only the few wanted pages are worked on. Without, nearly every page
     # is wanted: work on all of them once, where they lie, and shuffle the result.
-    capped = o.max_sources is not None and o.max_details is not None
-    facts = None if capped else stage(page_facts(pages, o, budget), "pages")
+    caps = (o.max_sources, o.max_details)
+    few = all(cap is not None and cap + len(o.extra_urls) <= _FEW_PAGES for cap in caps)
+    facts = None if few else stage(page_facts(pages, o, budget), "pages")
 
     def facts_of(urls: DataFrame) -> DataFrame:
         if facts is not None:
