@@ -9,13 +9,22 @@ lowered one by one; the pattern below finds the words.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
 import regex
 
+# Code points that the regex module already counts as letters or numbers but this Python's
+# Unicode tables do not; the tokenizers' library is no newer than the latter.
+_LATE = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")))
 # The file's word pattern, with white space as Unicode defines it.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^\p{{White_Space}}{L}{N}]+"
+WORD = regex.compile(_PATTERN.format(L=r"\p{L}", N=r"\p{N}"))
+_HIGH = re.compile(f"[{min(_LATE)}-\U0010ffff]") if _LATE else re.compile("(?!)")
+_LATE_SET = frozenset(_LATE)
+# Slower, so only for texts that hold such a code point.
+_LATE_WORD = regex.compile("(?V1)" + _PATTERN.format(L=rf"[\p{{L}}--[{_LATE}]]", N=rf"[\p{{N}}--[{_LATE}]]")) if _LATE else WORD
 # Byte-level alphabets write these bytes as themselves, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -104,7 +113,9 @@ class Vocabulary:
 
 def find_words(text: str) -> list[str]:
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        late = _HIGH.search(text) and not _LATE_SET.isdisjoint(text)
+        return (_LATE_WORD if late else WORD).findall(text)
     return WORD.findall(text.lower())
 
 
