@@ -32,7 +32,7 @@ from llm.wordpieces import PairTable, Vocabulary, symbols
 
 MODEL = "word_bpe_49k.json"
 # Words whose ids one Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -214,8 +214,9 @@ def decode_ids(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = np.array(coder(path).vocab.text, object)
         for batch in batches:
-            out = [None if x is None else " ".join(text[np.frombuffer(x, "<u4")].tolist()) for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
+            for part in slices(batch, "_ids"):
+                out = [None if x is None else " ".join(text[np.frombuffer(x, "<u4")].tolist()) for x in part.column("_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
 
     return picked.mapInArrow(run, _fields(picked, keep, "text string"))
 
