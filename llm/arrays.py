@@ -100,3 +100,32 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = int(count.sum())
     shift = np.repeat(start - (np.cumsum(count) - count), count)
     return shift + np.arange(total, dtype=np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of a partition that is sorted by integer `keys`, cut so that no group spans two of
+    them: (rows, start of every group plus the end). Only the last group waits for the next batch."""
+    rest: list[pa.RecordBatch] = []
+
+    def cut(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            v = rows.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if len(rest) > 1 and all(rest[0].column(k)[0].equals(batch.column(k)[batch.num_rows - 1]) for k in keys):
+            continue
+        rows = pa.Table.from_batches(rest)
+        starts = cut(rows)
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts
+        rest = rows.slice(starts[-1]).to_batches()
+    if rest:
+        rows = pa.Table.from_batches(rest)
+        yield rows, np.r_[cut(rows), rows.num_rows]
