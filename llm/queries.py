@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from llm import op1_token_counts, op2_toxicity, op3_chat, op5_language, op8_bpe
+from llm import op1_token_counts, op2_toxicity, op3_chat, op4_embeddings, op5_language, op7_jaccard, op8_bpe
 
 QUERIES = {
     "op1_token_counts": op1_token_counts.op1_token_counts,
     "op2_toxicity": op2_toxicity.op2_toxicity,
     "op3_chat": op3_chat.op3_chat,
+    "op4_embeddings": op4_embeddings.op4_embeddings,
     "op5_language": op5_language.op5_language,
+    "op7_jaccard": op7_jaccard.op7_jaccard,
     "op8_bpe": op8_bpe.op8_bpe,
 }
-ORACLES = {"op3_chat": op3_chat.SQL}
+ORACLES = {"op3_chat": op3_chat.SQL, "op4_embeddings": op4_embeddings.SQL}
