@@ -6,8 +6,10 @@ Words are runs of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from llm.arrays import SpanHash, mix
+from llm.arrays import SpanHash, mix, utf8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -60,3 +62,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
     out, row = out[fresh], row[fresh]
     return out, np.searchsorted(row, np.arange(rows + 1))
+
+
+def letter_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of every row plus the total): runs of letters and digits
+    (ASCII ones, and every byte beyond ASCII) in lower case; other marks separate."""
+    data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
+    inside = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(inside & (np.r_[True, ~inside[:-1]][: len(data)] | edge[:-1]))
+    end = np.flatnonzero(inside & (np.r_[~inside[1:], True][: len(data)] | edge[1:])) + 1
+    return SpanHash(data).spans(start, end), np.searchsorted(start, offsets)
