@@ -176,12 +176,13 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
              names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """`keep` columns of `df` with the predicted language and its score."""
-    picked = df.select(*keep, F.col(text).alias("_text"))
+    source = text if text in keep else "_text"
+    picked = df.select(*keep, *([F.col(text).alias(source)] if source == "_text" else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                column = part.column("_text")
+            for part in slices(batch, source):
+                column = part.column(source)
                 lang, score = model.predict(trigram_counts(column))
                 worded = pc.match_substring_regex(column.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
                 lang, score = np.where(worded, lang, UNKNOWN), np.where(worded, score, 0.0)

@@ -20,7 +20,6 @@ a null id comes before all others and is never cut.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,9 +84,10 @@ def segment_rows(docs: DataFrame, width: int, full: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, start long, windows int, anchor long, whole long" if full else "anchor long")
 
 
-def packed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, z): whole texts, compressed for the shuffle."""
-    picked = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def packed(df: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, z, columns `keep`): whole texts, compressed for the shuffle."""
+    picked = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
+    more = [f"_{c}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -96,9 +96,11 @@ def packed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 data, offsets = utf8(part.column("text"))
                 raw, at = data.tobytes(), offsets.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([press.compress(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())], ["doc_id", "z"])
+                    [part.column("doc_id"), pa.array([press.compress(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary()),
+                     *(part.column(c) for c in more)], ["doc_id", "z", *more])
 
-    return picked.mapInArrow(run, "doc_id long, z binary")
+    fields = "".join(f", `{c}` {picked.schema[c].dataType.simpleString()}" for c in more)
+    return picked.mapInArrow(run, "doc_id long, z binary" + fields)
 
 
 def cut_segments(texts: DataFrame, width: int) -> DataFrame:
@@ -210,35 +212,43 @@ def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .unionByName(window_repeats(cut.where("many"), width)))
 
 
-def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): spans are the maximal removed runs (start, length), kept the
-    remaining bytes end to end."""
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, keep: tuple[str, ...] = (),
+                    as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept, columns `keep`): spans are the maximal removed runs (start,
+    length), kept the remaining bytes end to end; `as_text`: as a string, without the bytes of
+    characters that a removed run cuts in two."""
     spans = stored(repeated_windows(df, doc_id, text, width), "spans").groupBy("doc_id").agg(
         F.collect_list(F.struct("start", F.col("windows").cast("long").alias("windows"))).alias("_spans"))
-    texts = packed(df.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text).join(spans, "doc_id", "left")
+    texts = packed(df, doc_id, text, keep).join(spans, "doc_id", "left")
+    more = [f"_{c}" for c in keep]
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+    def cut(raw: bytes, runs: list[dict] | None) -> tuple[int, list[dict], bytes | str]:
+        merged: list[list[int]] = []
+        for s, e in sorted((r["start"], min(len(raw), r["start"] + r["windows"] + width - 1)) for r in runs or ()):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            elif e > s:
+                merged.append([s, e])
+        edges = [0, *(x for m in merged for x in m), len(raw)]
+        parts = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+        kept = "".join(p.decode("utf-8", "ignore") for p in parts) if as_text else b"".join(parts)
+        return len(raw), [{"start": s, "length": e - s} for s, e in merged], kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in slices(batch, "z", 1 << 19):
-                out = []
-                for z, runs in zip(part.column("z").to_pylist(), part.column("_spans").to_pylist()):
-                    raw = press.decompress(z)
-                    merged: list[list[int]] = []
-                    for s, e in sorted((r["start"], min(len(raw), r["start"] + r["windows"] + width - 1)) for r in runs or ()):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        elif e > s:
-                            merged.append([s, e])
-                    edges = [0, *(x for m in merged for x in m), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    out.append((len(raw), [{"start": s, "length": e - s} for s, e in merged], kept))
-                n, cuts, kept = zip(*out)
-                spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cuts, spans_type),
-                                                  pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
-
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary").withColumnRenamed("doc_id", doc_id)
+                n, cuts, kept = zip(*(cut(press.decompress(z), runs) for z, runs in
+                                      zip(part.column("z").to_pylist(), part.column("_spans").to_pylist())))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cuts, spans_type), pa.array(kept, pa.string() if as_text else pa.binary()),
+                     *(part.column(c) for c in more)], ["doc_id", "n_bytes", "spans", "kept", *more])
+
+    fields = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in more)
+    out = texts.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept "
+                           + ("string" if as_text else "binary") + fields)
+    return out.select(F.col("doc_id").alias(doc_id), "n_bytes", "spans", "kept", *(F.col(m).alias(c) for m, c in zip(more, keep)))
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
