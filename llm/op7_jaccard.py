@@ -12,8 +12,8 @@ a column among its first `prefix(n)` in any order of the columns that all docume
    counted is discarded.
 3. Rows whose prefix is not covered that way (they hold too many frequent columns) form a
    second matrix. Its columns are ordered by exact frequency, and every column's rows are
-   multiplied with the column's smallest row; only rows that do not link there meet the
-   column's other rows too.
+   multiplied with one row of it, then, where they are not in its component, with another
+   one; the last turn takes all pairs of a column that are still in different components.
 4. Surviving pairs get their exact overlap over all columns.
 
 No column, pair or partner is capped. Components come from alternating star steps.
@@ -26,6 +26,7 @@ id but different texts count as one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from llm.shingles import shingle_sets
 from llm.tables import documents, stored
 
 SIZE, LEAST = 5, 75
+# Turns of step 3; the last one takes all pairs that are left.
+TURNS = 2
 # A column with more rows than this is set apart for step 3.
 FREQUENT = 32
 
@@ -80,6 +83,13 @@ def _alike(a: str, b: str, least: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * least) & (F.col(b) * 100 >= F.col(a) * least)
 
 
+def _can_reach(x: tuple[str, str], y: tuple[str, str], least: int) -> Column:
+    """Whether rows of sizes n that share their columns at places i, and none before, can link."""
+    (nx, ix), (ny, iy) = x, y
+    most = F.least(F.col(nx) - F.col(ix), F.col(ny) - F.col(iy))
+    return _alike(nx, ny, least) & linked(F.col(nx), F.col(ny), most, least)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of rows of `sets` that link, by the overlap of their whole sets."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("hs").alias("ha"))
@@ -113,12 +123,39 @@ def light_pairs(shared: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def rare_columns(sets: DataFrame, least: int) -> DataFrame:
-    """Step 3: (h, doc_id, n), every row's prefix when its rarest columns come first."""
+    """Step 3: (h, doc_id, n, i), every row's prefix when its rarest columns come first; i: the place."""
     cells = sets.select("doc_id", "n", F.explode("hs").alias("h"))
     counts = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     rows = (cells.join(counts, "h").groupBy("doc_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("cs")))
-    return (rows.select("doc_id", "n", F.explode(F.slice("cs", F.lit(1), prefix(F.col("n"), least))).alias("x"))
-            .where("x.c > 1").select("doc_id", "n", F.col("x.h").alias("h")))
+    return (rows.select("doc_id", "n", F.posexplode(F.slice("cs", F.lit(1), prefix(F.col("n"), least))).alias("i", "x"))
+            .where("x.c > 1").select("doc_id", "n", "i", F.col("x.h").alias("h")))
+
+
+def split_columns(columns: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h, doc_id, n, i, g) of the columns whose rows are in several components g."""
+    rows = columns.select("h", "doc_id", "n", "i").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "h", "doc_id", "n", "i", F.coalesce("component", "doc_id").alias("g"))
+    several = rows.groupBy("h").agg(F.min("g").alias("one"), F.max("g").alias("two")).where("one <> two").select("h")
+    return rows.join(several, "h")
+
+
+def spokes(columns: DataFrame, least: int, order: Column) -> DataFrame:
+    """Pairs (a, b) of each column's first row by `order` with its other rows, but for rows of one
+    component; as many as there are cells."""
+    rows = columns if "g" in columns.columns else columns.withColumn("g", F.col("doc_id"))
+    row = F.struct("doc_id", "n", "i", "g")
+    hubs = rows.groupBy("h").agg(F.min_by(row, F.struct(order, "doc_id")).alias("hub"))
+    return (rows.join(hubs, "h").where((F.col("g") != F.col("hub.g")) & _can_reach(("n", "i"), ("hub.n", "hub.i"), least))
+            .select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct())
+
+
+def all_pairs(columns: DataFrame, least: int) -> DataFrame:
+    """Pairs of rows of a column that are in different components. In the first column that two rows
+    share, the places bound their overlap; a pair that fails there is never made."""
+    one = columns.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("g").alias("ga"))
+    two = columns.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("g").alias("gb"))
+    pairs = one.join(two, "h").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _can_reach(("na", "ia"), ("nb", "ib"), least))
+    return pairs.select("a", "b").distinct()
 
 
 def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, least: int = LEAST) -> DataFrame:
@@ -140,20 +177,15 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stored(shingle_rows(texts, "doc_id", "text", size, None).select("doc_id", "n", "hs"), "sets")
 
     columns = stored(rare_columns(sets.join(rest, "doc_id", "left_semi"), least), "columns")
-    hubs = columns.groupBy("h").agg(F.min_by("doc_id", "doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hn"))
-    spokes = columns.join(hubs, "h").where("doc_id <> hub")
-    star = spokes.where(_alike("n", "hn", least)).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tied = stored(verify(pairs.unionByName(star).distinct(), sets, least), "tied")
-
-    # Rows that do not link with a column's smallest row meet the column's other rows.
-    loose = stored(spokes.join(tied.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")), ["hub", "doc_id"], "left_anti")
-                   .select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), "hub"), "loose")
-    others = columns.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"))
-    left = (loose.join(others, "h").where((F.col("x") != F.col("y")) & (F.col("y") != F.col("hub")) & _alike("nx", "ny", least))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    late = verify(left.join(tied, ["a", "b"], "left_anti"), sets, least)
-
-    groups = components(tied.unionByName(late), "a", "b")
+    found = [stored(verify(pairs.unionByName(spokes(columns, least, F.col("doc_id"))).distinct(), sets, least), "tied")]
+    # Rows that one component already holds need not meet again. Other rows of each column are tried
+    # before the rest, so that few rows of different components are left in one column.
+    for turn in range(1, TURNS + 1):
+        apart = stored(split_columns(columns, components(reduce(DataFrame.unionByName, found), "a", "b")), "apart")
+        met = spokes(apart, least, F.xxhash64("h", "doc_id", F.lit(turn))) if turn < TURNS else all_pairs(apart, least)
+        found.append(stored(verify(met, sets, least), "tied"))
+
+    groups = components(reduce(DataFrame.unionByName, found), "a", "b")
     place = rep.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(place, "doc_id", "left")
     return out.select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
