@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import op1_token_counts, op2_toxicity, op3_chat, op4_embeddings, op5_language, op6_suffix, op7_jaccard, op8_bpe, op10_decontaminate
+from llm import op1_token_counts, op2_toxicity, op3_chat, op4_embeddings, op5_language, op6_suffix, op7_jaccard, op8_bpe, op9_token_files, op10_decontaminate
 
 QUERIES = {
     "op1_token_counts": op1_token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix": op6_suffix.op6_suffix,
     "op7_jaccard": op7_jaccard.op7_jaccard,
     "op8_bpe": op8_bpe.op8_bpe,
+    "op9_token_files": op9_token_files.op9_token_files,
     "op10_decontaminate": op10_decontaminate.op10_decontaminate,
 }
 ORACLES = {"op3_chat": op3_chat.SQL, "op4_embeddings": op4_embeddings.SQL}
