@@ -46,6 +46,7 @@ BLOCK = 4096
 # Blocks that are coded side by side.
 LANES = 1024
 MAGIC = b"TIB1"
+FILE = "part int, block int, record binary, doc_id long, first long, n_tokens long"
 _TOP, _BOTTOM = np.uint64(1 << 24), 1 << 16
 _SCALE = 12  # bits of a hit's odds
 _CONTEXTS = 1 << 12
@@ -376,7 +377,7 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
         yield from cut(True)
         yield from code()
 
-    made = ordered.mapInArrow(run, "part int, block int, record binary, doc_id long, first long, n_tokens long")
+    made = ordered.mapInArrow(run, FILE)
     both = made.withColumn("kind", F.when(F.col("record").isNull(), "docs").otherwise("blocks"))
     both.write.partitionBy("kind").parquet(path)
 
@@ -384,7 +385,7 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document's ids (little-endian unsigned 32-bit integers)
     and the place of its first one in the whole file."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(FILE + ", kind string").parquet(path)
     # One row per part: their number is fixed by the writer, not by the documents.
     sizes = rows.where("kind = 'docs'").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))

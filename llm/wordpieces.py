@@ -14,15 +14,19 @@ import unicodedata
 
 import numpy as np
 import regex
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-# Code points that the regex module already counts as letters or numbers but this Python's
-# Unicode tables do not; the tokenizers' library is no newer than the latter.
-_LATE = "".join(regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")))
+# Code points newer than this Python's Unicode tables, and which of them the tokenizers' library does
+# not count as letters or numbers although the regex module does.
+_NEW = "".join(regex.findall(r"\P{Cn}", "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")))
+_OTHER = {c for part, _ in pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed").pre_tokenize_str(_NEW) for c in part} if _NEW else set()
+_LATE = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", _NEW) if c in _OTHER)
 # The file's word pattern, with white space as Unicode defines it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^\p{{White_Space}}{L}{N}]+"
 WORD = regex.compile(_PATTERN.format(L=r"\p{L}", N=r"\p{N}"))
-_HIGH = re.compile(f"[{min(_LATE)}-\U0010ffff]") if _LATE else re.compile("(?!)")
-_LATE_SET = frozenset(_LATE)
+_HIGH = re.compile(f"[{min(_NEW)}-\U0010ffff]") if _NEW else re.compile("(?!)")
+_NEW_SET = frozenset(_NEW)
+_NFC, _LOWER = normalizers.NFC(), normalizers.Lowercase()
 # Slower, so only for texts that hold such a code point.
 _LATE_WORD = regex.compile("(?V1)" + _PATTERN.format(L=rf"[\p{{L}}--[{_LATE}]]", N=rf"[\p{{N}}--[{_LATE}]]")) if _LATE else WORD
 # Byte-level alphabets write these bytes as themselves, the others from U+0100 on.
@@ -113,9 +117,9 @@ class Vocabulary:
 
 def find_words(text: str) -> list[str]:
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        late = _HIGH.search(text) and not _LATE_SET.isdisjoint(text)
-        return (_LATE_WORD if late else WORD).findall(text)
+        if _HIGH.search(text) and not _NEW_SET.isdisjoint(text):
+            return _LATE_WORD.findall(_LOWER.normalize_str(_NFC.normalize_str(text)))
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return WORD.findall(text.lower())
 
 
