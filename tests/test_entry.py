@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from workload.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
