@@ -33,13 +33,13 @@ from llm.arrays import SpanHash, ragged, run_starts, slices, utf8, whole_groups
 from llm.suffixes import common_prefixes, suffix_arrays
 from llm.tables import documents, stored
 
-WIDTH, ANCHOR, SHARD = 100, 32, 48
+WIDTH, ANCHOR, SHARD = 100, 32, 16
 # Bytes of shards whose suffix arrays are built together.
-LANES_BYTES = 1 << 21
+LANES_BYTES = 1 << 20
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start inside the row, windows, anchor hash, hash of the covered bytes)."""
+def segments(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, full: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start inside the row, windows, anchor hash, hash of the covered bytes if `full`)."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none, none, none, none, none
@@ -62,7 +62,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) ->
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(windows)])
     start = windows[first]
-    whole = SpanHash(data, seed=2).spans(start, start + count + width - 1)
+    whole = SpanHash(data, seed=2).spans(start, start + count + width - 1) if full else hashes[:0]
     return row[start], start - offsets[row[start]], count, hashes[at[first]].view(np.int64), whole.view(np.int64)
 
 
@@ -72,7 +72,7 @@ def segment_rows(docs: DataFrame, width: int, full: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, start, count, anchor, whole = segments(*utf8(part.column("text")), width, ANCHOR)
+                row, start, count, anchor, whole = segments(*utf8(part.column("text")), width, ANCHOR, full)
                 if not full:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
                     continue
@@ -199,7 +199,7 @@ def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, start, windows): runs of windows of `width` bytes that also start earlier."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
     common = segment_rows(docs, width, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    segs = stored(segment_rows(docs, width, True).join(common, "anchor"), "segments")
+    segs = stored(segment_rows(docs, width, True).join(common.hint("shuffle_hash"), "anchor"), "segments")
     kinds = stored(segs.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
     firsts = kinds.where("n > 1").select("anchor", "whole", F.struct("first.doc_id", "first.start").alias("first"))
     later = (segs.join(firsts, ["anchor", "whole"]).where(F.struct("doc_id", "start") > F.col("first"))
