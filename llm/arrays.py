@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-# Bytes of text that one slice of a batch holds (a longer text is a slice of its own).
-SLICE_BYTES = 1 << 21
+# Bytes of text and rows that one slice of a batch holds (a longer text is a slice of its own).
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 1024
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -81,11 +81,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds about `most` bytes of text."""
+    """Cut a batch so that a slice holds about `most` bytes of text and SLICE_ROWS rows at most."""
     _, offsets = utf8(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield batch.slice(at, end - at)
         at = end
 
