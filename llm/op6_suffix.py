@@ -35,7 +35,7 @@ from llm.tables import documents, stored
 
 WIDTH, ANCHOR, SHARD = 100, 32, 16
 # Bytes of shards whose suffix arrays are built together.
-LANES_BYTES = 1 << 20
+LANES_BYTES = 1 << 19
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, full: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,13 +110,13 @@ def cut_segments(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, z, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "places"))):
-                raw = press.decompress(z)
-                out += [(p["anchor"], doc_id, p["start"], p["windows"], p["many"], raw[p["start"] : p["start"] + p["windows"] + width - 1])
-                        for p in places]
-            for a in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[a : a + 20_000]), kinds)],
+            for part in slices(batch, "z", 1 << 17):
+                out: list[tuple] = []
+                for doc_id, z, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "z", "places"))):
+                    raw = press.decompress(z)
+                    out += [(p["anchor"], doc_id, p["start"], p["windows"], p["many"], raw[p["start"] : p["start"] + p["windows"] + width - 1])
+                            for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)],
                                                  ["anchor", "doc_id", "start", "windows", "many", "bytes"])
 
     return texts.mapInArrow(run, "anchor long, doc_id long, start long, windows int, many boolean, bytes binary")
@@ -238,7 +238,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, "z", 1 << 19):
+            for part in slices(batch, "z", 1 << 18):
                 n, cuts, kept = zip(*(cut(press.decompress(z), runs) for z, runs in
                                       zip(part.column("z").to_pylist(), part.column("_spans").to_pylist())))
                 yield pa.RecordBatch.from_arrays(
