@@ -48,15 +48,19 @@ def text_with_links(html: Column) -> Column:
 
 
 def main_content(html: Column) -> Column:
-    """Markup of the main part: the article, else `main`, else the body without
-    its navigation, header, footer and side bars. Null when nothing is left."""
+    """Markup of the main part: all articles in order, else all of `main`, else the body
+    without its navigation, header, footer and side bars. Null when nothing is left."""
+
+    def every(tag: str) -> Column:
+        return F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), " ")
+
     body = let(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1),
                lambda b: F.when(b != "", b).otherwise(html))
     for tag in ("nav", "header", "footer", "aside"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     return F.coalesce(
-        let(F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1), present),
-        let(F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*?)</main>", 1), present),
+        let(every("article"), present),
+        let(every("main"), present),
         let(body, lambda b: F.when(b.rlike(r"[^\s]"), b)),
     )
 

@@ -17,7 +17,7 @@ def normalize_price(raw: Column) -> Column:
     """`€n`, `Free`, `Sold Out` or null.
 
     The amount is the smallest number in the text, rounded down; a comma is a
-    decimal point. Amounts that round to zero are null.
+    decimal point. Amounts that round to zero, or have more than 18 digits, are null; more than 15 digits lose their last ones.
     """
     text = trim_text(raw)
     numbers = F.regexp_extract_all(text, F.lit(r"(\d+[.,]\d+|\d+)"), F.lit(1))
@@ -27,7 +27,7 @@ def normalize_price(raw: Column) -> Column:
         F.when(text.isNull() | text.isin(*NO_PRICE), F.lit(None).cast("string"))
         .when(text.rlike(f"(?i)sold{WS}*out"), "Sold Out")
         .when(text.rlike("(?i)free"), "Free")
-        .when(amount > 0, F.concat(F.lit("€"), amount.cast("string")))
+        .when((lowest < 1e18) & (amount > 0), F.concat(F.lit("€"), amount.cast("string")))
     )
 
 

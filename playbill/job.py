@@ -14,7 +14,6 @@ from __future__ import annotations
 import argparse
 
 from playbill.functions.dates import DEFAULT_ZONE
-from playbill.operators.frontier import MAX_DETAIL_PAGES, MAX_SOURCES
 from playbill.operators.listing import LISTING_LIMIT, upcoming_listing
 from playbill.plans.sync import SyncOptions, crawl_frontier, sync_store
 from playbill.session import build_session
@@ -35,15 +34,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--tz", default=DEFAULT_ZONE)
     parser.add_argument("--clear", action="store_true")
     parser.add_argument("--seed", default="0")
-    parser.add_argument("--max-sources", type=_limit, default=MAX_SOURCES, help="a number, or `all`")
-    parser.add_argument("--max-details", type=_limit, default=MAX_DETAIL_PAGES, help="a number, or `all`")
+    for name in ("hits-per-query", "max-sources", "links-per-page", "max-details"):
+        parser.add_argument(f"--{name}", type=_limit, default=None, help="a number, or `all` (default)")
     parser.add_argument("--limit", type=int, default=LISTING_LIMIT)
     args = parser.parse_args(argv)
 
     spark = build_session(f"playbill-{args.command}")
     if args.command == "sync":
         options = SyncOptions(as_of=args.as_of, tz=args.tz, seed=args.seed,
-                              max_sources=args.max_sources, max_details=args.max_details)
+                              hits_per_query=args.hits_per_query, max_sources=args.max_sources,
+                              links_per_page=args.links_per_page, max_details=args.max_details)
         _, result = sync_store(Store(spark, args.store), read_search_hits(spark, args.hits),
                                spark.read.parquet(args.pages), options, clear=args.clear)
         print(result.stats.first().asDict())
@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> None:
         upcoming_listing(store.gigs(), store.venues(), args.as_of, args.tz, args.limit).write.mode(
             "overwrite").parquet(args.out)
     else:
-        crawl_frontier(spark.read.parquet(args.pages), args.max_details, args.seed).write.mode(
+        crawl_frontier(spark.read.parquet(args.pages), args.max_details, args.seed, links_per_page=args.links_per_page).write.mode(
             "overwrite").parquet(args.out)
 
 

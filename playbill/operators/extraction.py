@@ -85,18 +85,37 @@ _PRICE = (rf"(?i)sold\s*out|free (?:entry|admission)|€\s*{_AMOUNT}(?:\s*-\s*
 _TICKET = rf"\((https?://[^\s()]*(?:{'|'.join(s.replace('.', r'[.]') for s in TICKET_SITES)})[^\s()]*)\)"
 
 
-def extract_event(url: Column, content: Column) -> Column:
-    """The event a detail page announces, by rule; null when it names no date.
+def extract_events(url: Column, content: Column) -> Column:
+    """The events a detail page announces, by rule, one for each date it names.
 
-    The headline is what stands before the first date, the venue what follows `@`
-    or `at` in it, the description what stands after the date.
+    The headline is what stands before the date, the venue what follows `@` or `at` in
+    it, the description what stands after the date. Text between two dates belongs to
+    the first one's description up to its last full stop, closing bracket or bar, and to
+    the second one's headline after that.
     """
-    def around(text: Column, date: Column) -> Column:
-        at = F.instr(text, date)
-        headline = F.regexp_replace(F.substr(text, F.lit(1), at - 1), rf"(?:{WS}|[-–|,:])+\z", "")
-        after = F.substr(text, at + F.length(date))
-        return let(F.struct(headline.alias("headline"), after.alias("after")),
-                   lambda s: F.when(s["headline"] != "", event(s["headline"], date, s["after"])))
+    def headline_of(text: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}+", ""), rf"(?:{WS}|[-–|,:])+\z", "")
+
+    def cut(between: Column) -> Column:
+        """(rest of the description, next headline)"""
+        rest = F.regexp_extract(between, rf"(?s)\A(.*[.!?;)|•])(?={WS})", 1)
+        return F.struct(rest.alias("rest"), F.substr(between, F.length(rest) + 1).alias("head"))
+
+    def cut_at(piece: Column) -> Column:
+        return let(F.regexp_replace(piece, rf"(?:{WS}|[-–|,:])+\z", ""), cut)
+
+    def around(dates: Column) -> Column:
+        pieces = F.split(content, _DATE, -1)
+        count = F.size(dates)
+
+        def one(date: Column, k: Column) -> Column:
+            before, behind = F.get(pieces, k), F.get(pieces, k + 1)
+            headline = headline_of(F.when(k == 0, before).otherwise(cut_at(before)["head"]))
+            after = F.when(k == count - 1, behind).otherwise(cut_at(behind)["rest"])
+            return let(F.struct(headline.alias("headline"), after.alias("after")),
+                       lambda s: F.when(s["headline"] != "", event(s["headline"], date, s["after"])))
+
+        return F.filter(F.transform(dates, one), lambda e: e.isNotNull())
 
     def event(headline: Column, date: Column, after: Column) -> Column:
         undated = F.concat(headline, F.lit(" | "), after)
@@ -111,13 +130,13 @@ def extract_event(url: Column, content: Column) -> Column:
             url.alias("url"),
         )
 
-    return let(F.regexp_extract(content, _DATE, 0), lambda date: F.when(date != "", around(content, date)))
+    return let(F.coalesce(F.regexp_extract_all(content, F.lit(f"({_DATE})"), F.lit(1)), F.array().cast("array<string>")), around)
 
 
 def rule_response(pages: Column) -> Column:
     """The default scorer: a response text for one batch, made by rule."""
-    events = F.transform(pages, lambda p: extract_event(p["url"], p["content"]))
-    return F.to_json(F.struct(F.filter(events, lambda e: e.isNotNull()).alias("gigs")))
+    events = F.flatten(F.transform(pages, lambda p: extract_events(p["url"], p["content"])))
+    return F.to_json(F.struct(events.alias("gigs")))
 
 
 def score_batches(batches: DataFrame, fn: Callable[[str], str] | None = None) -> DataFrame:
@@ -203,10 +222,10 @@ def apply_rules(
 
 
 def extraction_index(batch: Column, pos: Column) -> Column:
-    """Order of a record inside a run, as one unique number."""
-    fits = (pos < F.lit(1 << POSITION_BITS)) & (batch < F.lit(1 << (62 - POSITION_BITS)))
-    packed = F.shiftleft(batch, POSITION_BITS).bitwiseOR(pos.cast("bigint"))
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("extraction index out of range")).cast("bigint"))
+    """Order of a record inside a run, as one unique number; null for a batch number or
+    position that does not fit, which makes the record an error and stops nothing."""
+    fits = pos.between(0, (1 << POSITION_BITS) - 1) & batch.between(0, (1 << (62 - POSITION_BITS)) - 1)
+    return F.when(fits, F.shiftleft(batch, POSITION_BITS).bitwiseOR(pos.cast("bigint")))
 
 
 def candidates(scored: DataFrame, tz: str = DEFAULT_ZONE, day_first: bool = False) -> DataFrame:

@@ -20,11 +20,6 @@ from playbill.functions.rules import (
 )
 from playbill.operators.keyed import first_by, lookup_join, top_per
 
-HITS_PER_QUERY = 20
-LINKS_PER_PAGE = 20
-MAX_SOURCES = 10
-MAX_DETAIL_PAGES = 100
-
 # Source tiers by site: lower is better (fixed values). Unlisted sites rank 4.
 SITE_TIERS = {
     "viva.gr": 1, "more.com": 1, "ticketservices.gr": 1, "athensvoice.gr": 1, "lifo.gr": 1, "rocking.gr": 1,
@@ -45,9 +40,9 @@ def merge_hits(*hits: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), hits)
 
 
-def cap_hits(hits: DataFrame, n: int = HITS_PER_QUERY) -> DataFrame:
-    """At most `n` hits of each query, the best ranked ones."""
-    return top_per(hits, ["query_idx"], ["rank"], min(n, HITS_PER_QUERY))
+def cap_hits(hits: DataFrame, n: int | None = None) -> DataFrame:
+    """At most `n` hits of each query, the best ranked ones; None keeps all."""
+    return hits if n is None else top_per(hits, ["query_idx"], ["rank"], n)
 
 
 def unique_hits(hits: DataFrame) -> DataFrame:
@@ -67,7 +62,7 @@ def site(host: Column) -> Column:
 def rank_sources(
     hits: DataFrame,
     tiers: Mapping[str, int] | DataFrame = SITE_TIERS,
-    n: int | None = MAX_SOURCES,
+    n: int | None = None,
     other_cities: Sequence[str] = OTHER_CITIES,
 ) -> DataFrame:
     """The best `n` source pages, from as many different hosts as possible.
@@ -75,8 +70,9 @@ def rank_sources(
     Social, resale and past-event pages, other cities and skipped genres are out.
     Every host offers its best page before any host offers a second one; within a
     round lower tiers come first, and last-resort sites come after all others.
-    `n=None` keeps and ranks every page that passes. `tiers` maps a site or host
-    to its tier; a table (host, tier) serves when the list is long.
+    `n=None` keeps and ranks every page that passes. `tiers` maps a host or site to its
+    tier, as a mapping or, when the list is long, a table (host, tier); the host's own
+    tier comes before its site's, and the better of two rows for one name counts.
     """
     words = F.concat_ws(" ", "title", "description")
     host = hostname(F.col("url"))
@@ -92,7 +88,10 @@ def rank_sources(
     )
     if isinstance(tiers, DataFrame):
         spread = F.concat_ws(":", "query_idx", "rank", "url")
-        known = lookup_join(kept, tiers.select("host", F.col("tier").alias("_tier")), ["host"], spread)
+        table = tiers.groupBy("host").agg(F.min("tier").alias("_tier"))
+        known = lookup_join(kept, table, ["host"], spread)
+        by_site = table.select(F.col("host").alias("site"), F.col("_tier").alias("_site_tier"))
+        known = lookup_join(known, by_site, ["site"], spread).withColumn("_tier", F.coalesce("_tier", "_site_tier")).drop("_site_tier")
     else:
         table = F.create_map(*[F.lit(x) for pair in tiers.items() for x in pair])
         known = kept.withColumn("_tier", F.coalesce(table[F.col("host")], table[F.col("site")]))
@@ -120,14 +119,14 @@ def add_if_absent(urls: DataFrame, extra: Sequence[str]) -> DataFrame:
 
 
 def event_links(links: Column, rule: Callable[[Column], Column] = is_event_link,
-                n: int | None = LINKS_PER_PAGE) -> Column:
-    """The links of one page that lead to single events, at most `n`."""
+                n: int | None = None) -> Column:
+    """The links of one page that lead to single events; with `n`, its first n."""
     chosen = F.filter(links, lambda link: rule(link))
     return chosen if n is None else F.slice(chosen, 1, n)
 
 
 def detail_targets(rule: Callable[[Column], Column] = is_event_link,
-                   n: int | None = LINKS_PER_PAGE) -> Column:
+                   n: int | None = None) -> Column:
     """Detail addresses of a page (url, links): the chosen links, or the page itself
     when it has no links at all."""
     def choose(links: Column) -> Column:
@@ -137,7 +136,7 @@ def detail_targets(rule: Callable[[Column], Column] = is_event_link,
 
 
 def route_pages(pages: DataFrame, rule: Callable[[Column], Column] = is_event_link,
-                n: int | None = LINKS_PER_PAGE) -> DataFrame:
+                n: int | None = None) -> DataFrame:
     """The detail addresses that pages (url, links) lead to."""
     return pages.select(F.explode(detail_targets(rule, n)).alias("url"))
 
@@ -146,8 +145,8 @@ def sample_key(url: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), url))
 
 
-def sample_urls(urls: DataFrame, n: int | None = MAX_DETAIL_PAGES, seed: str = "0") -> DataFrame:
-    """A reproducible random sample of `n` addresses, spread over all sources.
+def sample_urls(urls: DataFrame, n: int | None = None, seed: str = "0") -> DataFrame:
+    """A reproducible random sample of `n` addresses, spread over all sources; None keeps all.
 
     Ordered by a seeded hash, which does not depend on partitioning.
     """

@@ -16,7 +16,7 @@ from playbill.session import materialize
 LISTING_LIMIT = 100
 PAGE_SIZE = 25
 MAX_PAGE_SIZE = 100
-DEEP_PAGE = 100_000  # rows a task may hold to serve a page
+DEEP_PAGE = 100_000  # rows a task may hold to serve a page; beyond, ranges find the same rows
 
 
 def upcoming(gigs: DataFrame, as_of: str) -> DataFrame:
@@ -85,17 +85,24 @@ def find_one(rows: DataFrame, key: int) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of an ordered list; sizes above the maximum are cut to it.
+    """One page of an ordered list; a size above the maximum is an error.
 
     Near the start each task keeps the rows up to the page's end and no more. Deep
     pages find their keys by range first, so no task holds the rows before them.
     """
-    size = max(1, min(size, MAX_PAGE_SIZE))
+    if not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page size {size} is not between 1 and {MAX_PAGE_SIZE}")
     offset = (max(number, 1) - 1) * size
     if offset + size <= DEEP_PAGE:
         return listing_order(rows).offset(offset).limit(size)
     keys = page_by_range(rows.select("date", "id"), ["date", "id"], offset, size, materialize)
-    return listing_order(rows.join(F.broadcast(keys), ["date", "id"], "left_semi"))
+    first = keys.orderBy("_row").first()
+    if first is None:
+        return rows.limit(0)
+    # At most `size` keys; null dates count, and equal rows before the page are passed over.
+    wanted = keys.select(F.col("date").alias("_date"), F.col("id").alias("_id")).distinct()
+    found = rows.join(F.broadcast(wanted), rows["date"].eqNullSafe(F.col("_date")) & rows["id"].eqNullSafe(F.col("_id")), "left_semi")
+    return listing_order(found).offset(first["_row"] - first["_first"]).limit(size)
 
 
 def with_total(page_rows: DataFrame, rows: DataFrame) -> DataFrame:
@@ -125,23 +132,27 @@ def month_counts(gigs: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
 
 
 def by_month(listing: DataFrame, tz: str = DEFAULT_ZONE) -> DataFrame:
-    """A listing of at most MAX_PAGE_SIZE rows as month groups: flat rows with the group's label, its
-    rank by first appearance and the row's place in the group."""
+    """A listing as month groups: flat rows with the group's label, its rank by first
+    appearance and the row's place in the group. Only the months are ranked in one task."""
     keyed = listing.withColumn("month_key", month_key(F.col("date"), tz))
     inside = W.partitionBy("month_key").orderBy("date", "id")
-    return (keyed.withColumn("month_label", month_label(F.col("month_key")))
-            .withColumn("group_no", F.dense_rank().over(W.orderBy("month_key")))
+    months = keyed.select("month_key").distinct().select(
+        F.col("month_key").alias("_month"), F.row_number().over(W.orderBy("month_key")).alias("group_no"))
+    return (keyed.join(months, keyed["month_key"].eqNullSafe(F.col("_month")), "left").drop("_month")
+            .withColumn("month_label", month_label(F.col("month_key")))
             .withColumn("place", F.row_number().over(inside)))
 
 
 def upcoming_listing(gigs: DataFrame, venues: DataFrame, as_of: str, tz: str = DEFAULT_ZONE,
                      n: int = LISTING_LIMIT) -> DataFrame:
-    """The next `n` gigs (at most MAX_PAGE_SIZE) with venue, labels and month groups.
+    """The next `n` gigs with venue, labels and month groups; more than MAX_PAGE_SIZE is an error.
 
     The limit comes before the venue lookup: the scan keeps `n` rows per task and
     everything after works on those `n`.
     """
-    rows = populate_few(top(upcoming(gigs, as_of), min(n, MAX_PAGE_SIZE)), venues)
+    if not 1 <= n <= MAX_PAGE_SIZE:
+        raise ValueError(f"{n} rows are not between 1 and {MAX_PAGE_SIZE}")
+    rows = populate_few(top(upcoming(gigs, as_of), n), venues)
     label = day_label(F.col("date"), tz)
     return by_month(
         rows.withColumn("weekday", label["weekday"])

@@ -82,13 +82,17 @@ def gig_outcomes(candidates: DataFrame, gigs: DataFrame, stage: Stage = same, **
     is stored), which partial aggregation keeps small however hot the key is; the
     candidates then look that row up. Staging that table also gives its true size.
     """
-    reason = F.coalesce(gig_reason(candidates.columns), venue_reason("venue_name"))
+    reason = F.coalesce(F.when(F.col("i").isNull(), "no_index"), gig_reason(candidates.columns), venue_reason("venue_name"))
     keyed = (candidates.withColumn("reason", reason)
              .withColumn("title_key", name_key(F.col("title")))
              .withColumn("day", utc_day(F.col("date"))))
     keys = keyed.groupBy("title_key", "day").agg(
         F.min(F.when(F.col("reason").isNull(), F.col("i"))).alias("first_valid"),
         F.count(F.lit(1)).alias("n"))
+    if "month" in gigs.columns:
+        # Stored by month folder: the folders of other months are not read.
+        months = keyed.where(F.col("day").isNotNull()).select(F.date_format("day", "yyyy-MM").alias("month")).distinct()
+        gigs = gigs.join(months, "month", "left_semi")
     stored = gigs.select(name_key(F.col("title")).alias("title_key"), utc_day(F.col("date")).alias("day"),
                          F.lit(True).alias("stored")).distinct()
     known = stage(keys.join(stored, ["title_key", "day"], "left"), "keys")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions.dates import DEFAULT_ZONE
-from playbill.functions.html import BATCH_BUDGET, choose_content, prompt_content
+from playbill.functions.html import choose_content, prompt_content
 from playbill.functions.rules import EXTRACTION_GENRES, OTHER_CITIES, SKIP_GENRES, is_event_link
 from playbill.operators.extraction import (
     BATCH_SIZE,
@@ -21,10 +21,6 @@ from playbill.operators.extraction import (
     score_batches,
 )
 from playbill.operators.frontier import (
-    HITS_PER_QUERY,
-    LINKS_PER_PAGE,
-    MAX_DETAIL_PAGES,
-    MAX_SOURCES,
     SITE_TIERS,
     add_if_absent,
     cap_hits,
@@ -50,8 +46,6 @@ from playbill.sources.pages import has_text, scrape_rows, successful
 from playbill.sources.seed import EXTRA_URLS
 from playbill.sources.store import Head, Store
 
-# Lists of wanted pages up to this length are broadcast.
-_FEW_PAGES = 10_000
 # Batches whose records one task numbers.
 _BATCHES_PER_RANGE = 4096
 
@@ -61,10 +55,11 @@ class SyncOptions:
     as_of: str                                # UTC day; earlier events are dropped by rule
     tz: str = DEFAULT_ZONE
     day_first: bool = False
-    hits_per_query: int = HITS_PER_QUERY
-    max_sources: int | None = MAX_SOURCES     # None reads every source page that passes
-    links_per_page: int | None = LINKS_PER_PAGE
-    max_details: int | None = MAX_DETAIL_PAGES  # None reads every detail page
+    # None, here and below, takes everything: hits, source pages that pass, links, detail pages.
+    hits_per_query: int | None = None
+    max_sources: int | None = None
+    links_per_page: int | None = None
+    max_details: int | None = None
     seed: str = "0"
     extra_urls: Sequence[str] = tuple(EXTRA_URLS)
     tiers: object = field(default_factory=lambda: SITE_TIERS)
@@ -73,7 +68,7 @@ class SyncOptions:
     skip_genres: Sequence[str] = SKIP_GENRES
     link_rule: Callable[[Column], Column] = is_event_link
     batch_size: int = BATCH_SIZE
-    budget: int | None = BATCH_BUDGET         # prompt text per page; the rules read whole texts
+    budget: int | None = None                 # text units of a page that the rules or a model read
 
 
 @dataclass
@@ -96,22 +91,26 @@ def choose_sources(hits: DataFrame, o: SyncOptions) -> tuple[DataFrame, DataFram
     return unique, add_if_absent(ranked, o.extra_urls).where(some)
 
 
-def crawl_frontier(pages: DataFrame, n: int | None = MAX_DETAIL_PAGES, seed: str = "0",
+def crawl_frontier(pages: DataFrame, n: int | None = None, seed: str = "0",
                    rule: Callable[[Column], Column] = is_event_link,
-                   links_per_page: int | None = LINKS_PER_PAGE) -> DataFrame:
+                   links_per_page: int | None = None) -> DataFrame:
     """Detail addresses found on pages (url, html): each once, then sampled."""
     linked = with_links(pages.select("url", "html"))
     return sample_urls(distinct_urls(route_pages(linked, rule, links_per_page)), n, seed)
 
 
-def page_facts(pages: DataFrame, o: SyncOptions, budget: int | None) -> DataFrame:
+def page_facts(pages: DataFrame, o: SyncOptions) -> DataFrame:
     """What a run needs of each page (url, html): the addresses it leads to, and its
-    content. One pass over the markup, which goes no further than this."""
+    content. One pass over the markup, which goes no further than this. Of several rows
+    for one address the one with the longest content counts, then the larger text."""
+    budget = o.budget
     rows = successful(scrape_rows(pages.select("url", "html")))
     text, raw = F.col("text"), F.col("raw_html")
     content = choose_content(text, raw) if budget is None else prompt_content(text, raw, budget)
-    return rows.select("url", detail_targets(o.link_rule, o.links_per_page).alias("targets"),
-                       F.when(has_text(), content).alias("content"))
+    facts = rows.select("url", detail_targets(o.link_rule, o.links_per_page).alias("targets"),
+                        F.when(has_text(), content).alias("content"))
+    best = F.max_by(F.struct("targets", "content"), F.struct(F.length("content"), "content", F.xxhash64("targets")))
+    return facts.groupBy("url").agg(best.alias("f")).select("url", "f.targets", "f.content")
 
 
 def run_sync(
@@ -132,22 +131,12 @@ def run_sync(
     o = options
     unique, sources = choose_sources(hits, o)
     sources = stage(sources, "sources")
-    budget = None if fn is None else o.budget
+    # All pages are worked on once, where they lie; markup is never shuffled.
+    facts = stage(page_facts(pages, o), "pages")
 
-    # With low caps only the few wanted pages are worked on. Without, nearly every page
-    # is wanted: work on all of them once, where they lie, and shuffle the result.
-    caps = (o.max_sources, o.max_details)
-    few = all(cap is not None and cap + len(o.extra_urls) <= _FEW_PAGES for cap in caps)
-    facts = None if few else stage(page_facts(pages, o, budget), "pages")
-
-    def facts_of(urls: DataFrame) -> DataFrame:
-        if facts is not None:
-            return facts.join(urls, "url")
-        return page_facts(pages.join(F.broadcast(urls), "url"), o, budget)
-
-    targets = facts_of(sources).select(F.explode("targets").alias("url")).distinct()
+    targets = facts.join(sources, "url").select(F.explode("targets").alias("url")).distinct()
     frontier = stage(sample_urls(targets, o.max_details, o.seed), "frontier")
-    details = stage(facts_of(frontier).select("url", "content"), "details")
+    details = stage(facts.join(frontier, "url").select("url", "content"), "details")
 
     order = details.where(F.length("content") > 0).select("url").join(frontier, "url")
     numbered = chunk(order, ["sample_key", "url"], hash_range(F.col("sample_key")), o.batch_size)
@@ -173,10 +162,10 @@ def sync_store(
 ) -> tuple[Head, SyncResult]:
     """One run against a store. With `clear`, only manual gigs survive; the new state
     is complete before readers see it."""
-    gigs, venues = store.gigs().drop("month"), store.venues()
+    gigs, venues = store.gigs(), store.venues()
     if clear:
         gigs, _ = clear_non_manual(gigs)
     result = run_sync(hits, pages, gigs, venues, options, fn)
     new = result.reconciled
-    head = store.replace(gigs, new.gigs, new.venues) if clear else store.append(new.gigs, new.venues)
+    head = store.replace(gigs.drop("month"), new.gigs, new.venues) if clear else store.append(new.gigs, new.venues)
     return head, result

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from playbill.functions.dates import DEFAULT_ZONE
 from playbill.operators.extraction import POSITION_BITS, candidates
+from playbill.operators.keyed import id_range, number_rows
 from playbill.operators.reconcile import reconcile
 from playbill.session import materialize
 from playbill.sources.store import Store
@@ -24,7 +26,13 @@ def apply_batch(store: Store, responses: DataFrame, source: str, batch_id: int,
     if store.done(source, batch_id):
         return
     head = store.head()
-    found = materialize(candidates(responses, tz, day_first), "candidates")
+    # Files of different runs may repeat or lack batch numbers, so rows get numbers of their own,
+    # in order of batch, then of file and text.
+    file = F.col("file") if "file" in responses.columns else F.lit(None).cast("string")
+    spread = responses.select(F.coalesce("batch", F.lit(-1)).alias("batch"), "response", file.alias("file"))
+    numbered = number_rows(spread, ["batch", "file", "response"], id_range(F.col("batch")), "_no")
+    unique = numbered.select((F.col("_no") - 1).alias("batch"), "response")
+    found = materialize(candidates(unique, tz, day_first), "candidates")
     result = reconcile(found, store.gigs(head), store.venues(head), materialize,
                        width=4096 << POSITION_BITS)
     store.append(result.gigs, result.venues, source, batch_id)
@@ -44,7 +52,7 @@ def start_incremental(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     store = Store(spark, store_root)
-    return (reader.json(in_dir).writeStream
+    return (reader.json(in_dir).select("batch", "response", F.col("_metadata.file_path").alias("file")).writeStream
             .foreachBatch(lambda df, batch_id: apply_batch(store, df, source, batch_id, tz))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)

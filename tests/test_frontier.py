@@ -14,7 +14,8 @@ def hits(spark):
 
 
 def test_cap_and_first(hits):
-    capped = frontier.cap_hits(hits, 50)
+    assert frontier.cap_hits(hits).count() == frontier.cap_hits(hits, 50).count() == 60
+    capped = frontier.cap_hits(hits, 20)
     assert capped.count() == 40 and capped.agg(F.max("rank")).first()[0] == 19
     unique = frontier.unique_hits(capped)
     assert unique.count() == 20 and {r.query_idx for r in unique.collect()} == {0}
@@ -30,8 +31,13 @@ def test_rank_sources_takes_turns(spark):
     got = [r.url for r in frontier.rank_sources(hits, n=4).collect()]
     assert got == ["https://www.viva.gr/a", "https://blog.gr/1", "https://www.viva.gr/b", "https://blog.gr/2"]
     assert frontier.rank_sources(hits, n=None).count() == 5
-    table = spark.createDataFrame([("blog.gr", 1)], "host string, tier int")
+    table = spark.createDataFrame([("blog.gr", 1), ("blog.gr", 3), ("viva.gr", 2)], "host string, tier int")
     assert [r.url for r in frontier.rank_sources(hits, table, n=1).collect()] == ["https://blog.gr/1"]
+    # A site's name serves its hosts in either form, and the host's own row goes first.
+    for form in (table, {"blog.gr": 1, "viva.gr": 2}):
+        assert {r.url: r.tier for r in frontier.rank_sources(hits, form).collect()}["https://www.viva.gr/a"] == 2
+    own = spark.createDataFrame([("www.viva.gr", 5), ("viva.gr", 2)], "host string, tier int")
+    assert {r.url: r.tier for r in frontier.rank_sources(hits, own).collect()}["https://www.viva.gr/a"] == 5
 
 
 def test_add_if_absent(spark):
@@ -43,7 +49,9 @@ def test_no_hits_means_no_sources(spark, hits):
     none = choose_sources(hits.limit(0), SyncOptions(as_of="2026-01-01"))[1]
     assert none.count() == 0
     some = choose_sources(hits, SyncOptions(as_of="2026-01-01"))[1]
-    assert some.count() == frontier.MAX_SOURCES + 2
+    assert some.count() == 30 + 2
+    few = choose_sources(hits, SyncOptions(as_of="2026-01-01", max_sources=10))[1]
+    assert few.count() == 10 + 2
 
 
 def test_route_pages(spark):

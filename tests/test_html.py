@@ -57,8 +57,9 @@ def test_main_content(apply):
     pages = ["<body><nav>n</nav><article><p>a</p></article><footer>f</footer></body>",
              "<body><nav>n</nav><main id=m>b</main></body>",
              "<body><header>h</header><nav class=x>n</nav><p>c</p><aside>s</aside><footer>f</footer></body>",
-             "<body><nav>n</nav></body>", ""]
-    assert apply(html.page_text, pages) == ["a", "b", "c", None, None]
+             "<body><nav>n</nav></body>", "", "<article>one</article><nav>n</nav><article class=x>two</article> <article> </article>",
+             "<main>m1</main><p>between</p><main>m2</main>"]
+    assert apply(html.page_text, pages) == ["a", "b", "c", None, None, "one two", "m1 m2"]
 
 
 def test_choose_content(spark):

@@ -74,4 +74,6 @@ def test_page_by_range(spark, offset, limit):
     keys = random.Random(3).sample(range(9000), 700)
     frame = spark.createDataFrame([(k % 3, k) for k in keys], "d int, id long")
     got = keyed.page_by_range(frame, ["d", "id"], offset, limit, materialize)
-    assert sorted(map(tuple, got.collect())) == sorted((k % 3, k) for k in keys)[offset:offset + limit]
+    rows = got.collect()
+    assert [r._row for r in sorted(rows)] == [r._first for r in sorted(rows)] == list(range(offset + 1, offset + 1 + len(rows)))
+    assert sorted((r.d, r.id) for r in rows) == sorted((k % 3, k) for k in keys)[offset:offset + limit]

@@ -60,7 +60,11 @@ def many(spark):
 def test_pages(many, number, size, want):
     rows, frame = many
     ordered = sorted(rows, key=lambda r: (r[2], r[0]))
-    step = max(1, min(size, 100))
+    if not 1 <= size <= 100:
+        with pytest.raises(ValueError, match="page size"):
+            listing.page(frame, number, size)
+        return
+    step = size
     begin = (max(number, 1) - 1) * step
     got = [r.id for r in listing.page(frame, number, size).collect()]
     assert got == [r[0] for r in ordered[begin:begin + step]] and len(got) == want
@@ -73,6 +77,22 @@ def test_deep_pages_agree(many, monkeypatch):
     assert [r.id for r in listing.page(frame, 5, 20).collect()] == near
 
 
+def test_deep_pages_keep_nulls_and_ties(spark, monkeypatch):
+    at = datetime(2026, 1, 1)
+    rows = [(k, None if k % 3 == 0 else at) for k in range(8)] + [(7, at)] * 6
+    frame = spark.createDataFrame(rows, "id long, date timestamp_ntz").repartition(3)
+    want = sorted(((r[1] is not None, r[1] or at, r[0]) for r in rows))
+    monkeypatch.setattr(listing, "DEEP_PAGE", 0)
+    for number in range(1, 7):
+        got = [(r.date is not None, r.date or at, r.id) for r in listing.page(frame, number, 3).collect()]
+        assert got == want[3 * number - 3 : 3 * number]
+
+
+def test_too_many_rows_is_an_error(spark, store):
+    with pytest.raises(ValueError, match="300 rows"):
+        listing.upcoming_listing(store[1], store[0], "2026-01-01", n=300)
+
+
 def test_list_gigs(spark, many, store):
     rows, frame = many
     venues, _ = store

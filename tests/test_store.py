@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from playbill import schemas
 from playbill.operators.listing import upcoming
+from playbill.operators.reconcile import gig_outcomes
 from playbill.plans.sync import SyncOptions, sync_store
 from playbill.sources.jdbc import jdbc_options
 from playbill.sources.pages import scrape_counts, scrape_rows, successful, with_text
@@ -137,6 +138,38 @@ def test_incremental_runs(spark, tmp_path):
     assert db.head() == head and db.gigs().count() == 3
 
 
+def test_batch_numbers_need_not_be_unique(spark, tmp_path):
+    source, root, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    texts = [(0, "Alpha"), (0, "ALPHA"), (None, "Beta"), (None, "beta"), (1 << 40, "Gamma"), (-5, "Delta"), (0, "Alpha")]
+    for k, (batch, title) in enumerate(texts):
+        spark.createDataFrame([(batch, '{"gigs":[{"title":"%s","date":"2026-05-01","venue_name":"V"}]}' % title)],
+                              "batch long, response string").coalesce(1).write.json(f"{source}-{k}")
+    frame = spark.read.schema("batch long, response string").json([f"{source}-{k}" for k in range(len(texts))])
+    frame.coalesce(1).write.json(source)
+    start_incremental(spark, source, root, check).awaitTermination()
+    start_incremental(spark, source, root, check).awaitTermination()
+    db = Store(spark, root)
+    assert sorted(r.title.lower() for r in db.gigs().collect()) == ["alpha", "beta", "delta", "gamma"]
+    assert len({r.id for r in db.gigs().collect()}) == 4 and db.venues().count() == 1
+
+
+def test_pages_count_once(spark, db):
+    hits, pages = site(spark)
+    old = pages.select("url", F.lit("<p>short</p>").alias("html"))
+    _, result = sync_store(db, hits, pages.unionByName(pages).unionByName(old.where("html is null")), SyncOptions(as_of="2026-01-01"))
+    stats = result.stats.first()
+    assert (stats.scraped_urls, stats.gigs_extracted, stats.gigs_created) == (6, 4, 3)
+
+
+def test_only_months_of_the_records_are_read(spark, db):
+    rows = [gig(k, f"T{k}") for k in range(3)]
+    db.append(spark.createDataFrame(rows, schemas.GIG), spark.createDataFrame([], schemas.VENUE))
+    found = spark.createDataFrame([(0, "New", datetime(2030, 1, 1), "V", None, None, "")],
+                                  "i long, title string, date timestamp_ntz, venue_name string, description string, price string, url string")
+    plan = gig_outcomes(found, db.gigs())._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
 def test_incremental_equals_one_batch(spark, tmp_path):
     rows = [(b, '{"gigs":[%s]}' % ",".join(
         f'{{"title":"T{(b * 7 + k) % 9}","date":"2026-05-0{(b + k) % 4 + 1}","venue_name":"V{k}"}}' for k in range(3))) for b in range(12)]

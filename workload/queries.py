@@ -227,8 +227,8 @@ def urls(spark, sf_dir):
 def names(spark, sf_dir):
     return t.table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        text.clean_title(F.expr("'Band ' || o_custkey || CASE o_orderkey % 4 WHEN 0 THEN ' @ KYTTARO' WHEN 1 THEN "
-                                "' at Venue' WHEN 2 THEN '@Το Μεζεκλίκι' ELSE '' END")).alias("title"),
+        text.clean_title(F.expr("'Band ' || o_custkey || CASE o_orderkey % 4 WHEN 0 THEN ' @ STEGI' WHEN 1 THEN "
+                                "' at Venue' WHEN 2 THEN '@Η Αυλή' ELSE '' END")).alias("title"),
         text.venue_or_default(F.expr("CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' "
                                      "ELSE 'Hall ' || o_custkey END")).alias("venue"),
         text.name_key(F.concat(F.lit("ΟΔΟΣ "), "o_orderpriority", F.lit(" ΑΣ"))).alias("key"))
@@ -400,7 +400,7 @@ def merged_hits(spark, sf_dir):
 
 @query(f"WITH {_HITS_SQL} SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY rank) <= 20")
 def capped_hits(spark, sf_dir):
-    return frontier.cap_hits(_hits(spark, sf_dir))
+    return frontier.cap_hits(_hits(spark, sf_dir), 20)
 
 
 @query(f"WITH {_HITS_SQL} SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY url ORDER BY query_idx, rank) = 1")
@@ -437,14 +437,13 @@ _TIERS = {**frontier.SITE_TIERS, "hall.gr": 2}
 @query(f"""WITH {_SOURCES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tier, query_idx, rank, url) AS n FROM ranked)
 SELECT url, tier FROM r ORDER BY tier >= 5, n, tier, query_idx, rank, url LIMIT 10""")
 def best_sources(spark, sf_dir):
-    return frontier.rank_sources(_source_hits(spark, sf_dir), _TIERS).select("url", "tier")
+    return frontier.rank_sources(_source_hits(spark, sf_dir), _TIERS, n=10).select("url", "tier")
 
 
 @query(f"WITH {_SOURCES_SQL} SELECT url, tier FROM ranked")
 def ranked_sources(spark, sf_dir):
     tiers = t.table(spark, sf_dir, "nation").selectExpr("'nation' || n_nationkey || '.gr' AS host", "1 AS tier")
-    listed = spark.createDataFrame([("www." + k if k == "more.com" else k, v) for k, v in _TIERS.items()],
-                                   "host string, tier int")
+    listed = spark.createDataFrame(list(_TIERS.items()), "host string, tier int")
     return frontier.rank_sources(_source_hits(spark, sf_dir), listed.unionByName(tiers), n=None).select("url", "tier")
 
 
@@ -455,7 +454,7 @@ def _two_letters(url: Column) -> Column:
 
 @query(f"""WITH {LINKS_SQL} SELECT page_id, string_agg((n) || '. ' || link, chr(10) ORDER BY n) AS picked FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM links
-  WHERE regexp_matches(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '^/[a-z]{{2,3}}$')) WHERE n <= 20 GROUP BY 1""")
+  WHERE regexp_matches(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '^/[a-z]{{2,3}}$')) GROUP BY 1""")
 def event_links(spark, sf_dir):
     pages = frontier.with_links(_pages(spark, sf_dir))
     picked = pages.select("page_id", frontier.event_links(F.col("links"), _two_letters).alias("links"))
@@ -473,7 +472,7 @@ def event_link_rule(spark, sf_dir):
 
 _ROUTED_SQL = f"""{LINKS_SQL}, routed AS (
   SELECT link AS url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM links
-    WHERE regexp_matches(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '^/[a-z]{{2,3}}$')) WHERE n <= 20
+    WHERE regexp_matches(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '^/[a-z]{{2,3}}$'))
   UNION ALL SELECT url FROM pages WHERE page_id NOT IN (SELECT page_id FROM links))"""
 
 
@@ -485,12 +484,12 @@ def routed_pages(spark, sf_dir):
 
 @query("SELECT url, md5('7' || url) AS sample_key FROM (SELECT DISTINCT url FROM pages) ORDER BY 2, 1 LIMIT 100")
 def sampled_urls(spark, sf_dir):
-    return frontier.sample_urls(frontier.distinct_urls(t.table(spark, sf_dir, "pages")), seed="7")
+    return frontier.sample_urls(frontier.distinct_urls(t.table(spark, sf_dir, "pages")), n=100, seed="7")
 
 
 @query(f"WITH {_ROUTED_SQL} SELECT url, md5('0' || url) AS sample_key FROM (SELECT DISTINCT url FROM routed) ORDER BY 2, 1 LIMIT 100")
 def crawl_frontier(spark, sf_dir):
-    return sync.crawl_frontier(_pages(spark, sf_dir), rule=_two_letters)
+    return sync.crawl_frontier(_pages(spark, sf_dir), n=100, rule=_two_letters)
 
 
 @query(f"WITH {_ROUTED_SQL} SELECT DISTINCT url, md5('0' || url) AS sample_key FROM routed")
@@ -572,6 +571,29 @@ def genre_and_city(spark, sf_dir):
         "p_partkey", rules.genre_ok(about).alias("genre_ok"), rules.city_ok(about).alias("city_ok"))
 
 
+@query("""SELECT o_orderkey, 'Act ' || j || ' @ Hall ' || (o_custkey % 300) AS title, '2026-0' || (j + 1) || '-1' || (o_orderkey % 10) AS date,
+  'Hall ' || (o_custkey % 300) AS venue_name, '€' || (10 + j) AS price
+FROM (SELECT o_orderkey, o_custkey, unnest(range(1 + o_orderkey % 5)) AS j FROM orders)""")
+def page_events(spark, sf_dir):
+    """Pages that announce one to five events, in one or several articles."""
+    event = ("concat('<p>Act ', j, ' @ Hall ', o_custkey % 300, ' | 2026-0', j + 1, '-1', o_orderkey % 10, ' €', 10 + j, "
+             "' loud songs.</p>', CASE WHEN o_orderkey % 2 = 0 THEN '</article> <article>' ELSE '' END)")
+    pages = t.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(
+        f"concat('<body><nav>About</nav><article>', array_join(transform(sequence(0, int(o_orderkey % 5)), j -> {event}), ' '), '</article></body>')").alias("html"))
+    found = pages.select("o_orderkey", F.explode(extraction.extract_events(F.lit("u"), html.page_text(F.col("html")))).alias("e"))
+    return found.select("o_orderkey", "e.title", "e.date", "e.venue_name", "e.price")
+
+
+@query("""SELECT o_orderkey, count(*) AS links FROM (SELECT o_orderkey, unnest(range(o_orderkey % 60)) FROM orders) GROUP BY 1""")
+def long_agendas(spark, sf_dir):
+    """Event links of pages with up to 59 of them."""
+    pages = t.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(
+        "'https://x.gr/a'").alias("url"), F.expr("array_join(transform(sequence(0, int(o_orderkey % 60)), "
+        "j -> concat('<a href=\"/event/', j, '\">x</a><a href=\"/about\">y</a>')), '')").alias("html"))
+    picked = frontier.with_links(pages).select("o_orderkey", (F.size(frontier.event_links(F.col("links"))) - 1).cast("long").alias("links"))
+    return picked.where("links > 0")
+
+
 @query("""SELECT batch, pos, title, CAST(CAST(date AS DATE) AS VARCHAR) AS day FROM (
   SELECT user_id AS batch, event_id AS pos, event_type AS title, ts AS date FROM events)
 QUALIFY row_number() OVER (PARTITION BY batch, title, CAST(date AS DATE) ORDER BY pos) = 1""")
@@ -718,7 +740,7 @@ def gig_page(spark, sf_dir):
 
 # --- whole runs ------------------------------------------------------------
 
-_SITE_OPTIONS = sync.SyncOptions(as_of="1996-01-01", max_sources=None, max_details=None)
+_SITE_OPTIONS = sync.SyncOptions(as_of="1996-01-01")
 
 
 def _site_run(spark, sf_dir, stage=materialize):

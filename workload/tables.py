@@ -49,9 +49,9 @@ def _sql(template: str) -> str:
     return template.format(k="o_orderkey", c="o_custkey")
 
 
-def gigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gigs(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """Stored gigs: one per order, at a time of day that depends on its key."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return table(spark, sf_dir, "orders").where(which).selectExpr(
         "o_orderkey AS id",
         f"coalesce({_sql(_TITLE)}, 'Untitled') AS title",
         "o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT), CAST(o_orderkey % 60 AS INT)) AS date",
@@ -105,8 +105,7 @@ def _columns(text: str) -> list[str]:
 
 def stored_gigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished orders, as gigs that are already stored."""
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    return gigs(spark, sf_dir).join(done, F.col("id") == F.col("o_orderkey"), "left_semi")
+    return gigs(spark, sf_dir, "o_orderstatus = 'F'")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
