@@ -11,10 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: unless the session names a number of its own, Python tasks get 1,000
+    rows at a time instead of Spark's 10,000, which bounds both sides' buffers."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the shared folder and read back, so that its lineage is cut."""
+    small_batches(df.sparkSession)
     return materialize(df, label)
