@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import op5_language, op6_suffix, op7_jaccard, op8_bpe, op10_decontaminate
-from llm.tables import documents, stored, table
+from llm.tables import documents, small_batches, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts and texts without a letter."""
+    small_batches(spark)
     found = op5_language.identify(docs, op5_language.fit(docs), keep=tuple(docs.columns), names=("_lang_pred", "_lang_score"))
     return found.where(F.col("_lang_pred") != op5_language.UNKNOWN).select(*docs.columns)
 
@@ -40,12 +41,14 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
+    small_batches(spark)
     indexes = op10_decontaminate.build(table(spark, sf_dir, "benchmark"))
     return op10_decontaminate.mark(docs, indexes, name="_hits").where(F.size("_hits") == 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left: (doc_id, lang, source, n_tokens, ids)."""
+    small_batches(spark)
     return op8_bpe.encode_texts(docs, keep=("doc_id", "lang", "source"))
 
 
