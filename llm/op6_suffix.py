@@ -33,7 +33,7 @@ from llm.arrays import SpanHash, ragged, run_starts, slices, utf8, whole_groups
 from llm.suffixes import common_prefixes, suffix_arrays
 from llm.tables import documents, stored
 
-WIDTH, ANCHOR, SHARD = 100, 32, 16
+WIDTH, ANCHOR, SHARD = 100, 28, 16
 # Bytes of shards whose suffix arrays are built together.
 LANES_BYTES = 1 << 19
 

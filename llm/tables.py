@@ -11,6 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -27,6 +28,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written to the shared folder and read back, so that its lineage is cut."""
-    small_batches(df.sparkSession)
-    return materialize(df, label)
+    """`df` written to the shared folder and read back, so that its lineage is cut.
+
+    The shuffle files behind it have no further use, so Spark removes them as soon as the
+    rows are written; without that they would pile up until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    before = spark.conf.get(_CLEAN_UP, None)
+    try:
+        if before is not None:
+            spark.conf.set(_CLEAN_UP, "true")
+        return materialize(df, label)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEAN_UP, before)
