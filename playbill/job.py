@@ -4,6 +4,7 @@
     job.py incremental --responses R --store S --checkpoint C
     job.py listing     --store S --as-of 2026-01-01 --out O
     job.py frontier    --pages P --out O
+    job.py clear       --store S
 
 Hits are JSON responses, pages Parquet rows (url, html), responses JSON rows
 (batch, response).
@@ -15,7 +16,7 @@ import argparse
 
 from playbill.functions.dates import DEFAULT_ZONE
 from playbill.operators.listing import LISTING_LIMIT, upcoming_listing
-from playbill.plans.sync import SyncOptions, crawl_frontier, sync_store
+from playbill.plans.sync import SyncOptions, clear_store, crawl_frontier, sync_store
 from playbill.session import build_session
 from playbill.sources.responses import read_search_hits
 from playbill.sources.store import Store
@@ -28,7 +29,7 @@ def _limit(text: str) -> int | None:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["sync", "incremental", "listing", "frontier"])
+    parser.add_argument("command", choices=["sync", "incremental", "listing", "frontier", "clear"])
     for name in ("hits", "pages", "responses", "store", "checkpoint", "out", "as-of"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--tz", default=DEFAULT_ZONE)
@@ -49,6 +50,9 @@ def main(argv: list[str] | None = None) -> None:
         print(result.stats.first().asDict())
     elif args.command == "incremental":
         start_incremental(spark, args.responses, args.store, args.checkpoint, tz=args.tz).awaitTermination()
+    elif args.command == "clear":
+        _, deleted = clear_store(Store(spark, args.store))
+        print(deleted.first().asDict())
     elif args.command == "listing":
         store = Store(spark, args.store)
         upcoming_listing(store.gigs(), store.venues(), args.as_of, args.tz, args.limit).write.mode(

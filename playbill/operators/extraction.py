@@ -139,12 +139,13 @@ def rule_response(pages: Column) -> Column:
     return F.to_json(F.struct(events.alias("gigs")))
 
 
-def score_batches(batches: DataFrame, fn: Callable[[str], str] | None = None) -> DataFrame:
+def score_batches(batches: DataFrame, fn: Callable[[str], str] | None = None, attempts: int = 3) -> DataFrame:
     """Response text per batch (batch, response, error).
 
     Without `fn` the rules above answer, inside the JVM. With `fn`, a function from
-    prompt text to response text, calls run on the executors; a batch whose call
-    fails has an error and no response, and the others go on.
+    prompt text to response text, calls run on the executors; a call that fails is
+    made up to `attempts` times in all, then its batch has an error and no response,
+    and the others go on.
     """
     if fn is None:
         return batches.select("batch", rule_response(F.col("pages")).alias("response"),
@@ -154,12 +155,15 @@ def score_batches(batches: DataFrame, fn: Callable[[str], str] | None = None) ->
         for frame in frames:
             responses, errors = [], []
             for prompt in frame["prompt"]:
-                try:
-                    responses.append(fn(prompt))
-                    errors.append(None)
-                except Exception as error:
-                    responses.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
+                response, failure = None, None
+                for _ in range(max(attempts, 1)):
+                    try:
+                        response, failure = fn(prompt), None
+                        break
+                    except Exception as error:
+                        failure = f"{type(error).__name__}: {error}"
+                responses.append(response)
+                errors.append(failure)
             yield pd.DataFrame({"batch": frame["batch"], "response": responses, "error": errors})
 
     prompts = batches.select("batch", render_prompt("batch", pages=F.col("pages")).alias("prompt"))

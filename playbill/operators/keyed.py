@@ -128,6 +128,7 @@ def page_by_range(
     offset: int,
     limit: int,
     stage: Callable[[DataFrame, str], DataFrame],
+    descending: bool = False,
 ) -> DataFrame:
     """Rows `offset` to `offset + limit` of a long order, however deep: the order columns,
     each row's place `_row`, and `_first`, the place of the first row equal to it.
@@ -135,12 +136,13 @@ def page_by_range(
     `keys` holds just the order columns. They are written once in sampled ranges of even
     size; the ranges' counts show which of them the page touches, and only those are sorted.
     """
-    ranged = stage(keys.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sorting = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    ranged = stage(keys.repartitionByRange(*sorting).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_p", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     touched = starts.where((F.col("_start") < offset + limit) & (F.col("_start") + F.col("_c") > offset))
-    inside = W.partitionBy("_p").orderBy(*order)
+    inside = W.partitionBy("_p").orderBy(*sorting)
     return (ranged.join(F.broadcast(touched.drop("_c")), "_p")
             .withColumn("_row", F.col("_start") + F.row_number().over(inside))
             .withColumn("_first", F.col("_start") + F.rank().over(inside))

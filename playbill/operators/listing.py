@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,9 +48,9 @@ def populate_few(gigs: DataFrame, venues: DataFrame) -> DataFrame:
     return gigs.join(F.broadcast(few), "venue_id", "left")
 
 
-def listing_order(gigs: DataFrame) -> DataFrame:
-    """By date; the id settles ties."""
-    return gigs.orderBy("date", "id")
+def listing_order(rows: DataFrame, by: str = "date", descending: bool = False) -> DataFrame:
+    """By one field, nulls first when rising; the id settles ties."""
+    return rows.orderBy(*(F.col(c).desc() if descending else F.col(c).asc() for c in dict.fromkeys((by, "id"))))
 
 
 def top(gigs: DataFrame, n: int = LISTING_LIMIT) -> DataFrame:
@@ -84,8 +85,8 @@ def find_one(rows: DataFrame, key: int) -> DataFrame:
     return rows.where(F.col("id") == F.lit(key).cast("bigint"))
 
 
-def page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of an ordered list; a size above the maximum is an error.
+def page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE, by: str = "date", descending: bool = False) -> DataFrame:
+    """One page of a table in the order of a field; a size above the maximum is an error.
 
     Near the start each task keeps the rows up to the page's end and no more. Deep
     pages find their keys by range first, so no task holds the rows before them.
@@ -94,15 +95,30 @@ def page(rows: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
         raise ValueError(f"page size {size} is not between 1 and {MAX_PAGE_SIZE}")
     offset = (max(number, 1) - 1) * size
     if offset + size <= DEEP_PAGE:
-        return listing_order(rows).offset(offset).limit(size)
-    keys = page_by_range(rows.select("date", "id"), ["date", "id"], offset, size, materialize)
+        return listing_order(rows, by, descending).offset(offset).limit(size)
+    order = list(dict.fromkeys((by, "id")))
+    keys = page_by_range(rows.select(*order), order, offset, size, materialize, descending)
     first = keys.orderBy("_row").first()
     if first is None:
         return rows.limit(0)
-    # At most `size` keys; null dates count, and equal rows before the page are passed over.
-    wanted = keys.select(F.col("date").alias("_date"), F.col("id").alias("_id")).distinct()
-    found = rows.join(F.broadcast(wanted), rows["date"].eqNullSafe(F.col("_date")) & rows["id"].eqNullSafe(F.col("_id")), "left_semi")
-    return listing_order(found).offset(first["_row"] - first["_first"]).limit(size)
+    # At most `size` keys; nulls count, and equal rows before the page are passed over.
+    wanted = keys.select(*(F.col(c).alias(f"_{c}") for c in order)).distinct()
+    same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(F.col(f"_{c}")) for c in order))
+    found = rows.join(F.broadcast(wanted), same, "left_semi")
+    return listing_order(found, by, descending).offset(first["_row"] - first["_first"]).limit(size)
+
+
+def total(rows: DataFrame) -> DataFrame:
+    """The number of rows of a whole list as a one-row result, also where a page is empty."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def list_venues(venues: DataFrame, filters: Mapping[str, tuple[str, object]] | None = None, number: int = 1,
+                size: int = PAGE_SIZE, by: str = "name", descending: bool = False, count: bool = True) -> DataFrame:
+    """One page of venues: filter, order, page, total."""
+    rows = list_filter(venues, filters or {})
+    out = page(rows, number, size, by, descending)
+    return with_total(out, rows) if count else out
 
 
 def with_total(page_rows: DataFrame, rows: DataFrame) -> DataFrame:
@@ -117,10 +133,12 @@ def list_gigs(
     number: int = 1,
     size: int = PAGE_SIZE,
     count: bool = True,
+    by: str = "date",
+    descending: bool = False,
 ) -> DataFrame:
     """One page of gigs with venues: filter, order, page, populate, total."""
     rows = list_filter(gigs, filters or {})
-    out = populate_few(page(rows, number, size), venues)
+    out = populate_few(page(rows, number, size, by, descending), venues)
     return with_total(out, rows) if count else out
 
 

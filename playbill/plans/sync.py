@@ -152,6 +152,13 @@ def run_sync(
     return SyncResult(unique, sources, details, scored, found, result, stats)
 
 
+def clear_store(store: Store) -> tuple[Head, DataFrame]:
+    """Removes all gigs but manual ones; the count of removed ones is one row (`deleted`)."""
+    kept, deleted = clear_non_manual(store.gigs())
+    none = store.gigs().limit(0)
+    return store.replace(kept.drop("month"), none.drop("month"), store.venues().limit(0)), deleted
+
+
 def sync_store(
     store: Store,
     hits: DataFrame,

@@ -84,6 +84,18 @@ def test_failed_batch_is_isolated(batches):
     assert extraction.candidates(scored).count() == 1
 
 
+def test_failed_calls_are_made_again(batches):
+    def fn(prompt, calls=[]):  # noqa: B006  # the list lives as long as the worker's copy of the function
+        calls.append(prompt)
+        if len(calls) % 3:
+            raise RuntimeError("busy")
+        return '{"gigs": [{"title": "t", "date": "2026-01-01"}]}'
+
+    frame = batches.coalesce(1)
+    assert {r.error for r in extraction.score_batches(frame, fn).collect()} == {None}
+    assert {r.error for r in extraction.score_batches(frame, fn, attempts=1).collect()} == {"RuntimeError: busy"}
+
+
 def test_rules_on_records(spark):
     at = datetime(2026, 5, 1, 18)
     rows = [(0, 0, "Band @ Hall", at, "Hall", "indie"), (0, 1, "BAND", at, "Hall", "indie"), (1, 0, "Band", at, "Hall", "indie"),

@@ -88,6 +88,16 @@ def test_deep_pages_keep_nulls_and_ties(spark, monkeypatch):
         assert got == want[3 * number - 3 : 3 * number]
 
 
+def test_venues_by_name(store, monkeypatch):
+    venues, _ = store
+    names = sorted((r.name for r in venues.collect()), reverse=True)
+    near = listing.list_venues(venues, number=2, size=2, descending=True).collect()
+    assert [r.name for r in near] == names[2:4] and {r.total for r in near} == {len(names)}
+    monkeypatch.setattr(listing, "DEEP_PAGE", 0)
+    assert [r.name for r in listing.list_venues(venues, number=2, size=2, descending=True, count=False).collect()] == names[2:4]
+    assert listing.total(venues.where("false")).first().total == 0
+
+
 def test_too_many_rows_is_an_error(spark, store):
     with pytest.raises(ValueError, match="300 rows"):
         listing.upcoming_listing(store[1], store[0], "2026-01-01", n=300)

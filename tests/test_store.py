@@ -206,5 +206,7 @@ def test_command_line(spark, tmp_path):
     job.main(["listing", "--out", str(tmp_path / "listing"), *common])
     rows = spark.read.parquet(str(tmp_path / "listing")).orderBy("date").collect()
     assert [(r.title.lower(), r.month_label) for r in rows] == [("alpha", "May"), ("beta", "May"), ("solo", "June")]
+    job.main(["clear", *common[:2]])
+    assert Store(spark, str(tmp_path / "store")).gigs().count() == 0 and Store(spark, str(tmp_path / "store")).venues().count() == 3
     job.main(["frontier", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "frontier"), "--max-details", "3"])
     assert spark.read.parquet(str(tmp_path / "frontier")).count() == 3

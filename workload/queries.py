@@ -738,6 +738,13 @@ def gig_page(spark, sf_dir):
     return rows.select("id", "title", "venue_name", "total")
 
 
+@query(f"""WITH {t.VENUES_SQL}, f AS (SELECT * FROM venues WHERE id % 5 > 0 AND neighborhood = 'BUILDING')
+SELECT id, name, (SELECT count(*) FROM f) AS total FROM f ORDER BY name DESC, id DESC LIMIT 20 OFFSET 40""")
+def venue_page(spark, sf_dir):
+    venues = t.venues(spark, sf_dir).where("id % 5 > 0")
+    return listing.list_venues(venues, {"neighborhood": ("eqi", "building")}, number=3, size=20, descending=True).select("id", "name", "total")
+
+
 # --- whole runs ------------------------------------------------------------
 
 _SITE_OPTIONS = sync.SyncOptions(as_of="1996-01-01")
