@@ -21,7 +21,7 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) ->
     over all of them. A scan of a large table is left as it is."""
     rows = table(spark, sf_dir, name).select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 # --- gigs and venues -------------------------------------------------------
