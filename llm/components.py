@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import stored
+from llm.tables import drop, stored
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,8 +22,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         wide = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = wide.groupBy("a").agg(F.min("b").alias("m"))
-        edges = stored(wide.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, edges = edges, stored(wide.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                        .unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        drop([before])
         # Done when every link leads straight to a smallest node.
         if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

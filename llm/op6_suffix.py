@@ -8,7 +8,7 @@ them with the smallest hash. Consecutive windows with one anchor are a segment.
 3. The distinct segments of an anchor are a shard. Its suffix array is built by induced
    sorting (`suffixes`), and neighbours that share `width` bytes and more are runs of equal
    windows; all but the first of a run go. Anchors with more than `SHARD` distinct segments
-   are not sorted in one task: their windows are grouped by their bytes, with partial sums.
+   are not sorted in one task: their windows are grouped by two hashes of their bytes, with partial sums.
 4. The windows that go are joined to their documents, and the bytes they cover are removed.
 
 Only hashes and places are shuffled for the whole corpus; texts travel compressed.
@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.arrays import SpanHash, ragged, run_starts, slices, utf8, whole_groups
+from llm.arrays import SpanHash, ragged, slices, utf8, whole_groups
 from llm.suffixes import common_prefixes, suffix_arrays
-from llm.tables import documents, stored
+from llm.tables import documents, drop, made, stored
 
-WIDTH, ANCHOR, SHARD = 100, 28, 16
+WIDTH, ANCHOR, SHARD = 100, 28, 48
 # Bytes of shards whose suffix arrays are built together.
 LANES_BYTES = 1 << 19
 
@@ -188,11 +188,12 @@ def shard_repeats(segs: DataFrame, width: int) -> DataFrame:
 
 
 def window_repeats(segs: DataFrame, width: int) -> DataFrame:
-    """The same for the segments of very common anchors, by their windows' bytes."""
+    """The same for the segments of very common anchors, by two hashes of their windows' bytes."""
+    cut = F.substring("bytes", F.col("o") + 1, F.lit(width))
     windows = segs.select("doc_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("o")).select(
-        F.struct("doc_id", (F.col("start") + F.col("o")).alias("start")).alias("at"), F.substring("bytes", F.col("o") + 1, F.lit(width)).alias("w"))
-    first = windows.groupBy("w").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
-    return windows.join(first, "w").where("at > first").select("at.doc_id", "at.start", F.lit(1).alias("windows"))
+        F.struct("doc_id", (F.col("start") + F.col("o")).alias("start")).alias("at"), F.xxhash64(cut).alias("w"), F.xxhash64(F.lit(1), cut).alias("v"))
+    first = windows.groupBy("w", "v").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v", "first")
+    return windows.join(first, ["w", "v"]).where("at > first").select("at.doc_id", "at.start", F.lit(1).alias("windows"))
 
 
 def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -217,7 +218,10 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """(doc_id, n_bytes, spans, kept, columns `keep`): spans are the maximal removed runs (start,
     length), kept the remaining bytes end to end; `as_text`: as a string, without the bytes of
     characters that a removed run cuts in two."""
-    spans = stored(repeated_windows(df, doc_id, text, width), "spans").groupBy("doc_id").agg(
+    before = len(made)
+    runs = stored(repeated_windows(df, doc_id, text, width), "spans")
+    drop(made[before:-1])  # all that only the spans were made from
+    spans = runs.groupBy("doc_id").agg(
         F.collect_list(F.struct("start", F.col("windows").cast("long").alias("windows"))).alias("_spans"))
     texts = packed(df, doc_id, text, keep).join(spans, "doc_id", "left")
     more = [f"_{c}" for c in keep]

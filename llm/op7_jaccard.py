@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from llm.arrays import mix, slices, utf8
 from llm.components import components
 from llm.shingles import shingle_sets
-from llm.tables import documents, stored
+from llm.tables import documents, drop, stored
 
 SIZE, LEAST = 5, 75
 # Turns of step 3; the last one takes all pairs that are left.
@@ -169,8 +169,11 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     shared = stored(cells.join(counts, "h").join(rep.where("rep <> doc_id").select("doc_id"), "doc_id", "left_anti"), "shared")
     again = shared.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs, rest = light_pairs(stored(shared.join(again, "h"), "cells"), least)
+    cells = stored(shared.join(again, "h"), "cells")
+    drop([shared])
+    pairs, rest = light_pairs(cells, least)
     pairs, rest = stored(pairs, "pairs"), stored(rest, "open")
+    drop([cells])
 
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(rest).distinct()
     texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi")
@@ -181,9 +184,12 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Rows that one component already holds need not meet again. Other rows of each column are tried
     # before the rest, so that few rows of different components are left in one column.
     for turn in range(1, TURNS + 1):
-        apart = stored(split_columns(columns, components(reduce(DataFrame.unionByName, found), "a", "b")), "apart")
+        groups = components(reduce(DataFrame.unionByName, found), "a", "b")
+        apart = stored(split_columns(columns, groups), "apart")
         met = spokes(apart, least, F.xxhash64("h", "doc_id", F.lit(turn))) if turn < TURNS else all_pairs(apart, least)
         found.append(stored(verify(met, sets, least), "tied"))
+        drop([apart])
+    drop([pairs, rest, sets, columns])
 
     groups = components(reduce(DataFrame.unionByName, found), "a", "b")
     place = rep.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

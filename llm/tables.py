@@ -27,6 +27,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+# What `stored` has written and nobody has dropped yet, oldest first.
+made: list[DataFrame] = []
+
+
+def drop(frames: list[DataFrame]) -> None:
+    """Removes the folders of stored frames that no frame still to be computed reads."""
+    for frame in frames:
+        files = frame.inputFiles()
+        if files:
+            spark = frame.sparkSession.sparkContext
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        made[:] = [m for m in made if m is not frame]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the shared folder and read back, so that its lineage is cut.
 
@@ -39,7 +54,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     try:
         if before is not None:
             spark.conf.set(_CLEAN_UP, "true")
-        return materialize(df, label)
+        out = materialize(df, label)
+        made.append(out)
+        return out
     finally:
         if before is not None:
             spark.conf.set(_CLEAN_UP, before)
