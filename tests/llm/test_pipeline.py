@@ -64,6 +64,45 @@ def test_block_bounds_lose_nothing(spark):
         assert got == want
 
 
+def test_long_items_are_found_wherever_they_are(spark, make_docs):
+    rng = np.random.default_rng(7)
+    sizes = [10, 30, 42, 60, 82, 110, 130, 150, 300, 1000]
+    items = [(k, prose(k, n // 2) + "? " + " ".join(f"i{k}w{j}" if j % 3 else "the" for j in range(n - n // 2))) for k, n in enumerate(sizes)]
+    rows, want = [], set()
+    for i in range(60):
+        words, k = prose(1000 + i, int(rng.integers(0, 3000))).split(), i % len(sizes)
+        at = int(rng.integers(0, len(words) + 1))
+        words[at:at] = items[k][1].upper().split()
+        rows.append((i, " ".join(words)))
+        want.add((i, k))
+    marked = op10.mark(make_docs(rows), op10.build(bench(spark, items)))
+    hits = [(r.doc_id, h) for r in marked.collect() for h in r.hits]
+    assert {(i, h.item_id) for i, h in hits} == want
+    assert all(h.score > 1 - 1e-9 and h.question == h.answer == 1 for _, h in hits)
+
+
+def test_repeats_within_a_step_do_not_hide_an_item(spark):
+    items = [(k, prose(k, 200)) for k in range(12)]
+    index = op10.build(bench(spark, items))[0]
+    import pyarrow as pa
+
+    from llm.shingles import letter_words
+    words, first = letter_words(pa.array([prose(k, 5) + " " + prose(k % 12, 150) + " " + prose(50 + k, 300 * (k % 2)) for k in range(20)] + [""]))
+    term = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
+    term = np.where(index.terms[term] == words, term, -1)
+    assert index.passage > 200
+    for least in (0.3, 0.6, 0.9):
+        got = {(r, s, i) for r, s, i, _ in index.search(term, first, least)}
+        want = set()
+        for r, (a, b) in enumerate(zip(first, first[1:])):
+            for s in range(a, a + max(0, -(-(b - a - index.passage) // index.step)) * index.step + (b > a), index.step):
+                score = np.zeros(len(items))
+                for t in set(term[s : min(s + index.passage, b)].tolist()) - {-1}:
+                    score[index.item[index.first[t] : index.first[t + 1]]] += index.impact[index.first[t] : index.first[t + 1]]
+                want |= {(r, s, int(i)) for i in np.flatnonzero(score >= least - 1e-9)}
+        assert got == want
+
+
 def test_pipeline_stage_by_stage(spark, make_docs, messy, tmp_path):
     item = "which " + prose(77, 30) + "? " + prose(78, 10)
     extra = make_docs([(50, prose(60, 80)), (51, item + " " + prose(61, 50)), (52, prose(62, 50) + " " + prose(60, 80))])
