@@ -47,20 +47,41 @@ def text_with_links(html: Column) -> Column:
     return _untag(_without_code(F.regexp_replace(html, _ANCHOR, "$2 ($1)")))
 
 
+def _elements(html: Column, tag: str) -> Column:
+    """What stands inside the outermost elements of a tag, in order and with the elements nested
+    in them, joined by spaces; empty without a closing tag. One that is left open goes to the end."""
+    tags = (r"(?is)(<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>)"
+            rf"|(</?{tag}(?=[\s/>])[^>]*>)")
+    # Marks stand before and after each tag; comments and code, passed over, leave an empty pair.
+    marked = F.replace(F.regexp_replace(html, tags, "$1\0[$2\0]"), F.lit("\0[\0]"), F.lit(""))
+
+    def take(done: Column, piece: Column) -> Column:
+        opens = ~piece.startswith("</")
+        depth = F.greatest(done["depth"] + F.when(opens, 1).otherwise(-1), F.lit(0))
+        text = F.when(opens & (done["depth"] == 0), F.concat(F.lit(" "), F.substring_index(piece, "\0]", -1)))
+        part = F.coalesce(text, F.replace(piece, F.lit("\0]"), F.lit("")))
+        return F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(done["parts"], F.array(part)))
+                        .otherwise(done["parts"]).alias("parts"))
+
+    def join(pieces: Column) -> Column:
+        none = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"))
+        found = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), none, take,
+                            lambda done: F.array_join(done["parts"], ""))
+        return F.when(F.exists(pieces, lambda p: p.startswith("</")), F.substr(found, F.lit(2))).otherwise("")
+
+    return F.when(html.rlike(rf"(?i)</{tag}[\s/>]"), let(F.split(marked, r"\x00\["), join))
+
+
 def main_content(html: Column) -> Column:
     """Markup of the main part: all articles in order, else all of `main`, else the body
     without its navigation, header, footer and side bars. Null when nothing is left."""
-
-    def every(tag: str) -> Column:
-        return F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), " ")
-
     body = let(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1),
                lambda b: F.when(b != "", b).otherwise(html))
     for tag in ("nav", "header", "footer", "aside"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     return F.coalesce(
-        let(every("article"), present),
-        let(every("main"), present),
+        let(_elements(html, "article"), present),
+        let(_elements(html, "main"), present),
         let(body, lambda b: F.when(b.rlike(r"[^\s]"), b)),
     )
 

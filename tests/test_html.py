@@ -62,6 +62,22 @@ def test_main_content(apply):
     assert apply(html.page_text, pages) == ["a", "b", "c", None, None, "one two", "m1 m2"]
 
 
+def test_nested_main_parts(apply):
+    late = "C | 2026-03-04 " + "c" * 1200
+    pages = [f"<nav>n</nav><article>A<article class=card>B</article>{late}</article><footer>f</footer>",
+             "<main>A<main>B</main>C</main><p>out</p>",
+             "<article>1<article>2<ARTICLE>3</ARTICLE >4</article>5<article>6</article>7</article>x<article>8</article>y",
+             "<!-- <article> -->x<article>A</article>y", "<article-list><article>A</article>x</article-list>y",
+             "</article>x<article>A</article>y", "<article>A</article>x<article>B", "<body><nav>n</nav><article>A</body>",
+             "<article>" + "<article>a</article>b" * 2000 + "</article>c"]
+    assert apply(html.page_text, pages) == [
+        f"A B {late}", "A B C", "1 2 3 4 5 6 7 8", "A", "A", "A", "A B", "A", "a b" + " a b" * 1999]
+    assert apply(html.main_content, pages[1:3]) == [
+        "A<main>B</main>C", "1<article>2<ARTICLE>3</ARTICLE >4</article>5<article>6</article>7 8"]
+    code = "A<!-- </article> -->B<script>'</article>'</script><style></article></style>C"
+    assert apply(html.main_content, [f"<article>{code}</article>D"]) == [code]
+
+
 def test_choose_content(spark):
     long, raw = "x" * 1000, "<p>raw</p>"
     rows = [("short", raw), ("short", None), ("short", ""), (long, raw), (None, raw), ("😀" * 500, raw)]
