@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import op1_token_counts, op2_toxicity, op3_chat, op4_embeddings, op5_language, op6_suffix, op7_jaccard, op8_bpe, op9_token_files, op10_decontaminate
+from llm import op1_token_counts, op2_toxicity, op3_chat, op4_embeddings, op5_language, op6_suffix, op7_jaccard, op8_bpe, op9_token_files, op10_decontaminate, op11_alignment, op12_whitening, op13_pii
 
 QUERIES = {
     "op1_token_counts": op1_token_counts.op1_token_counts,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_bpe": op8_bpe.op8_bpe,
     "op9_token_files": op9_token_files.op9_token_files,
     "op10_decontaminate": op10_decontaminate.op10_decontaminate,
+    "op11_alignment": op11_alignment.op11_alignment,
+    "op12_whitening": op12_whitening.op12_whitening,
+    "op13_pii": op13_pii.op13_pii,
 }
 ORACLES = {"op3_chat": op3_chat.SQL, "op4_embeddings": op4_embeddings.SQL}
