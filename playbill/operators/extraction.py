@@ -80,57 +80,184 @@ def render_prompt(kind: str, **slots: Column) -> Column:
 
 _DATE = r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?)?|\d{2}/\d{2}/\d{4}"
 _AMOUNT = r"\d+(?:[.,]\d+)?"
-_PRICE = (rf"(?i)sold\s*out|free (?:entry|admission)|€\s*{_AMOUNT}(?:\s*-\s*€?\s*{_AMOUNT})?"
-          rf"|{_AMOUNT}\s*(?:€|EUR)")
+_PRICE = (rf"(?i:sold\s*out|free (?:entry|admission)|€\s*{_AMOUNT}(?:\s*-\s*€?\s*{_AMOUNT})?"
+          rf"|{_AMOUNT}\s*(?:€(?!\d)|EUR))")
 _TICKET = rf"\((https?://[^\s()]*(?:{'|'.join(s.replace('.', r'[.]') for s in TICKET_SITES)})[^\s()]*)\)"
 
+# A block of a page's content ends behind a sentence, a closing bracket, a bar or a bullet, and behind a
+# price that stands first in it. Short forms of names and words end no sentence.
+_SHORT = r"(?<!\b(?:St|Mr|Ms|Dr|vs|ft|No|Mrs|feat|live))"
+_BLOCK_END = rf"{_SHORT}[.!?;](?={WS}|\z)|[)|•·](?={WS}|\z)"
+_FIRST_PRICE = rf"(?s)\A(?:{WS}|[-–,:])*{_PRICE}"
+_EDGE = rf"(?:{WS}|[-–|•·,:])+"
+_LINK = r"\(https?://[^\s()]*\)"
+_BUY = r"(?i)\A(?:buy |book )?(?:tickets?|info|more)?\z"
+_TIME = rf"\A\d{{1,2}}[:.]\d{{2}}(?:{WS}*(?:h|hrs|am|pm))?(?={WS})"
+_VENUE_SIGN = rf"(?is)(?:@|{WS}at{WS})"
+_TEXT, _AMOUNT_ONLY, _TICKETS, _BLANK = range(4)
+# What a date's side must be ahead by to decide for itself, without the page.
+_CLEAR = 2
+
+
+def _bare(text: Column) -> Column:
+    """Text without the white space and marks around it."""
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{_EDGE}", ""), rf"{_EDGE}\z", "")
+
+
+def _blocks(gap: Column) -> Column:
+    """What stands between two dates as blocks (raw, text, kind)."""
+    def block(raw: Column) -> Column:
+        text = _bare(F.regexp_replace(F.regexp_replace(raw, _LINK, " "), rf"[.!?;]+{WS}*\z", ""))
+        return let(text, lambda t: F.struct(
+            raw.alias("raw"), t.alias("text"),
+            F.when(t.rlike(rf"\A{_PRICE}\z"), _AMOUNT_ONLY)
+            .when(raw.rlike(_LINK) & t.rlike(_BUY), _TICKETS)
+            .when(t.rlike(r"[\p{L}\p{N}]"), _TEXT).otherwise(_BLANK).alias("kind")))
+
+    marked = F.regexp_replace(F.regexp_replace(gap, _FIRST_PRICE, "$0\u0001"), _BLOCK_END, "$0\u0001")
+    return F.transform(F.split(marked, "\u0001", -1), block)
+
+
+def _raw(blocks: Column) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: b["raw"]), "")
+
+
+def _gap(text: Column, first: Column, last: Column) -> Column:
+    """One gap between dates. For a date behind it (trailing dates): `head`, the blocks that may
+    name its event, and `rest`, what stays with the date before. For a date in front of it (leading
+    dates): its blocks. With each the score of that reading: is there a text, does it name a venue, does it stand
+    right beside the date."""
+    def sectioned(blocks: Column) -> Column:
+        n = F.size(blocks)
+        places = F.sequence(F.lit(0), n - 1)
+
+        def hard(i: Column) -> Column:
+            b = F.get(blocks, i)
+            return b["kind"].isin(_AMOUNT_ONLY, _TICKETS) | ((i < n - 1) & b["raw"].rlike(rf"[.!?;)]{WS}*\z"))
+
+        def filled(i: Column) -> Column:
+            return F.get(blocks, i)["kind"] == _TEXT
+
+        # Where the section of the next date starts: behind the last hard end that has text behind it,
+        # else at the last text; on the way to the first date, at the first one.
+        last_text = F.array_max(F.filter(places, filled))
+        cut = F.coalesce(F.array_max(F.filter(places, lambda i: hard(i) & (i < last_text))), F.lit(-1))
+        start = F.when(last_text.isNull(), n).when(first, cut + 1).when(cut >= 0, cut + 1).otherwise(last_text)
+        return let(start, lambda at: scored(blocks, at))
+
+    def scored(blocks: Column, at: Column) -> Column:
+        n = F.size(blocks)
+        texts = F.filter(blocks, lambda b: b["kind"] == _TEXT)
+        head = F.filter(F.slice(blocks, at + 1, n), lambda b: b["kind"] == _TEXT)
+        near, ahead = F.get(blocks, n - 1), F.get(blocks, F.lit(0))
+        one = F.get(texts, F.lit(0))["text"]
+        follows = F.coalesce(~one.rlike(rf"(?i)\A(?:@|at{WS})"), F.lit(False))
+
+        def points(*signs: Column) -> Column:
+            total = F.lit(0)
+            for sign in signs:
+                total = total + F.coalesce(sign.cast("int"), F.lit(0))
+            return total
 
-def extract_events(url: Column, content: Column) -> Column:
-    """The events a detail page announces, by rule, one for each date it names.
-
-    The headline is what stands before the date, the venue what follows `@` or `at` in
-    it, the description what stands after the date. Text between two dates belongs to
-    the first one's description up to its last full stop, closing bracket or bar, and to
-    the second one's headline after that.
-    """
-    def headline_of(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}+", ""), rf"(?:{WS}|[-–|,:])+\z", "")
+        return F.struct(
+            text.alias("whole"), texts.alias("texts"), head.alias("head"), _raw(F.slice(blocks, F.lit(1), at)).alias("rest"),
+            F.when(~last, points(F.size(head) > 0, F.exists(head, lambda b: b["text"].rlike(_VENUE_SIGN)), near["kind"] == _TEXT))
+            .otherwise(0).alias("trail"),
+            F.when(~first & follows, points(F.size(texts) > 0, one.rlike(_VENUE_SIGN), ahead["kind"] == _TEXT)).otherwise(0).alias("lead"))
 
-    def cut(between: Column) -> Column:
-        """(rest of the description, next headline)"""
-        rest = F.regexp_extract(between, rf"(?s)\A(.*[.!?;)|•])(?={WS})", 1)
-        return F.struct(rest.alias("rest"), F.substr(between, F.length(rest) + 1).alias("head"))
+    return let(_blocks(text), sectioned)
 
-    def cut_at(piece: Column) -> Column:
-        return let(F.regexp_replace(piece, rf"(?:{WS}|[-–|,:])+\z", ""), cut)
 
-    def around(dates: Column) -> Column:
+def extract_events(url: Column, content: Column) -> Column:
+    """The events a page announces, by rule: one for each date that a headline belongs to.
+
+    The content is cut into blocks of date, price, ticket link and text. A date either trails its
+    headline (`Band @ Hall 2026-02-15 €10`) or leads it (`2026-02-15 Band @ Hall €10`). Both readings are
+    scored for every date: a side that is clearly ahead decides for its date, the sums of the page for
+    the others, and a tie is read as trailing. Text that two dates could claim goes to the reading of the
+    page. The venue is what follows `@` or `at` in the headline, else the block behind a bar after it. A
+    page with one date that leads needs a venue, a price or a ticket link.
+    """
+    def gaps_of(dates: Column) -> Column:
         pieces = F.split(content, _DATE, -1)
         count = F.size(dates)
+        gaps = F.transform(pieces, lambda g, k: _gap(g, k == 0, k == count))
+        return let(gaps, lambda gs: let(page(gs, count), lambda modes: events(gs, dates, count, modes)))
+
+    def page(gaps: Column, count: Column) -> Column:
+        """For each date, whether it leads; the page's own reading stands behind the last."""
+        total = F.aggregate(gaps, F.lit(0), lambda acc, g: acc + g["lead"] - g["trail"])
+
+        def leads(k: Column, vote: Column) -> Column:
+            ahead = F.get(gaps, k + 1)["lead"] - F.get(gaps, k)["trail"]
+            return F.when(F.abs(ahead) >= _CLEAR, ahead > 0).otherwise(vote)
+
+        return let(total > 0, lambda vote: F.concat(
+            F.transform(F.sequence(F.lit(0), count - 1), lambda k: leads(k, vote)), F.array(vote)))
 
+    def events(gaps: Column, dates: Column, count: Column, leads: Column) -> Column:
         def one(date: Column, k: Column) -> Column:
-            before, behind = F.get(pieces, k), F.get(pieces, k + 1)
-            headline = headline_of(F.when(k == 0, before).otherwise(cut_at(before)["head"]))
-            after = F.when(k == count - 1, behind).otherwise(cut_at(behind)["rest"])
-            return let(F.struct(headline.alias("headline"), after.alias("after")),
-                       lambda s: F.when(s["headline"] != "", event(s["headline"], date, s["after"])))
+            return F.when(F.get(leads, k), leading(gaps, date, k, count, leads)).otherwise(trailing(gaps, date, k, count, leads))
 
         return F.filter(F.transform(dates, one), lambda e: e.isNotNull())
 
-    def event(headline: Column, date: Column, after: Column) -> Column:
-        undated = F.concat(headline, F.lit(" | "), after)
+    def claimed(gaps: Column, k: Column, leads: Column) -> Column:
+        """Whether gap k has one text only and the dates on both of its sides want it."""
+        return (k > 0) & F.get(leads, k - 1) & ~F.get(leads, k) & (F.size(F.get(gaps, k)["texts"]) == 1)
+
+    def rest_of(gaps: Column, k: Column, count: Column, leads: Column) -> Column:
+        """What gap k leaves to the date in front of it."""
+        gap = F.get(gaps, k)
+        return F.when((k == count) | F.get(leads, k), gap["whole"]).otherwise(gap["rest"])
+
+    def trailing(gaps: Column, date: Column, k: Column, count: Column, leads: Column) -> Column:
+        gap = F.get(gaps, k)
+        # A page with one date has one headline: all that stands before it.
+        whole = F.when((count == 1) & ~gap["whole"].contains("|"), _bare(gap["whole"]))
+        after = rest_of(gaps, k + 1, count, leads)
+        lost = claimed(gaps, k, leads) & F.element_at(leads, -1)
+        return let(F.struct(gap["head"].alias("head"), whole.alias("whole"), after.alias("after")),
+                   lambda s: F.when(~lost, built(s["head"], s["whole"], date, s["after"])))
+
+    def leading(gaps: Column, date: Column, k: Column, count: Column, leads: Column) -> Column:
+        gap = F.get(gaps, k + 1)
+        # With a trailing date behind, this event ends where the next one's headline starts.
+        ends = (k + 1 < count) & ~F.get(leads, F.least(k + 1, count - 1)) & (F.size(gap["texts"]) > 1)
+        mine = F.when(ends, gap["rest"]).otherwise(gap["whole"])
+        lost = (k + 1 < count) & F.coalesce(claimed(gaps, k + 1, leads), F.lit(False)) & ~F.element_at(leads, -1)
+        sure = (count > 1) | mine.rlike(_PRICE) | mine.rlike(_TICKET) | F.get(gap["texts"], F.lit(0))["text"].rlike(_VENUE_SIGN)
+        return let(F.struct(gap["texts"].alias("texts"), mine.alias("mine")), lambda s: F.when(~lost & sure, built(
+            s["texts"], F.lit(None).cast("string"), date, s["mine"], inside=True)))
+
+    def built(head: Column, whole: Column, date: Column, after: Column, inside: bool = False) -> Column:
+        """The event named by a list of text blocks: by the first that names a venue, or by the first. `inside`:
+        the headline is part of `after`."""
+        named = F.lit(None).cast("string") if inside else F.get(
+            F.filter(head, lambda b: b["text"].rlike(_VENUE_SIGN)), F.lit(0))["text"]
+        first, second = F.get(head, F.lit(0)), F.get(head, F.lit(1))
+        barred = F.when(named.isNull() & first["raw"].rlike(rf"[|•·]{WS}*\z"), second["text"])
+        title = F.coalesce(whole, named, first["text"])
+        title = _bare(F.regexp_replace(_bare(F.regexp_replace(title, _TIME, "")), rf"{_PRICE}\z", ""))
+        return let(F.struct(title.alias("title"), barred.alias("barred")), lambda t: F.when(
+            t["title"] != "", event(t["title"], t["barred"], date, after, inside)))
+
+    def event(title: Column, barred: Column, date: Column, after: Column, inside: bool) -> Column:
+        venue = present(trim_text(F.regexp_extract(title, rf"(?is)(?:@|{WS}at{WS})(.*)\z", 1)))
+        text = F.substr(after, F.instr(after, title) + F.length(title)) if inside else after
+        said = after if inside else F.concat(title, F.lit(" | "), after)
         return F.struct(
-            headline.alias("title"),
+            title.alias("title"),
             date.alias("date"),
-            present(trim_text(F.regexp_extract(headline, rf"(?is)(?:@|{WS}at{WS})(.*)\z", 1))).alias("venue_name"),
-            let(trim_text(after), present).alias("description"),
-            let(F.regexp_extract(undated, _PRICE, 0),
-                lambda p: F.when(p != "", p).otherwise("N/A")).alias("price"),
+            F.coalesce(venue, barred).alias("venue_name"),
+            let(F.regexp_replace(trim_text(text), rf"\A{_EDGE}", "") if inside else trim_text(text), present).alias("description"),
+            let(F.regexp_extract(said, _PRICE, 0), lambda p: F.when(p != "", p).otherwise("N/A")).alias("price"),
             let(F.regexp_extract(after, _TICKET, 1), present).alias("ticket_url"),
             url.alias("url"),
         )
 
-    return let(F.coalesce(F.regexp_extract_all(content, F.lit(f"({_DATE})"), F.lit(1)), F.array().cast("array<string>")), around)
+    found = F.coalesce(F.regexp_extract_all(content, F.lit(f"({_DATE})"), F.lit(1)), F.array().cast("array<string>"))
+    none = F.array().cast("array<struct<title:string,date:string,venue_name:string,description:string,price:string,ticket_url:string,url:string>>")
+    return let(found, lambda dates: F.when(F.size(dates) > 0, gaps_of(dates)).otherwise(none))
 
 
 def rule_response(pages: Column) -> Column:

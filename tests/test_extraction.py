@@ -132,3 +132,44 @@ def test_every_event_of_a_page(spark):
         ("Paper Boats at Mill", "16/02/2026", "Mill", "Free entry", "https://www.more.com/b"),
         ("Ida Moss", "2026-03-01", None, "sold out", None)]
     assert got["v"] == got["w"] == got["x"] == []
+
+
+AGENDAS = {
+    # Dates that lead, with and without full stops, behind a header, as a list with bars.
+    "first": "2026-02-15 Band One at Club A €10. 2026-02-20 Band Two at Club B €15.",
+    "first, no stops": "2026-02-15 Band One at Club A €10 2026-02-20 Band Two at Club B €15",
+    "first, header": "Upcoming shows. 2026-02-15 Band One at Club A €10. 2026-02-20 Band Two at Club B €15. All rights reserved.",
+    "first, bars": "2026-02-15 | Band One | Club A | €10 | 2026-02-20 | Band Two | Club B | €15",
+    "first, times": "2026-02-15 20:30 Band One @ Club A €10. 2026-02-20 21:00 Band Two @ Club B €15.",
+    # Dates that trail.
+    "last": "Band One @ Club A 2026-02-15 €10. Band Two @ Club B 2026-02-20 €15.",
+    "last, no stops": "Band One @ Club A 2026-02-15 €10 Band Two @ Club B 2026-02-20 €15",
+    "last, bars": "Band One | Club A | 2026-02-15 | €10 | Band Two | Club B | 2026-02-20 | €15",
+    "last, described": "Band One @ Club A, 2026-02-15 €10 slow rock. Band Two @ Club B. 2026-02-20 €15 folk songs.",
+    # Both on one page.
+    "mixed": "Band One @ Club A 2026-02-15 €10. 2026-02-20 Band Two at Club B €15.",
+}
+
+
+@pytest.mark.parametrize("name", AGENDAS)
+def test_dates_lead_or_trail(spark, name):
+    frame = spark.createDataFrame([("u", AGENDAS[name])], "url string, content string")
+    events = frame.select(extraction.extract_events(F.col("url"), F.col("content")).alias("e")).first().e
+    got = [(e.title.split(" @ ")[0].split(" at ")[0], e.date, e.venue_name, e.price) for e in events]
+    assert got == [("Band One", "2026-02-15", "Club A", "€10"), ("Band Two", "2026-02-20", "Club B", "€15")]
+
+
+def test_five_events_in_any_order(spark):
+    text = ("Agenda. Band One @ Club A 2026-02-15 €10. 2026-02-20 Band Two at Club B €15. Band Three @ Club C 2026-02-25 free entry. "
+            "2026-03-01 Band Four at Club D. Band Five @ Club E 2026-03-05 sold out.")
+    frame = spark.createDataFrame([("u", text)], "url string, content string")
+    events = frame.select(extraction.extract_events(F.col("url"), F.col("content")).alias("e")).first().e
+    assert [(e.date, e.venue_name, e.price) for e in events] == [
+        ("2026-02-15", "Club A", "€10"), ("2026-02-20", "Club B", "€15"), ("2026-02-25", "Club C", "free entry"),
+        ("2026-03-01", "Club D", "N/A"), ("2026-03-05", "Club E", "sold out")]
+
+
+def test_a_text_between_two_dates_counts_once(spark):
+    frame = spark.createDataFrame([("u", "2026-02-15 Band One at Club A 2026-02-20"), ("v", "2026-02-15 | 2026-02-16")], "url string, content string")
+    got = [[(e.title, e.date) for e in r.e] for r in frame.select(extraction.extract_events(F.col("url"), F.col("content")).alias("e")).collect()]
+    assert [len(g) for g in got] == [1, 0] and got[0][0][0] == "Band One at Club A"

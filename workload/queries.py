@@ -584,6 +584,15 @@ def page_events(spark, sf_dir):
     return found.select("o_orderkey", "e.title", "e.date", "e.venue_name", "e.price")
 
 
+@query("""SELECT o_orderkey // 4 AS b, 'Band ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS date,
+  'Hall ' || (o_custkey % 300) AS venue_name, '€' || (1 + o_orderkey % 40) AS price FROM orders""")
+def agenda_events(spark, sf_dir):
+    """The events of pages that write dates first, last or both."""
+    pages = t.written_agendas(spark, sf_dir)
+    found = pages.select("b", F.explode(extraction.extract_events(F.lit("u"), html.page_text(F.col("html")))).alias("e"))
+    return found.select("b", text.clean_title(F.col("e.title")).alias("title"), "e.date", "e.venue_name", "e.price")
+
+
 @query("""SELECT o_orderkey, count(*) AS links FROM (SELECT o_orderkey, unnest(range(o_orderkey % 60)) FROM orders) GROUP BY 1""")
 def long_agendas(spark, sf_dir):
     """Event links of pages with up to 59 of them."""

@@ -219,6 +219,29 @@ def agenda_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                            '</ul></body></html>') AS html"""))
 
 
+# Five ways to write a line of an agenda: dates first or last, with stops, without, or with bars; every
+# fifth page mixes two of them.
+AGENDA_STYLES = 5
+
+
+def written_agendas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per four order keys that announces them all: (b, html)."""
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    name = "concat('Band ', o_orderkey, ' at Hall ', o_custkey % 300)"
+    price = "concat('€', 1 + o_orderkey % 40)"
+    line = f"""CASE (o_orderkey div 4) % {AGENDA_STYLES}
+        WHEN 0 THEN concat('<li>', {day}, ' ', {name}, ' ', {price}, '.</li>')
+        WHEN 1 THEN concat('<li>', {name}, ' <b>', {day}, '</b> ', {price}, '</li>')
+        WHEN 2 THEN concat('<li>', {day}, ' | Band ', o_orderkey, ' | Hall ', o_custkey % 300, ' | ', {price}, ' |</li>')
+        WHEN 3 THEN concat('<li>Band ', o_orderkey, ' | Hall ', o_custkey % 300, ' | ', {day}, ' | ', {price}, ' |</li>')
+        ELSE CASE WHEN o_orderkey % 2 = 0 THEN concat('<li>', {name}, ' ', {day}, ' ', {price}, '.</li>')
+             ELSE concat('<li>', {day}, ' ', {name}, ' ', {price}, '.</li>') END END"""
+    return (spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+            .groupBy(F.expr("o_orderkey div 4").alias("b"))
+            .agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.expr(line).alias("line")))).alias("lines"))
+            .selectExpr("b", "concat('<html><body><article><ul>', array_join(transform(lines, l -> l.line), ' '), '</ul></article></body></html>') AS html"))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agenda_pages(spark, sf_dir).select("url", "html").unionByName(event_pages(spark, sf_dir))
 
