@@ -86,8 +86,8 @@ _TICKET = rf"\((https?://[^\s()]*(?:{'|'.join(s.replace('.', r'[.]') for s in TI
 
 # A block of a page's content ends behind a sentence, a closing bracket, a bar or a bullet, and behind a
 # price that stands first in it. Short forms of names and words end no sentence.
-_SHORT = r"(?<!\b(?:St|Mr|Ms|Dr|vs|ft|No|Mrs|feat|live))"
-_BLOCK_END = rf"{_SHORT}[.!?;](?={WS}|\z)|[)|•·](?={WS}|\z)"
+_SHORT = r"(?<!\b(?:St|Mr|Ms|Dr|vs|ft|No|Mrs|feat)[.])"
+_BLOCK_END = rf"[.!?;)|•·](?={WS}|\z){_SHORT}"
 _FIRST_PRICE = rf"(?s)\A(?:{WS}|[-–,:])*{_PRICE}"
 _EDGE = rf"(?:{WS}|[-–|•·,:])+"
 _LINK = r"\(https?://[^\s()]*\)"
@@ -140,10 +140,11 @@ def _gap(text: Column, first: Column, last: Column) -> Column:
 
         # Where the section of the next date starts: behind the last hard end that has text behind it,
         # else at the last text; on the way to the first date, at the first one.
-        last_text = F.array_max(F.filter(places, filled))
-        cut = F.coalesce(F.array_max(F.filter(places, lambda i: hard(i) & (i < last_text))), F.lit(-1))
-        start = F.when(last_text.isNull(), n).when(first, cut + 1).when(cut >= 0, cut + 1).otherwise(last_text)
-        return let(start, lambda at: scored(blocks, at))
+        def start(last_text: Column) -> Column:
+            cut = F.coalesce(F.array_max(F.filter(places, lambda i: (i < last_text) & hard(i))), F.lit(-1))
+            return F.when(last_text.isNull(), n).otherwise(let(cut, lambda c: F.when(first | (c >= 0), c + 1).otherwise(last_text)))
+
+        return let(F.array_max(F.filter(places, filled)), lambda last_text: let(start(last_text), lambda at: scored(blocks, at)))
 
     def scored(blocks: Column, at: Column) -> Column:
         n = F.size(blocks)
@@ -178,8 +179,8 @@ def extract_events(url: Column, content: Column) -> Column:
     page. The venue is what follows `@` or `at` in the headline, else the block behind a bar after it. A
     page with one date that leads needs a venue, a price or a ticket link.
     """
-    def gaps_of(dates: Column) -> Column:
-        pieces = F.split(content, _DATE, -1)
+    def gaps_of(text: Column, dates: Column) -> Column:
+        pieces = F.split(text, _DATE, -1)
         count = F.size(dates)
         gaps = F.transform(pieces, lambda g, k: _gap(g, k == 0, k == count))
         return let(gaps, lambda gs: let(page(gs, count), lambda modes: events(gs, dates, count, modes)))
@@ -255,9 +256,12 @@ def extract_events(url: Column, content: Column) -> Column:
             url.alias("url"),
         )
 
-    found = F.coalesce(F.regexp_extract_all(content, F.lit(f"({_DATE})"), F.lit(1)), F.array().cast("array<string>"))
+    def dated(text: Column) -> Column:
+        found = F.coalesce(F.regexp_extract_all(text, F.lit(f"({_DATE})"), F.lit(1)), F.array().cast("array<string>"))
+        return let(found, lambda dates: F.when(F.size(dates) > 0, gaps_of(text, dates)).otherwise(none))
+
     none = F.array().cast("array<struct<title:string,date:string,venue_name:string,description:string,price:string,ticket_url:string,url:string>>")
-    return let(found, lambda dates: F.when(F.size(dates) > 0, gaps_of(dates)).otherwise(none))
+    return let(content, dated)
 
 
 def rule_response(pages: Column) -> Column:
