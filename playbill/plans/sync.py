@@ -154,9 +154,10 @@ def run_sync(
 
 def clear_store(store: Store) -> tuple[Head, DataFrame]:
     """Removes all gigs but manual ones; the count of removed ones is one row (`deleted`)."""
-    kept, deleted = clear_non_manual(store.gigs())
-    none = store.gigs().limit(0)
-    return store.replace(kept.drop("month"), none.drop("month"), store.venues().limit(0)), deleted
+    head = store.head()
+    gigs = store.gigs(head)
+    kept, deleted = clear_non_manual(gigs)
+    return store.replace(kept.drop("month"), gigs.limit(0).drop("month"), store.venues(head).limit(0), base=head), deleted
 
 
 def sync_store(
@@ -168,11 +169,15 @@ def sync_store(
     clear: bool = False,
 ) -> tuple[Head, SyncResult]:
     """One run against a store. With `clear`, only manual gigs survive; the new state
-    is complete before readers see it."""
-    gigs, venues = store.gigs(), store.venues()
+    is complete before readers see it. Other runs may write meanwhile."""
+    base = store.head()
+    gigs, venues = store.gigs(base), store.venues(base)
     if clear:
         gigs, _ = clear_non_manual(gigs)
     result = run_sync(hits, pages, gigs, venues, options, fn)
     new = result.reconciled
-    head = store.replace(gigs.drop("month"), new.gigs, new.venues) if clear else store.append(new.gigs, new.venues)
+    if clear:
+        head = store.replace(gigs.drop("month"), new.gigs, new.venues, base=base)
+    else:
+        head = store.append(new.gigs, new.venues, base=base)
     return head, result

@@ -20,8 +20,8 @@ def apply_batch(store: Store, responses: DataFrame, source: str, batch_id: int,
                 tz: str = DEFAULT_ZONE, day_first: bool = False) -> None:
     """Match one micro-batch of responses against the store and add what is new.
 
-    A batch that is already recorded is left alone; one that was cut short is done
-    again and replaces what it had written.
+    A batch that is already recorded is left alone; what one that was cut short has written is
+    never read, and it is done again.
     """
     if store.done(source, batch_id):
         return
@@ -35,7 +35,7 @@ def apply_batch(store: Store, responses: DataFrame, source: str, batch_id: int,
     found = materialize(candidates(unique, tz, day_first), "candidates")
     result = reconcile(found, store.gigs(head), store.venues(head), materialize,
                        width=4096 << POSITION_BITS)
-    store.append(result.gigs, result.venues, source, batch_id)
+    store.append(result.gigs, result.venues, source, batch_id, base=head)
 
 
 def start_incremental(

@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -9,7 +10,7 @@ from playbill.operators.reconcile import gig_outcomes
 from playbill.plans.sync import SyncOptions, sync_store
 from playbill.sources.jdbc import jdbc_options
 from playbill.sources.pages import scrape_counts, scrape_rows, successful, with_text
-from playbill.sources.store import Head, Store
+from playbill.sources.store import Conflict, Head, Store
 from playbill.streaming.incremental import apply_batch, start_incremental
 
 
@@ -210,3 +211,63 @@ def test_command_line(spark, tmp_path):
     assert Store(spark, str(tmp_path / "store")).gigs().count() == 0 and Store(spark, str(tmp_path / "store")).venues().count() == 3
     job.main(["frontier", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "frontier"), "--max-details", "3"])
     assert spark.read.parquet(str(tmp_path / "frontier")).count() == 3
+
+
+def venue(i, name):
+    return (i, name, None, None, None)
+
+
+def test_two_writers_keep_both_runs(spark, db):
+    """Both runs are made against the same head; the second is fitted to the first."""
+    db.append(spark.createDataFrame([gig(1, "old")], schemas.GIG), spark.createDataFrame([venue(1, "Hall")], schemas.VENUE))
+    base = db.head()
+    first = [gig(2, "Alpha"), gig(3, "Beta")], [venue(2, "Depot")]
+    second = [(2, "BETA", datetime(2026, 1, 1, 5), None, None, None, None, 2, False), gig(3, "Gamma"),
+              (4, "Delta", datetime(2026, 1, 2), None, None, None, None, 3, False)], [venue(2, "DEPOT"), venue(3, "Mill")]
+    for gigs, venues in (first, second):
+        Store(spark, db.root).append(spark.createDataFrame(gigs, schemas.GIG), spark.createDataFrame(venues, schemas.VENUE), base=base)
+    assert db.head() == Head(0, 3)
+    rows = {r.title: r for r in db.gigs().collect()}
+    assert sorted(rows) == ["Alpha", "Beta", "Delta", "Gamma", "old"]
+    assert sorted(r.id for r in rows.values()) == [1, 2, 3, 5, 6]
+    names = {r.id: r.name for r in db.venues().collect()}
+    assert sorted(names.values()) == ["Depot", "Hall", "Mill"] and names[rows["Delta"].venue_id] == "Mill"
+    assert names[rows["Gamma"].venue_id] == "Hall"
+
+
+def test_runs_at_the_same_time(spark, db):
+    base = db.head()
+
+    def work(k):
+        gigs = [gig(i + 1, f"{k}-{i}") for i in range(3)] + [gig(4, "everyone's")]
+        return db.append(spark.createDataFrame(gigs, schemas.GIG), spark.createDataFrame([venue(1, "Hall")], schemas.VENUE), base=base)
+
+    with ThreadPoolExecutor(4) as pool:
+        heads = list(pool.map(work, range(4)))
+    assert sorted(h.run for h in heads) == [1, 2, 3, 4]
+    rows = db.gigs().collect()
+    assert len(rows) == 13 and len({r.id for r in rows}) == 13 and len({r.title for r in rows}) == 13
+    assert [(r.id, r.name) for r in db.venues().collect()] == [(1, "Hall")] and {r.venue_id for r in rows} == {1}
+
+
+def test_a_clear_keeps_what_came_meanwhile(spark, db):
+    none = spark.createDataFrame([], schemas.VENUE)
+    db.append(spark.createDataFrame([gig(1, "a"), gig(2, "kept", manual=True)], schemas.GIG), none)
+    base = db.head()
+    db.append(spark.createDataFrame([gig(3, "late")], schemas.GIG), none)
+    kept = db.gigs(base).where("manual")
+    db.replace(kept, spark.createDataFrame([gig(3, "new")], schemas.GIG), none, base=base)
+    assert sorted((r.title, r.id) for r in db.gigs().collect()) == [("kept", 2), ("late", 3), ("new", 4)]
+    with pytest.raises(Conflict):
+        db.replace(kept, spark.createDataFrame([], schemas.GIG), none, base=base)
+
+
+def test_a_claimed_run_is_not_claimed_again(spark, db):
+    assert db.claim(Head(0, 1), "x") and not db.claim(Head(0, 1), "y")
+    assert [r.token for r in db.heads().collect()] == ["x"]
+
+
+def test_a_batch_is_stored_once(spark, db):
+    rows = spark.createDataFrame([gig(1)], schemas.GIG), spark.createDataFrame([], schemas.VENUE)
+    assert db.append(*rows, "s", 7) == db.append(*rows, "s", 7) == Head(0, 1)
+    assert db.gigs().count() == 1
