@@ -11,8 +11,9 @@ the item's score against itself, so one threshold serves all items. For each pas
 3. postings are scored only in blocks whose bound reaches it; all items above it are candidates.
 
 A candidate counts when the words around the passage hold enough of the item's question
-and of its answer (word trigrams). The question ends at the item's last question mark,
-or else after three quarters of its words.
+and of its answer: runs of three words, or of as many as a shorter part has. The question ends at the
+item's last question mark, or else after three quarters of its words. Words are runs of letters, marks
+and numbers; in scripts written without spaces every character is a word.
 
 An index shard holds at most `ITEMS` items and `WORDS` words (or one item), which bounds what a
 task is sent. Shards that stay below both together share one reading of the texts; with more
@@ -42,15 +43,38 @@ PASSAGE, STEP, BLOCK, ITEMS, WORDS = 64, 24, 8, 5_000, 320_000
 CELLS = 4_000_000
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.5
 K1, B = 1.2, 0.75
+# The question marks of several scripts.
+QUESTION_MARKS = "?？؟;"
 
 
-def trigrams(words: np.ndarray) -> np.ndarray:
-    """Hashes of three words in a row; fewer words make one."""
-    if len(words) < 3:
-        words = np.r_[words, np.zeros(3 - len(words), np.uint64)] if len(words) else words
-    if not len(words):
-        return words
-    return mix(words[:-2] + words[1:-1] * np.uint64(0x9E3779B97F4A7C15) + words[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
+GRAM = 3
+
+
+def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """Hashes of n words in a row."""
+    if len(words) < n or not n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for k, factor in zip(range(n), (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        out += words[k : len(words) - n + 1 + k] * np.uint64(factor)
+    return mix(out)
+
+
+class Part(NamedTuple):
+    """A question or an answer: the distinct runs of `n` words in it. One of fewer than `GRAM` words is
+    a run of its own length."""
+
+    n: int
+    runs: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> Part:
+        n = min(GRAM, len(words))
+        return cls(n, np.unique(grams(words, n)))
+
+    def share(self, words: np.ndarray) -> float:
+        """The share of the part's runs that are among those of `words`; 1 for an empty part."""
+        return float(np.isin(self.runs, grams(words, self.n)).mean()) if len(self.runs) else 1.0
 
 
 def passage_for(words: int) -> tuple[int, int]:
@@ -121,12 +145,12 @@ class Index:
         self.block_first = np.searchsorted(of[order][new], np.arange(len(self.terms) + 1))
 
     @staticmethod
-    def _halves(text: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mark = text.rfind("?")
+    def _halves(text: str, words: np.ndarray) -> tuple[Part, Part]:
+        mark = max(text.rfind(c) for c in QUESTION_MARKS)
         cut = len(letter_words(pa.array([text[: mark + 1]]))[0]) if mark >= 0 else 0
         if not 0 < cut < len(words):
             cut = max(1, len(words) * 3 // 4)
-        return np.unique(trigrams(words[:cut])), np.unique(trigrams(words[cut:]))
+        return Part.of(words[:cut]), Part.of(words[cut:])
 
     def search(self, term: np.ndarray, first: np.ndarray, least: float) -> Iterator[tuple[int, int, int, float]]:
         """(row, passage start, item, score) of every item at `least` or more. `term`: index of each
@@ -193,8 +217,8 @@ class Index:
         term = np.where(self.terms[term] == words, term, -1)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for row, start, item, score in self.search(term, first, least):
-            near = trigrams(words[max(first[row], start - self.passage) : min(first[row + 1], start + 2 * self.passage)])
-            q, a = (float(np.isin(part, near).mean()) if len(part) else 1.0 for part in self.parts[item])
+            near = words[max(first[row], start - self.passage) : min(first[row + 1], start + 2 * self.passage)]
+            q, a = (part.share(near) for part in self.parts[item])
             if q >= question and a >= answer:
                 best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, q, a))
         for (row, item), (score, q, a) in sorted(best.items()):

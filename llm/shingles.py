@@ -5,9 +5,12 @@ Words are runs of bytes other than space and \\t \\n \\v \\f \\r, with A-Z lower
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from llm.arrays import SpanHash, mix, utf8
 
@@ -64,13 +67,40 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return out, np.searchsorted(row, np.arange(rows + 1))
 
 
+# How a code point takes part in words: it separates them, it is part of one, or it is one.
+_SEPARATES, _PART, _ALONE = range(3)
+# Scripts that are written without spaces between words.
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+
+
+@lru_cache(maxsize=1)
+def _roles() -> np.ndarray:
+    """The role of every code point: letters, marks and numbers make words, all else separates."""
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 32
+    every = points.tobytes().decode("utf-32-le")
+    out = np.full(len(points), _SEPARATES, np.uint8)
+    for role, pattern in ((_PART, r"[\p{L}\p{M}\p{N}]+"), (_ALONE, _UNSPACED + "+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = role
+    return out
+
+
 def letter_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of every row plus the total): runs of letters and digits
-    (ASCII ones, and every byte beyond ASCII) in lower case; other marks separate."""
+    """(hash of every word, first word of every row plus the total): runs of letters, marks and
+    numbers in lower case. In scripts without spaces each character is a word."""
     data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
-    inside = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    start = np.flatnonzero(inside & (np.r_[True, ~inside[:-1]][: len(data)] | edge[:-1]))
-    end = np.flatnonzero(inside & (np.r_[~inside[1:], True][: len(data)] | edge[1:])) + 1
+    if len(data) and data.max() >= 128:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    else:
+        points, size = data, np.ones(len(data), np.int64)
+    at = np.r_[0, np.cumsum(size)]
+    role = _roles()[points]
+    edge = np.zeros(len(points) + 1, bool)
+    edge[np.searchsorted(at, offsets)] = True
+    part = role == _PART
+    start = (role == _ALONE) | part & (~np.r_[False, part[:-1]][: len(part)] | edge[:-1])
+    end = (role == _ALONE) | part & (~np.r_[part[1:], False][: len(part)] | edge[1:])
+    start, end = at[np.flatnonzero(start)], at[np.flatnonzero(end) + 1]
     return SpanHash(data).spans(start, end), np.searchsorted(start, offsets)
