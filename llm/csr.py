@@ -16,6 +16,11 @@ from llm.arrays import ragged
 CELLS = 2_000_000
 
 
+def _starts(owner: np.ndarray, rows: int) -> np.ndarray:
+    """Where each owner's entries begin, in order of the owners, plus the total."""
+    return np.r_[0, np.cumsum(np.bincount(owner, minlength=rows))]
+
+
 @dataclass
 class CSR:
     first: np.ndarray
@@ -31,12 +36,14 @@ class CSR:
     def of_owner(cls, owner: np.ndarray, rows: int) -> CSR:
         """The incidence of `rows` owners and the places of `owner`, which never falls: entry
         (owner[p], p) is one."""
-        return cls(np.searchsorted(owner, np.arange(rows + 1)), np.arange(len(owner)), np.ones(len(owner), np.int64), len(owner))
+        return cls(_starts(owner, rows), np.arange(len(owner)), np.ones(len(owner), np.int64), len(owner))
 
     def transposed(self) -> CSR:
-        order = np.argsort(self.at, kind="stable")
         row = np.repeat(np.arange(self.rows), np.diff(self.first))
-        return CSR(np.searchsorted(self.at[order], np.arange(self.width + 1)), row[order], self.value[order], self.rows)
+        if np.all(self.at[1:] >= self.at[:-1]):
+            return CSR(_starts(self.at, self.width), row, self.value, self.rows)
+        order = np.argsort(self.at, kind="stable")
+        return CSR(_starts(self.at, self.width), row[order], self.value[order], self.rows)
 
     def expanded(self, other: CSR) -> np.ndarray:
         """How many entries the product of each row expands to, before equal columns are added up."""
