@@ -47,6 +47,8 @@ _LONG_SPACE = re.compile(r"\s{50000}")
 SEPARATORS = ",|;"
 # Id pairs a task counts before it hands them on.
 PAIRS = 1_000_000
+# Bytes of text that are aligned at a time.
+SLICE = 250_000
 
 
 def _path(model: str) -> str:
@@ -228,7 +230,7 @@ def align(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
         width = len(models[1].bytes.length)
         digits = _digits(max(len(models[0].bytes.length), width))
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 al = Alignment(models, part.column("_text").to_pylist())
                 groups = [hashlib.sha256(g).hexdigest() if g else "" for g in al.group_texts(digits)]
                 pairs = (al.a[al.link_a] * width + al.b[al.link_b]).astype("<u8")
@@ -253,7 +255,7 @@ def link_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = tokenizers(a, b)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 al = Alignment(models, part.column("_text").to_pylist())
                 for i, j, weight in al.shared() if shared else al.overlaps():
                     row = np.searchsorted(al.a_first, i, "right") - 1
