@@ -18,7 +18,7 @@ from playbill.functions.rules import (
     city_ok,
     is_event_link,
 )
-from playbill.operators.keyed import first_by, lookup_join, top_per
+from playbill.operators.keyed import first_by, lookup_join, small, top_per
 
 # Source tiers by site: lower is better (fixed values). Unlisted sites rank 4.
 SITE_TIERS = {
@@ -64,6 +64,7 @@ def rank_sources(
     tiers: Mapping[str, int] | DataFrame = SITE_TIERS,
     n: int | None = None,
     other_cities: Sequence[str] = OTHER_CITIES,
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """The best `n` source pages, from as many different hosts as possible.
 
@@ -72,7 +73,8 @@ def rank_sources(
     round lower tiers come first, and last-resort sites come after all others.
     `n=None` keeps and ranks every page that passes. `tiers` maps a host or site to its
     tier, as a mapping or, when the list is long, a table (host, tier); the host's own
-    tier comes before its site's, and the better of two rows for one name counts.
+    tier comes before its site's, and the better of two rows for one name counts. A table too long
+    to be broadcast is looked up once per host; `stage` may write what that reads more than once.
     """
     words = F.concat_ws(" ", "title", "description")
     host = hostname(F.col("url"))
@@ -87,11 +89,7 @@ def rank_sources(
         )
     )
     if isinstance(tiers, DataFrame):
-        spread = F.concat_ws(":", "query_idx", "rank", "url")
-        table = tiers.groupBy("host").agg(F.min("tier").alias("_tier"))
-        known = lookup_join(kept, table, ["host"], spread)
-        by_site = table.select(F.col("host").alias("site"), F.col("_tier").alias("_site_tier"))
-        known = lookup_join(known, by_site, ["site"], spread).withColumn("_tier", F.coalesce("_tier", "_site_tier")).drop("_site_tier")
+        known = _tiered(kept, tiers.groupBy("host").agg(F.min("tier").alias("_tier")), stage)
     else:
         table = F.create_map(*[F.lit(x) for pair in tiers.items() for x in pair])
         known = kept.withColumn("_tier", F.coalesce(table[F.col("host")], table[F.col("site")]))
@@ -106,6 +104,21 @@ def rank_sources(
     )
 
 
+def _tiered(kept: DataFrame, table: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`kept` with `_tier`: that of its host in `table` (host, _tier), or else that of its site."""
+    own = table.select("host", F.col("_tier").alias("_own"))
+    by_site = table.select(F.col("host").alias("site"), F.col("_tier").alias("_site_tier"))
+    if small(table):
+        both = kept.join(F.broadcast(own), "host", "left").join(F.broadcast(by_site), "site", "left")
+        return both.withColumn("_tier", F.coalesce("_own", "_site_tier")).drop("_own", "_site_tier")
+    kept = stage(kept, "kept")
+    hosts = stage(kept.groupBy("host").agg(F.first("site").alias("site"), F.count(F.lit(1)).alias("n")), "hosts")
+    # Hosts are unique, sites are not: those lookups may meet a hot key.
+    sites = lookup_join(hosts.join(own, "host", "left"), by_site, ["site"], F.col("host"), fits=False)
+    tier = stage(sites.select("host", F.coalesce("_own", "_site_tier").alias("_tier")).where("_tier IS NOT NULL"), "tiers")
+    return lookup_join(kept, tier, ["host"], F.concat_ws(":", "query_idx", "rank", "url"), hosts.select("host", "n"))
+
+
 def add_if_absent(urls: DataFrame, extra: Sequence[str]) -> DataFrame:
     """Append constant addresses that the table does not hold yet.
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when the optimizer's size estimate is below this.
+# A side is broadcast only when its measured rows and bytes are not above these.
 BROADCAST_BYTES = 10 * 1024 * 1024
+BROADCAST_ROWS = 200_000
 # A key is hot when it holds more than 1/SLICES of all rows.
 SLICES = 1024
 # Unique integer keys are grouped into ranges of this width.
@@ -35,9 +38,27 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return top_per(df, keys, order, 1)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted in one distributed pass; one row reaches the driver. The optimizer's
+    estimates are no measure: they are boundless for local rows and low for well-packed files."""
+    def size(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+        return F.lit(8)
+
+    wide = reduce(lambda x, y: x + y, [size(f"`{f.name}`", f.dataType) for f in df.schema.fields], F.lit(8))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(wide.cast("bigint")), F.lit(0)).alias("b")).first()
+    return row.n, row.b
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast, by its measured size."""
+    if most_bytes <= 0:
+        return False
+    rows, size = measured(df)
+    return rows <= BROADCAST_ROWS and size <= most_bytes
 
 
 def lookup_join(
@@ -48,11 +69,12 @@ def lookup_join(
     counts: DataFrame | None = None,
     slices: int = SLICES,
     broadcast_bytes: int = BROADCAST_BYTES,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Left join `rows` to `table`, which has at most one row per key.
 
-    A table below `broadcast_bytes` is broadcast and `rows` stays where it is.
-    Otherwise both sides shuffle on the key, and every hot key is spread: its rows
+    A table that is measured not above `broadcast_bytes` is broadcast and `rows` stays where it
+    is; `fits` saves measuring one whose size is known. Otherwise both sides shuffle on the key, and every hot key is spread: its rows
     go to `ceil(share * slices)` slices chosen by `spread` (any well-spread column,
     such as the row id) and its table row is copied to each. Fewer than `slices`
     keys can hold more than 1/slices of the rows, so the list of hot keys has a
@@ -62,7 +84,7 @@ def lookup_join(
     `counts` (key columns and `n`) saves counting the rows per key again.
     """
     on = list(on)
-    if estimated_bytes(table) <= broadcast_bytes:
+    if small(table, broadcast_bytes) if fits is None else fits:
         return rows.join(F.broadcast(table), on, "left")
 
     if counts is None:
@@ -112,6 +134,22 @@ def number_rows(df: DataFrame, order: Sequence[str], bucket: Column, name: str =
             .drop("_b", "_i", "_start"))
 
 
+def number_sorted(keys: DataFrame, order: Sequence[str], name: str, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Number rows 1, 2, 3 ... in an order that is unique, however sparse or skewed its first columns are.
+
+    The rows are written once, in sampled ranges of even size; a row's number is its place in its
+    range plus the rows of the ranges before. One task sums up one count per range, and no task
+    sorts more than a range.
+    """
+    ranged = stage(keys.repartitionByRange(*order).sortWithinPartitions(*order)
+                   .withColumn("_m", F.monotonically_increasing_id()), "ranges")
+    placed = ranged.select(*keys.columns, F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_p").select(*keys.columns, (F.col("_start") + F.col("_at") + 1).alias(name))
+
+
 def id_range(key: Column, width: int = RANGE_WIDTH) -> Column:
     """Range of a unique integer key; holds at most `width` rows."""
     return F.floor(key / F.lit(width)).cast("bigint")

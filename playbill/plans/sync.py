@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playbill.functions.base import compute_once
 from playbill.functions.dates import DEFAULT_ZONE
 from playbill.functions.html import choose_content, prompt_content
 from playbill.functions.rules import EXTRACTION_GENRES, OTHER_CITIES, SKIP_GENRES, is_event_link
@@ -15,10 +16,15 @@ from playbill.operators.extraction import (
     BATCH_SIZE,
     POSITION_BITS,
     apply_rules,
+    batch_counts,
     candidates,
     chunk,
     collect_batches,
+    extract_events,
+    extraction_index,
+    normalize_gigs,
     score_batches,
+    valid_dates,
 )
 from playbill.operators.frontier import (
     SITE_TIERS,
@@ -39,6 +45,7 @@ from playbill.operators.reconcile import (
     Stage,
     clear_non_manual,
     reconcile,
+    same,
     sync_stats,
 )
 from playbill.session import materialize
@@ -80,13 +87,14 @@ class SyncResult:
     candidates: DataFrame
     reconciled: Reconciled
     stats: DataFrame
+    batches: DataFrame   # successful and failed batches
 
 
-def choose_sources(hits: DataFrame, o: SyncOptions) -> tuple[DataFrame, DataFrame]:
+def choose_sources(hits: DataFrame, o: SyncOptions, stage: Stage = same) -> tuple[DataFrame, DataFrame]:
     """Unique hits, and the source pages to read. No hits means no sources at all,
     not even the constant ones."""
     unique = unique_hits(cap_hits(project_hits(hits), o.hits_per_query))
-    ranked = rank_sources(unique, o.tiers, o.max_sources, o.other_cities)
+    ranked = rank_sources(unique, o.tiers, o.max_sources, o.other_cities, stage)
     some = unique.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() > 0
     return unique, add_if_absent(ranked, o.extra_urls).where(some)
 
@@ -99,18 +107,40 @@ def crawl_frontier(pages: DataFrame, n: int | None = None, seed: str = "0",
     return sample_urls(distinct_urls(route_pages(linked, rule, links_per_page)), n, seed)
 
 
-def page_facts(pages: DataFrame, o: SyncOptions) -> DataFrame:
-    """What a run needs of each page (url, html): the addresses it leads to, and its
-    content. One pass over the markup, which goes no further than this. Of several rows
-    for one address the one with the longest content counts, then the larger text."""
+def page_facts(pages: DataFrame, o: SyncOptions, texts: bool = True) -> DataFrame:
+    """What a run needs of each page (url, html, or a row of `read_pages`): the addresses it leads to, whether it has content, and
+    its content or, without `texts`, the events that the rules find in it. One pass over the markup; neither
+    that nor, without `texts`, any page text goes further than this. Of several rows for one address the one with
+    the longest content counts, then one by a digest of it."""
     budget = o.budget
-    rows = successful(scrape_rows(pages.select("url", "html")))
+    scraped = pages if "raw_html" in pages.columns else scrape_rows(pages.select("url", "html"))
+    rows = successful(scraped)
     text, raw = F.col("text"), F.col("raw_html")
-    content = choose_content(text, raw) if budget is None else prompt_content(text, raw, budget)
-    facts = rows.select("url", detail_targets(o.link_rule, o.links_per_page).alias("targets"),
-                        F.when(has_text(), content).alias("content"))
-    best = F.max_by(F.struct("targets", "content"), F.struct(F.length("content"), "content", F.xxhash64("targets")))
-    return facts.groupBy("url").agg(best.alias("f")).select("url", "f.targets", "f.content")
+    content = F.when(has_text(), choose_content(text, raw) if budget is None else prompt_content(text, raw, budget))
+    read = compute_once(rows.select("url", "text", "raw_html", "links"), content=content)
+    body = F.col("content") if texts else extract_events(F.col("url"), F.col("content"))
+    facts = compute_once(read.select("url", "links", "content"), targets=detail_targets(o.link_rule, o.links_per_page), body=body,
+                         size=F.length("content"), digest=F.xxhash64("content")).drop("content", "links")
+    best = F.max_by(F.struct("targets", "body", (F.col("size") > 0).alias("full")), F.struct("size", "digest", F.xxhash64("targets")))
+    return facts.groupBy("url").agg(best.alias("f")).select("url", "f.targets", F.col("f.body").alias("content" if texts else "events"), "f.full")
+
+
+def rule_records(numbered: DataFrame, o: SyncOptions) -> DataFrame:
+    """Typed records of pages (batch, slot, events) with their extraction index: what a scorer's responses
+    would give, without writing and reading them."""
+    most = (1 << POSITION_BITS) // max(o.batch_size, 1)
+    items = numbered.select("batch", "slot", F.posexplode("events").alias("at", "e"))
+    pos = F.when(F.col("at") < most, F.col("slot") * most + F.col("at"))
+    records = items.select("batch", pos.alias("pos"), "e.*", F.lit(None).cast("string").alias("image_url"))
+    gigs = valid_dates(normalize_gigs(records, o.tz, o.day_first))
+    return gigs.withColumn("i", extraction_index(F.col("batch"), F.col("pos")))
+
+
+def rule_responses(placed: DataFrame) -> DataFrame:
+    """What the rules found, as response texts (batch, response, error); no step of a run reads them."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("slot", "events"))), lambda p: p["events"])
+    return placed.groupBy("batch").agg(F.to_json(F.struct(F.flatten(texts).alias("gigs"))).alias("response"),
+                                       F.lit(None).cast("string").alias("error"))
 
 
 def run_sync(
@@ -123,33 +153,35 @@ def run_sync(
     stage: Stage = materialize,
 ) -> SyncResult:
     """One run over tables: hits (query_idx, rank, url, title, description), raw
-    pages (url, html), and the stored gigs and venues.
+    pages (url, html) or scraped ones (`read_pages`), and the stored gigs and venues.
 
     `fn` answers batch prompts; without it the written rules extract the events.
     Steps whose result is used more than once go through `stage`.
     """
     o = options
-    unique, sources = choose_sources(hits, o)
+    unique, sources = choose_sources(hits, o, stage)
     sources = stage(sources, "sources")
-    # All pages are worked on once, where they lie; markup is never shuffled.
-    facts = stage(page_facts(pages, o), "pages")
+    # All pages are worked on once, where they lie; markup is never shuffled, nor is text for the rules.
+    facts = stage(page_facts(pages, o, texts=fn is not None), "pages")
 
     targets = facts.join(sources, "url").select(F.explode("targets").alias("url")).distinct()
     frontier = stage(sample_urls(targets, o.max_details, o.seed), "frontier")
-    details = stage(facts.join(frontier, "url").select("url", "content"), "details")
+    details = stage(facts.join(frontier, "url").drop("targets"), "details")
 
-    order = details.where(F.length("content") > 0).select("url").join(frontier, "url")
+    order = details.where("full").select("url", "sample_key")
     numbered = chunk(order, ["sample_key", "url"], hash_range(F.col("sample_key")), o.batch_size)
-    batches = collect_batches(details.join(numbered, "url"))
-    scored = stage(score_batches(batches, fn), "scored")
-    found = candidates(scored, o.tz, o.day_first)
+    placed = details.drop("sample_key").join(numbered, "url")
     if fn is None:
-        found = apply_rules(found, o.as_of, o.keep_genres, o.skip_genres, o.other_cities)
+        scored = rule_responses(placed)
+        found = apply_rules(rule_records(placed, o), o.as_of, o.keep_genres, o.skip_genres, o.other_cities)
+    else:
+        scored = stage(score_batches(collect_batches(placed), fn), "scored")
+        found = candidates(scored, o.tz, o.day_first)
     found = stage(found, "candidates")
 
     result = reconcile(found, gigs, venues, stage, width=_BATCHES_PER_RANGE << POSITION_BITS)
     stats = sync_stats(unique, sources, details, result.outcomes)
-    return SyncResult(unique, sources, details, scored, found, result, stats)
+    return SyncResult(unique, sources, details, scored, found, result, stats, batch_counts(scored))
 
 
 def clear_store(store: Store) -> tuple[Head, DataFrame]:

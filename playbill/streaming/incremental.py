@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from playbill.functions.dates import DEFAULT_ZONE
-from playbill.operators.extraction import POSITION_BITS, candidates
-from playbill.operators.keyed import id_range, number_rows
+from playbill.operators.extraction import POSITION_BITS, candidates, extraction_index
+from playbill.operators.keyed import number_sorted
 from playbill.operators.reconcile import reconcile
 from playbill.session import materialize
 from playbill.sources.store import Store
@@ -26,13 +26,17 @@ def apply_batch(store: Store, responses: DataFrame, source: str, batch_id: int,
     if store.done(source, batch_id):
         return
     head = store.head()
-    # Files of different runs may repeat or lack batch numbers, so rows get numbers of their own,
-    # in order of batch, then of file and text.
+    # Files of different runs may repeat or lack batch numbers, so rows get numbers of their own, in
+    # order of batch, then of file and a digest of the text. The texts stay where they are.
     file = F.col("file") if "file" in responses.columns else F.lit(None).cast("string")
-    spread = responses.select(F.coalesce("batch", F.lit(-1)).alias("batch"), "response", file.alias("file"))
-    numbered = number_rows(spread, ["batch", "file", "response"], id_range(F.col("batch")), "_no")
-    unique = numbered.select((F.col("_no") - 1).alias("batch"), "response")
-    found = materialize(candidates(unique, tz, day_first), "candidates")
+    rows = materialize(responses.select(F.coalesce("batch", F.lit(-1)).alias("no"), file.alias("file"), "response",
+                                        F.monotonically_increasing_id().alias("batch")), "responses")
+    order = ["no", "file", "digest", "batch"]
+    numbers = number_sorted(rows.select("no", "file", F.xxhash64("response").alias("digest"), "batch"), order, "_no", materialize)
+    # One row per response on either side, so no key is hot but by the records of one response.
+    records = candidates(rows.select("batch", "response"), tz, day_first).drop("i").join(numbers.select("batch", "_no"), "batch")
+    numbered = records.withColumn("batch", F.col("_no") - 1).drop("_no")
+    found = materialize(numbered.withColumn("i", extraction_index(F.col("batch"), F.col("pos"))), "candidates")
     result = reconcile(found, store.gigs(head), store.venues(head), materialize,
                        width=4096 << POSITION_BITS)
     store.append(result.gigs, result.venues, source, batch_id, base=head)

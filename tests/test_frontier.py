@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from playbill import schemas
 from playbill.operators import frontier
 from playbill.plans.sync import SyncOptions, choose_sources
+from playbill.session import materialize
 from playbill.sources import responses, seed
 
 
@@ -83,3 +84,28 @@ def test_fixed_inputs(spark):
     queries = seed.search_queries(spark).collect()
     assert [q.query_idx for q in queries] == [0, 1, 2] and queries[0].search_lang == "el"
     assert seed.extra_urls(spark).count() == 2
+
+
+def many_hits(spark):
+    rows = [(q, r, f"https://{h}.{s}.gr/{r}", "rock", None)
+            for q in range(3) for r, (h, s) in enumerate([("www", "hot")] * 20 + [(f"h{k}", "pages") for k in range(20)] + [("a", f"s{k}") for k in range(20)])]
+    tiers = [("hot.gr", 2), ("www.hot.gr", 3), ("pages.gr", 1), ("h3.pages.gr", 5), ("h3.pages.gr", 4), ("s7.gr", 1)]
+    return spark.createDataFrame(rows, schemas.SEARCH_HIT), spark.createDataFrame(tiers, "host string, tier int")
+
+
+def test_long_tier_tables_give_the_same(spark, monkeypatch):
+    hits, tiers = many_hits(spark)
+    want = sorted(map(tuple, frontier.rank_sources(hits, {h: t for h, t in tiers.groupBy("host").agg(F.min("tier")).collect()}).select("url", "query_idx", "tier").collect()))
+    assert sorted(map(tuple, frontier.rank_sources(hits, tiers).select("url", "query_idx", "tier").collect())) == want
+    monkeypatch.setattr(frontier, "small", lambda table: False)
+    long = frontier.rank_sources(hits, tiers, stage=materialize)
+    assert sorted(map(tuple, long.select("url", "query_idx", "tier").collect())) == want
+
+
+def test_short_tier_tables_are_read_once_or_twice(spark, tmp_path):
+    hits, tiers = many_hits(spark)
+    for name, frame in (("hits", hits), ("tiers", tiers)):
+        frame.write.parquet(str(tmp_path / name))
+    ranked = frontier.rank_sources(spark.read.parquet(str(tmp_path / "hits")), spark.read.parquet(str(tmp_path / "tiers")))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and "SortMergeJoin" not in plan

@@ -77,3 +77,41 @@ def test_page_by_range(spark, offset, limit):
     rows = got.collect()
     assert [r._row for r in sorted(rows)] == [r._first for r in sorted(rows)] == list(range(offset + 1, offset + 1 + len(rows)))
     assert sorted((r.d, r.id) for r in rows) == sorted((k % 3, k) for k in keys)[offset:offset + limit]
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, f"t{k}") for k in range(700)],                                  # one batch number holds all rows
+    [(random.Random(k).getrandbits(63) - (1 << 62), f"t{k}") for k in range(700)],  # sparse hashes
+    [(None, "same")] * 50 + [(1 << 40, "x")] * 50, []])
+def test_number_sorted(spark, rows):
+    frame = spark.createDataFrame(rows, "b long, t string").withColumn("u", F.monotonically_increasing_id())
+    got = keyed.number_sorted(frame, ["b", "t", "u"], "no", materialize).collect()
+    assert sorted(r.no for r in got) == list(range(1, len(rows) + 1))
+    key = lambda b, t: (b is not None, b or 0, t)
+    assert [key(r.b, r.t) for r in sorted(got, key=lambda r: r.no)] == sorted(key(*r) for r in rows)
+
+
+def test_number_sorted_deals_ranges_evenly(spark):
+    """One batch number, 100,000 rows: no range holds more than twice the mean, and no window sorts rows."""
+    seen = {}
+
+    def stage(df, name):
+        seen[name] = materialize(df, name)
+        return seen[name]
+
+    frame = spark.range(100_000).select(F.lit(0).alias("b"), F.xxhash64("id").alias("h"), "id")
+    got = keyed.number_sorted(frame.repartition(8), ["b", "h", "id"], "no", stage)
+    sizes = [r["count"] for r in seen["ranges"].groupBy(F.shiftright("_m", 33)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert got.agg(F.min("no"), F.max("no"), F.count_distinct("no")).first() == (1, 100_000, 100_000)
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+    assert len(windows) == 1 and "_c" in windows[0]
+
+
+def test_tables_are_measured(spark, tmp_path):
+    """A literal table is small; a file that packs well is not, whatever the optimizer thinks of them."""
+    assert keyed.small(spark.createDataFrame([("a.gr", 1), ("b.gr", 2)], "host string, tier int"))
+    spark.range(300_000).select((F.col("id") % 2).alias("k"), F.repeat(F.lit("x"), 100).alias("v")).write.parquet(str(tmp_path / "packed"))
+    packed = spark.read.parquet(str(tmp_path / "packed"))
+    assert not keyed.small(packed) and keyed.measured(packed) == (300_000, 300_000 * 116)
+    assert not keyed.small(packed.limit(1), 0) and keyed.small(packed.limit(1))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from playbill import schemas
 from playbill.operators.listing import upcoming
+from playbill.operators.extraction import apply_rules, candidates
 from playbill.operators.reconcile import gig_outcomes
-from playbill.plans.sync import SyncOptions, sync_store
+from playbill.plans.sync import SyncOptions, page_facts, run_sync, sync_store
+from playbill.session import materialize
 from playbill.sources.jdbc import jdbc_options
-from playbill.sources.pages import scrape_counts, scrape_rows, successful, with_text
+from playbill.sources.pages import read_pages, scrape_counts, scrape_rows, successful, with_text
 from playbill.sources.store import Conflict, Head, Store
 from playbill.streaming.incremental import apply_batch, start_incremental
 
@@ -271,3 +273,41 @@ def test_a_batch_is_stored_once(spark, db):
     rows = spark.createDataFrame([gig(1)], schemas.GIG), spark.createDataFrame([], schemas.VENUE)
     assert db.append(*rows, "s", 7) == db.append(*rows, "s", 7) == Head(0, 1)
     assert db.gigs().count() == 1
+
+
+def test_no_page_text_is_shuffled(spark, db):
+    """Rules read a page in its own row: neither markup nor text is in any exchange of the run."""
+    hits, pages = site(spark)
+    plans = []
+
+    def watch(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    options = SyncOptions(as_of="2026-01-01")
+    result = run_sync(hits, pages, db.gigs(), db.venues(), options, stage=watch)
+    assert result.stats.first().gigs_created == 3
+    for plan in plans:
+        for line in plan.split("\n"):
+            if "Exchange" in line:
+                assert not any(word in line for word in ("html", "content", "raw_html"))
+    assert sum("max_by" in plan for plan in plans) == 1
+    assert set(page_facts(pages, options, texts=False).columns) == {"url", "targets", "events", "full"}
+    assert tuple(result.batches.first()) == (3, 0)
+
+
+def test_scraped_rows_are_run_input(spark, db, tmp_path):
+    hits, pages = site(spark)
+    scrape_rows(pages).select(*[f.name for f in schemas.SCRAPED_PAGE.fields]).write.parquet(str(tmp_path / "scraped"))
+    options = SyncOptions(as_of="2026-01-01")
+    _, result = sync_store(db, hits, read_pages(spark, str(tmp_path / "scraped")), options)
+    assert result.stats.first().gigs_created == 3 and sorted(r.title.lower() for r in db.gigs().collect()) == ["alpha", "beta", "solo"]
+
+
+def test_rules_and_their_responses_agree(spark, db):
+    """Records taken from the rules' structs are those that their response texts would give."""
+    hits, pages = site(spark)
+    result = run_sync(hits, pages, db.gigs(), db.venues(), SyncOptions(as_of="2026-01-01"))
+    parsed = apply_rules(candidates(result.scored), "2026-01-01")
+    columns = ["batch", "title", "date", "venue_name", "description", "price", "url"]
+    assert sorted(map(str, parsed.select(*columns).collect())) == sorted(map(str, result.candidates.select(*columns).collect()))
