@@ -78,20 +78,25 @@ class Machine:
 
 
 def train(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine with L2 penalty, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    """Squared-hinge machine with L2 penalty, by accelerated gradient steps. The bias is a weight of its own,
+    so that `x` is never copied."""
+    y = y.astype(x.dtype)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(x.dtype)
+
+    def back(errors: np.ndarray) -> np.ndarray:
+        return np.r_[errors @ x, errors.sum()].astype(x.dtype)
+
     # The largest curvature, by power steps.
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(15):
-        v = x.T @ (share * (x @ v))
+        v = back(share * (x @ v[:-1] + v[-1]))
         v /= np.linalg.norm(v) or 1.0
-    rate = 1 / (1 + 2 * cost * float(v @ (x.T @ (share * (x @ v)))))
-    w = ahead = np.zeros(x.shape[1])
+    rate = x.dtype.type(1 / (1 + 2 * cost * float(v @ back(share * (x @ v[:-1] + v[-1])))))
+    w = ahead = np.zeros(x.shape[1] + 1, x.dtype)
     for k in range(rounds):
-        gap = np.maximum(1 - y * (x @ ahead), 0)
-        new = ahead - rate * (ahead - 2 * cost * (x.T @ (share * gap * y)))
-        ahead, w = new + k / (k + 3) * (new - w), new
+        gap = np.maximum(1 - y * (x @ ahead[:-1] + ahead[-1]), 0)
+        new = ahead - rate * (ahead - x.dtype.type(2 * cost) * back(share * gap * y))
+        ahead, w = new + x.dtype.type(k / (k + 3)) * (new - w), new
     return w[:-1], float(w[-1])
 
 
@@ -99,7 +104,7 @@ def one_versus_one(x: np.ndarray, labels: np.ndarray) -> list[Machine]:
     out = []
     for one, two in combinations(sorted(set(labels)), 2):
         rows = (labels == one) | (labels == two)
-        w, b = train(x[rows], np.where(labels[rows] == one, 1.0, -1.0))
+        w, b = train(x if rows.all() else x[rows], np.where(labels[rows] == one, 1, -1))
         out.append(Machine(one, two, w, b))
     return out
 
@@ -110,8 +115,8 @@ class Model:
     def __init__(self, x: np.ndarray, langs: list[str]):
         names = np.array(langs, object)
         self.langs = sorted(set(langs))
-        self.scale = 1 / np.sqrt(x.mean(0) + 1e-5) if len(x) else np.ones(BINS)
-        x = (x * self.scale).astype(np.float64)
+        self.scale = (1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-5) if len(x) else np.ones(BINS)).astype(np.float32)
+        x = x * self.scale
         families = np.array([family_of(n) for n in langs], object)
         self.members = {f: sorted(set(names[families == f])) for f in sorted(set(families))}
         self.top = one_versus_one(x, families)
@@ -152,11 +157,25 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """The ids of the first `per_language` labelled rows of every language in hash order, as (doc_id, lang).
+
+    The languages' counts give a hash below which about twice as many rows lie, so that only those are
+    shuffled, however many tasks read the table.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
+        "doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    least = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n"))
+    below = counts.select("lang", (least * 2.0**64 - 2.0**63).alias("cut"))
+    near = known.join(F.broadcast(below), "lang").where(F.col("h").cast("double") <= F.col("cut"))
+    return top_per(near, ["lang"], ["h", "doc_id"], per_language).select("doc_id", "lang").distinct()
+
+
 def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     """Learns from `text` and `lang` of rows that are not held out. The driver gets at most
     `per_language` feature rows of `BINS` numbers for each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    picked = top_per(known, ["lang"], [F.xxhash64("doc_id"), "doc_id"], per_language).distinct()
+    picked = sample(docs, per_language)
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +187,10 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("lang").filter(pa.array(keep)), part.column("doc_id").filter(pa.array(keep)),
                                                   pa.array(rows, pa.binary())], ["lang", "doc_id", "x"])
 
-    rows = sorted(texts.mapInArrow(features, "lang string, doc_id long, x binary").collect())
-    x = np.frombuffer(b"".join(r[2] for r in rows), "<f4").reshape(-1, BINS)
-    return Model(x, [r[0] for r in rows])
+    rows = texts.mapInArrow(features, "lang string, doc_id long, x binary").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")]).combine_chunks()
+    x = np.frombuffer(utf8(rows.column("x"))[0], "<f4").reshape(-1, BINS)
+    return Model(x, rows.column("lang").to_pylist())
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
