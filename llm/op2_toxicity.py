@@ -1,14 +1,20 @@
 """2. Toxicity by a weighted finite-state grammar over clauses.
 
-Words become classes: insult, threat verb, intent, target, negation, reported speech,
-anything else. Three transducers read a clause word by word: one scales what stands after
-a negation, one what is reported speech, one weights insults and threats by the target
-they are aimed at. They are composed into one table (state x class -> state, weight) and
-every clause that holds an insult or threat runs through it. A text's score comes from the
-sum of its clauses' weights, not from single words.
+Words become classes: insult, threat verb, intent, target, copula, negation, reported
+speech, anything else. Three transducers read a clause word by word: one marks what stands
+after a negation, one what is reported speech, one weights insults and threats by the target
+they are aimed at ("you idiot", "they are all vermin", "we will hurt you"). They are composed into
+one table (state x class -> state, weight, excused) and every clause that holds an insult or
+threat runs through it.
+
+A text's score comes from its clauses' weights, summed and weighed against the number of its
+clauses. An insult without a target stays below the threshold on its own; a threat with intent and
+target passes it. What is denied or reported adds `MOST_EXCUSED` at most, however often, so that it
+never makes a text toxic.
 
 Insults are a fixed list plus what labelled texts teach: words and word stems of 4 to 6
-letters that mark toxic texts, with their log-odds as weight. Learning reads at most
+letters that mark toxic texts. Their weight is a lower bound of their smoothed log-odds, at most
+that of an insult; the rule is the same at every sample size and bears some wrong labels. Learning reads at most
 `SAMPLE_TOXIC` + `SAMPLE_CLEAN` labelled texts (in hash order of their id) and keeps at most
 `LEXICON` entries; scoring covers every row and whole texts.
 
@@ -34,58 +40,73 @@ from llm.tables import documents, table
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 6_000, 12_000, 4_096
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
-# A sign of toxic texts must be in 1 % of them (3 at least) and this much likelier there;
-# one that clean texts hold too must be in this many times as many toxic ones.
-LEAST_SHARE, LEAST_COUNT, LEAST_LIFT, LEAST_RATIO = 0.01, 3, 20.0, 200
+# A sign of toxic texts must be in 1 % of them (3 at least), and its log-odds less `ERRORS`
+# standard errors must reach this.
+LEAST_SHARE, LEAST_COUNT, LEAST_ODDS, ERRORS = 0.01, 3, 2.0, 1.0
 
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = range(7)
+KINDS = 8
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, COPULA = range(KINDS)
 # The words of the grammar's classes.
 WORDS = {
-    INSULT: "idiot moron loser scum trash clown stupid pathetic worthless disgusting imbecile vermin filth".split(),
-    THREAT: "kill hurt destroy beat hunt burn shoot stab crush punish".split(),
-    INTENT: "will gonna shall must should deserve deserves going".split(),
-    TARGET: "you your you're he she they them him her his their those these people".split(),
-    NEGATION: "not never no isn't aren't wasn't don't doesn't didn't cannot nobody without".split(),
-    REPORT: "said says wrote called calls quoted quote claimed reported allegedly heard".split(),
+    INSULT: ("idiot moron loser scum trash clown stupid pathetic worthless disgusting imbecile vermin filth "
+             "dummkopf abschaum versager trottel imbécile crétin ordure minable estúpido imbécil escoria inútil").split(),
+    THREAT: ("kill hurt destroy beat hunt burn shoot stab crush punish töten verletzen vernichten umbringen "
+             "tuer frapper détruire brûler matar golpear destruir quemar").split(),
+    INTENT: "will gonna shall must should deserve deserves going werde werden vais allons voy vamos".split(),
+    TARGET: ("you your you're he she they they're them him her his their those these people "
+             "du dich dein euch ihr tu toi vous ustedes usted tú").split(),
+    NEGATION: "not never no isn't aren't wasn't don't doesn't didn't cannot nobody without nicht kein keine nie pas jamais nunca".split(),
+    REPORT: "said says wrote called calls quoted quote claimed reported allegedly heard sagte schrieb écrit dijo escribió".split(),
+    COPULA: "is are am was were be you're they're bist seid sind êtes sont eres son".split(),
 }
-_INSULT_WEIGHT = 4.0
+_INSULT_WEIGHT, _AIMED, _THREAT_WEIGHT = 2.2, 2.0, 4.4
+_EXCUSE, MOST_EXCUSED = 0.2, 0.8
+_REACH = 2  # words that may stand between a target or intent and what it goes with
 _CLAUSE_ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?;\n"])
 
 
-def _negation(state: int, kind: int) -> tuple[int, float]:
-    """States 0 (plain) to 3 (a negation stands up to three words back)."""
-    return (3 if kind == NEGATION else max(state - 1, 0)), (0.4 if state else 1.0)
+def _negation(state: int, kind: int) -> tuple[int, bool]:
+    """States 0 (plain) to 3 (a negation stands up to three words back); whether this word is denied."""
+    return (3 if kind == NEGATION else max(state - 1, 0)), state > 0
 
 
-def _reported(state: int, kind: int) -> tuple[int, float]:
+def _reported(state: int, kind: int) -> tuple[int, bool]:
     """State 1: after a verb of saying in the same clause."""
-    return (1 if kind == REPORT or state else 0), (0.5 if state else 1.0)
+    return (1 if kind == REPORT or state else 0), state > 0
+
+
+_NOTHING, _TARGET, _IS, _INTENDS, _THREATENS = 0, 1, 2, 3 + _REACH, 4 + 2 * _REACH
+AIMS = 5 + 3 * _REACH
 
 
 def _aimed(state: int, kind: int) -> tuple[int, float]:
-    """States: 0 nothing, 1 a target, 2 an intent, 3 a threat that waits for its target."""
+    """States: nothing; a target; a target and its copula; an intent; a threat that waits for its
+    target. The last three hold for `_REACH` other words, one state for each word gone by."""
     if kind == INSULT:
-        return 1 if state == 1 else 0, 1.25 if state == 1 else 1.0
+        aimed = state == _TARGET or _IS <= state < _INTENDS
+        return state, _AIMED if aimed else 1.0
     if kind == THREAT:
-        return 3 if state == 2 else state, 0.0
+        return (_THREATENS if _INTENDS <= state < _THREATENS else _NOTHING), 0.0
     if kind == TARGET:
-        return 1, 3.0 if state == 3 else 0.0
+        return _TARGET, _THREAT_WEIGHT if state >= _THREATENS else 0.0
+    if kind == COPULA and state == _TARGET:
+        return _IS, 0.0
     if kind == INTENT:
-        return 2, 0.0
-    return state, 0.0
+        return _INTENDS, 0.0
+    last = state in (_NOTHING, _TARGET, _INTENDS - 1, _THREATENS - 1, AIMS - 1)
+    return (_NOTHING if last else state + 1), 0.0
 
 
-def compose() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, weight) by composed state and class."""
-    step, weight = np.zeros((32, 7), np.int64), np.zeros((32, 7))
-    for n in range(4):
-        for r in range(2):
-            for a in range(4):
-                for kind in range(7):
-                    (n2, by_n), (r2, by_r), (a2, w) = _negation(n, kind), _reported(r, kind), _aimed(a, kind)
-                    step[(n * 2 + r) * 4 + a, kind] = (n2 * 2 + r2) * 4 + a2
-                    weight[(n * 2 + r) * 4 + a, kind] = w * by_n * by_r
-    return step, weight
+def compose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next state, weight, excused) by composed state and class."""
+    states = [(n, r, a) for n in range(4) for r in range(2) for a in range(AIMS)]
+    place = {s: i for i, s in enumerate(states)}
+    step, weight, excused = (np.zeros((len(states), KINDS), t) for t in (np.int64, np.float64, np.bool_))
+    for i, (n, r, a) in enumerate(states):
+        for kind in range(KINDS):
+            (n2, denied), (r2, told), (a2, w) = _negation(n, kind), _reported(r, kind), _aimed(a, kind)
+            step[i, kind], weight[i, kind], excused[i, kind] = place[n2, r2, a2], w, denied or told
+    return step, weight, excused
 
 
 @dataclass
@@ -154,13 +175,14 @@ def learn_insults(labelled: DataFrame, text: str, toxic: str) -> tuple[np.ndarra
     if not n_toxic or not n_clean:
         return np.zeros(0, np.uint64), np.zeros(0)
     least = max(LEAST_COUNT, int(np.ceil(LEAST_SHARE * n_toxic)))
-    lift = ((F.col("t") + 0.5) / n_toxic) / ((F.col("c") + 0.5) / n_clean)
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    odds = F.log((t / (n_toxic + 1)) / (c / (n_clean + 1))) - ERRORS * F.sqrt(1 / t + 1 / c)
     found = (rows.mapInArrow(count, "sign long, t long, c long").groupBy("sign").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-             .where((F.col("t") >= least) & (F.col("t") >= LEAST_RATIO * F.col("c")) & (lift >= LEAST_LIFT))
-             .select("sign", F.log(lift).alias("w")).orderBy(F.desc("w"), "sign").limit(LEXICON).collect())
+             .where((F.col("t") >= least) & (odds >= LEAST_ODDS))
+             .select("sign", odds.alias("w")).orderBy(F.desc("w"), "sign").limit(LEXICON).collect())
     sign = np.array([r[0] for r in found], np.int64).view(np.uint64)
     order = np.argsort(sign)
-    return sign[order], np.minimum(np.array([r[1] for r in found])[order], 6.0)
+    return sign[order], np.minimum(np.array([r[1] for r in found])[order], _INSULT_WEIGHT)
 
 
 class Grammar:
@@ -173,7 +195,7 @@ class Grammar:
         self.keys = keys
         self.kinds = np.array([both[int(k)][0] for k in keys])
         self.weights = np.array([both[int(k)][1] for k in keys])
-        self.step, self.out = compose()
+        self.step, self.out, self.excused = compose()
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, hashes)
@@ -182,7 +204,10 @@ class Grammar:
 
     def clauses(self, column: pa.Array) -> list[tuple[int, float]]:
         """(row, weight) of every clause that matches."""
-        words = read_words(column)
+        return [(row, plain + excused) for row, plain, excused in self.matches(read_words(column))]
+
+    def matches(self, words: Words) -> list[tuple[int, float, float]]:
+        """(row, weight, weight of what is denied or reported) of every clause that matches."""
         entry = self._find(words.hashes)
         kind = np.where(entry >= 0, self.kinds[entry], OTHER)
         weight = np.where(entry >= 0, self.weights[entry], 0.0)
@@ -197,18 +222,30 @@ class Grammar:
         last = np.searchsorted(words.clause, loud, "right")
         out = []
         for a, b in zip(first.tolist(), last.tolist()):
-            state, total, before = 0, 0.0, a
+            state, total, before = 0, [0.0, 0.0], a
             for i in (np.flatnonzero(kind[a:b]) + a).tolist():
-                for _ in range(min(i - before, 4)):
+                for _ in range(min(i - before, 4)):  # no state outlasts so many words of no class
                     state = self.step[state, OTHER]
                 k = kind[i]
-                total += self.out[state, k] * (weight[i] if k == INSULT else 1.0)
+                w = self.out[state, k] * (weight[i] if k == INSULT else 1.0)
+                total[int(self.excused[state, k])] += w * (_EXCUSE if self.excused[state, k] else 1.0)
                 state, before = self.step[state, k], i + 1
-            if total:
-                out.append((int(words.row[a]), total))
+            if any(total):
+                out.append((int(words.row[a]), *total))
         return out
 
 
+def clause_counts(words: Words, rows: int) -> np.ndarray:
+    """Clauses with words of each row."""
+    return np.bincount(words.row[np.flatnonzero(np.diff(words.clause, prepend=-1))], minlength=rows)
+
+
+def score_of(plain: np.ndarray, excused: np.ndarray, clauses: np.ndarray) -> np.ndarray:
+    """Scores by the summed weights of texts and the number of their clauses."""
+    total = (plain + np.minimum(excused, MOST_EXCUSED)) / (1 + np.log1p(clauses / 50) / 5)
+    return 1 / (1 + np.exp(3.0 - 1.25 * np.minimum(total, 40)))
+
+
 def score_texts(df: DataFrame, grammar: Grammar, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of `df` with score (0 to 1), predicted and n_clauses (clauses that match)."""
     picked = df.select(*keep, F.col(text).alias("_text"))
@@ -216,11 +253,13 @@ def score_texts(df: DataFrame, grammar: Grammar, text: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                total, n = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
-                for row, weight in grammar.clauses(part.column("_text")):
-                    total[row] += weight
+                words = read_words(part.column("_text"))
+                plain, excused, n = np.zeros(part.num_rows), np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+                for row, one, other in grammar.matches(words):
+                    plain[row] += one
+                    excused[row] += other
                     n[row] += 1
-                score = 1 / (1 + np.exp(3.0 - 1.25 * np.minimum(total, 40)))
+                score = score_of(plain, excused, clause_counts(words, part.num_rows))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(n)],
                     [*keep, "score", "predicted", "n_clauses"])
@@ -237,9 +276,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learns from labelled texts that are not held out."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = (known.where("_toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC)
-              .unionByName(known.where("_toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN)))
+    counts = {r[0]: r[1] for r in known.groupBy("_toxic").agg(F.count(F.lit(1))).collect()}
+
+    def sample(label: int, most: int) -> DataFrame:
+        """The first `most` rows by hash. A cut-off from their number keeps all but about 1.2 times as
+        many, or 400 more, out of the sort."""
+        share = (1.2 * most + 400) / max(counts.get(label, 0), 1)
+        rows = known.where(F.col("_toxic") == label)
+        if share < 1:
+            rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        return rows.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(most)
+
+    picked = sample(1, SAMPLE_TOXIC).unionByName(sample(0, SAMPLE_CLEAN))
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers.
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # Copies count once: one text for each label and four smallest word hashes.
