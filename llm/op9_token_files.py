@@ -5,21 +5,26 @@ its own, from a fresh model, so blocks can be read, checked and lost one by one.
 
     magic "TIB1", count (4 bytes), crc32 of the ids (4), crc32 of the body (4), body
 
-(little-endian; ids count as unsigned 32-bit integers in both sums). The body codes each id by up to
-three decisions:
+(little-endian; ids count as unsigned 32-bit integers in both sums). The body codes each id as four
+symbols of four bits, highest first. Each symbol is coded with odds that mix four predictions:
 
-* order 2: is it the id that last followed this pair of ids?  (if there is one)
-* order 1: is it the id that last followed this id?  (if there is one that order 2 did not try)
-* order 0: its high byte, then its low byte given the high one, by adaptive counts.
+* order 0: adaptive counts of the symbols that followed this beginning of an id;
+* order 1: the same after the id before;
+* order 2: the same after the two ids before;
+* uniform odds, for what none of them has seen.
 
-The odds of the first two come from mixing an adaptive estimate of the context's record of
-hits with that of the model as a whole, weighted by how often each was right so far.
+Their weights are learned as the block goes: one for each order and how often its context
+has been seen, raised or lowered by how much likelier than the mixture that prediction made the
+symbol. Contexts are hashed into `_ROWS` rows of counts for each order.
 
 Blocks of a task are coded side by side: every step of the coder is a few array operations
 over all of them. All arithmetic is in integers, so writer and reader agree everywhere.
 
+A part of the file is what one task codes: a range of document ids of about `PART_BYTES` of text (at
+least as many parts as the session has shuffle partitions), so their number grows with the table.
+
 Defined cases: a null text is empty and gives the end id alone; documents are in order of their id
-(nulls first, then equal ids by their ids' bytes); repeated rows are documents of their own; an empty
+(nulls first, then equal ids by their texts); repeated rows are documents of their own; an empty
 table gives an empty file. A damaged block raises an error that names it.
 """
 
@@ -33,6 +38,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,76 +53,88 @@ BLOCK = 4096
 LANES = 1024
 MAGIC = b"TIB1"
 FILE = "part int, block int, record binary, doc_id long, first long, n_tokens long"
-_TOP, _BOTTOM = np.uint64(1 << 24), 1 << 16
-_SCALE = 12  # bits of a hit's odds
-_CONTEXTS = 1 << 12
+# Text of a part; the reader sends one row per part to its tasks (12 bytes: 38 MB for 100 TB).
+PART_BYTES = 32 << 20
+_TOP = np.uint64(1 << 24)
+_ROWS_BITS = 11
+_ROWS = 1 << _ROWS_BITS
+_ORDERS, _SEEN = 3, 8
+# What a symbol adds to its count in each order, as powers of two, and the largest total.
+_STEPS = np.array([[1], [4], [5]], np.int32)
+_ADDS = np.left_shift(1, _STEPS).astype(np.uint8)
+_FULL = 223
+# Least and largest weight of a prediction.
+_LEAST, _MOST = 16, 1 << 16
 
 
 class _Model:
-    """State of the id predictors of every lane. `predict` and `update` are all that the writer and
-    the reader share, and neither looks at the id to come."""
+    """State of the predictors of every lane. `frequencies` and `learn` are all that the writer and
+    the reader share, and `frequencies` does not look at the symbol to come. Lanes from `m` on have
+    ended."""
 
     def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.after2 = np.full((lanes, _CONTEXTS), -1, np.int32)
-        self.after1 = np.full((lanes, _CONTEXTS), -1, np.int32)
-        # Estimates of a hit, in 1/65536: by the context's hits so far (0-3), and overall.
-        self.by_hits = np.full((2, lanes, 4), 1 << 15, np.int64)
-        self.overall = np.full((2, lanes), 1 << 15, np.int64)
-        self.trust = np.full((2, lanes, 2), 1 << 8, np.int64)
-        self.hits = [np.zeros((lanes, _CONTEXTS), np.int8) for _ in range(2)]
-        self.high = np.full((lanes, 256), 1, np.int64)
-        self.low_counts = np.full((lanes, 64, 256), 1, np.int16)
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-
-    def contexts(self) -> None:
-        """Looks up both contexts of the coming ids."""
-        self.at2 = ((self.one * 40503 + self.two * 30011) >> 3) % _CONTEXTS
-        self.at1 = (self.one * 40503 >> 4) % _CONTEXTS
-        self.guess2 = self.after2[self.rows, self.at2].astype(np.int64)
-        self.guess1 = self.after1[self.rows, self.at1].astype(np.int64)
-
-    def odds(self, order: int) -> np.ndarray:
-        """The odds of a hit in 1/4096, between 1 and 4095."""
-        at = self.at2 if order == 0 else self.at1
-        self.record = self.hits[order][self.rows, at].astype(np.int64)
-        self.parts = self.by_hits[order][self.rows, self.record], self.overall[order]
-        w = self.trust[order]
-        mixed = (self.parts[0] * w[:, 0] + self.parts[1] * w[:, 1]) // (w[:, 0] + w[:, 1])
-        return np.clip(mixed >> (16 - _SCALE), 1, (1 << _SCALE) - 1)
-
-    def learn(self, order: int, lanes: np.ndarray, hit: np.ndarray) -> None:
-        """`lanes`: those for which the decision was made; `hit`: its outcome there."""
-        at = (self.at2 if order == 0 else self.at1)[lanes]
-        record = self.record[lanes]
-        goal = np.where(hit, 65535, 0)
-        for k, part in enumerate(self.parts):
-            right = np.abs(goal - part[lanes]) < 32768
-            trust = self.trust[order][lanes, k]
-            self.trust[order][lanes, k] = np.clip(trust + np.where(right, 4, -4), 16, 4096)
-        self.by_hits[order][lanes, record] += (goal - self.by_hits[order][lanes, record]) >> 5
-        self.overall[order][lanes] += (goal - self.overall[order][lanes]) >> 6
-        self.hits[order][lanes, at] = np.where(hit, np.minimum(record + 1, 3), 0)
-
-    def update(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        self.after2[lanes, self.at2[lanes]] = ids
-        self.after1[lanes, self.at1[lanes]] = ids
-        self.two[lanes], self.one[lanes] = self.one[lanes], ids
-
-
-def _cumulated(counts: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, total) of a symbol in each row of counts."""
-    run = np.cumsum(counts, axis=1)
-    rows = np.arange(len(counts))
-    size = counts[rows, symbol].astype(np.int64)
-    return run[rows, symbol] - size, size, run[:, -1]
-
-
-def _add(counts: np.ndarray, rows: np.ndarray, symbol: np.ndarray, step: int, most: int) -> None:
-    counts[rows, symbol] += step
-    full = rows[counts[rows].sum(1) > most]
-    counts[full] = (counts[full] + 1) >> 1
+        self.counts = np.zeros((_ORDERS * lanes * _ROWS, 16), np.uint8)
+        self.totals = np.zeros(_ORDERS * lanes * _ROWS, np.uint8)
+        self.weights = np.full((_ORDERS + 1) * lanes * _SEEN, 1 << 12, np.int32)
+        self.first = np.arange(_ORDERS * lanes).reshape(_ORDERS, lanes) * _ROWS
+        self.own = np.arange((_ORDERS + 1) * lanes).reshape(_ORDERS + 1, lanes) * _SEEN
+        self.lanes = np.arange(lanes)
+        self.key = np.zeros((_ORDERS, lanes), np.uint32)
+        self.one = np.zeros(lanes, np.uint32)
+
+    def frequencies(self, m: int, prefix: np.ndarray) -> np.ndarray:
+        """(16, m) running sums of the odds of the next symbol of an id that begins with `prefix`; all below 65536."""
+        mixed = (self.key[:, :m] + prefix * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
+        self.at = self.first[:, :m] + (mixed >> np.uint32(32 - _ROWS_BITS))
+        self.seen = self.counts.take(self.at, axis=0)
+        total = self.totals.take(self.at).astype(np.int32)
+        self.known = total > 0
+        self.total = np.maximum(total, 1)
+        bucket = np.minimum((total + (1 << _STEPS) - 1) >> _STEPS, _SEEN - 1)
+        self.place = self.own[:, :m] + np.concatenate([bucket, bucket[:1]])
+        self.w = self.weights.take(self.place)
+        use = self.w.copy()
+        use[:_ORDERS] *= self.known
+        # At most 2^16 (a weight) by 2^14: within 32 bits.
+        share = (use << 14) // use.sum(0, dtype=np.int32) << 1
+        parts = np.ascontiguousarray(self.seen.transpose(2, 0, 1), np.int32)
+        parts *= share[:_ORDERS] // self.total
+        run = parts[:, 0] + parts[:, 1]
+        run += parts[:, 2]
+        run += (share[_ORDERS] >> 4) + 1
+        for k in range(1, 16):
+            run[k] += run[k - 1]
+        return run
+
+    def learn(self, m: int, symbol: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """The symbol that came and its odds, `size` in `total`."""
+        lanes = self.lanes[:m]
+        count = self.seen[:, lanes, symbol]
+        mixture = np.maximum((size << 15) // total, 1)
+        made = np.empty((_ORDERS + 1, m), np.int32)
+        made[:_ORDERS] = (count.astype(np.int32) << 15) // self.total
+        made[_ORDERS] = 1 << 11
+        better = np.minimum((made << 8) // mixture, 2048) - 256
+        better[:_ORDERS] *= self.known
+        better *= self.w >> 4
+        better >>= 8
+        better += self.w
+        self.weights[self.place] = np.minimum(np.maximum(better, _LEAST, out=better), _MOST, out=better)
+        self.counts.reshape(-1)[self.at * 16 + symbol] = count + _ADDS
+        now = self.totals.take(self.at) + _ADDS
+        self.totals[self.at] = now
+        full = self.at[now > _FULL]
+        if len(full):
+            half = self.counts[full] >> 1
+            self.counts[full] = half
+            self.totals[full] = half.sum(1)
+
+    def follow(self, m: int, ids: np.ndarray) -> None:
+        """Sets the contexts of what follows `ids`."""
+        new = ids.astype(np.uint32)
+        self.key[2, :m] = new * np.uint32(0x27D4EB2F) + self.one[:m] * np.uint32(0x165667B1) + np.uint32(0x3C6EF372)
+        self.key[1, :m] = new * np.uint32(0x27D4EB2F) + np.uint32(0x1B873593)
+        self.one[:m] = new
 
 
 class _Writer:
@@ -128,30 +146,30 @@ class _Writer:
         self.out = np.zeros((lanes, room), np.uint8)
         self.n = np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = self.range[lanes] // total.astype(np.uint64)
-        self.low[lanes] += part * start.astype(np.uint64)
-        self.range[lanes] = part * size.astype(np.uint64)
-        carry = lanes[self.low[lanes] >> np.uint64(32) > 0]
-        if len(carry):
-            self.low[carry] &= np.uint64(0xFFFFFFFF)
-            for lane in carry.tolist():
-                k = self.n[lane] - 1
-                while self.out[lane, k] == 255:
-                    self.out[lane, k] = 0
-                    k -= 1
-                self.out[lane, k] += 1
-        while True:
-            lanes = lanes[self.range[lanes] < _TOP]
-            if not len(lanes):
-                return
-            self.out[lanes, self.n[lanes]] = (self.low[lanes] >> np.uint64(24)).astype(np.uint8)
+    def put(self, m: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        part = self.range[:m] // total.astype(np.uint64)
+        low = self.low[:m]
+        low += part * start.astype(np.uint64)
+        self.range[:m] = part * size.astype(np.uint64)
+        lanes = np.flatnonzero(low >> np.uint64(32))
+        if len(lanes):
+            low[lanes] &= np.uint64(0xFFFFFFFF)
+            at = self.n[lanes] - 1
+            while len(lanes):  # a carry goes on through bytes that overflow
+                self.out[lanes, at] += 1
+                on = self.out[lanes, at] == 0
+                lanes, at = lanes[on], at[on] - 1
+        lanes = np.flatnonzero(self.range[:m] < _TOP)
+        while len(lanes):
+            old = self.low[lanes]
+            self.out[lanes, self.n[lanes]] = (old >> np.uint64(24)).astype(np.uint8)
             self.n[lanes] += 1
-            self.low[lanes] = (self.low[lanes] << np.uint64(8)) & np.uint64(0xFFFFFFFF)
+            self.low[lanes] = (old << np.uint64(8)) & np.uint64(0xFFFFFFFF)
             self.range[lanes] <<= np.uint64(8)
+            lanes = lanes[self.range[lanes] < _TOP]
 
     def close(self) -> list[bytes]:
-        for k in range(4):
+        for _ in range(4):
             self.out[np.arange(len(self.n)), self.n] = (self.low >> np.uint64(24)).astype(np.uint8)
             self.n += 1
             self.low = (self.low << np.uint64(8)) & np.uint64(0xFFFFFFFF)
@@ -170,108 +188,81 @@ class _Reader:
         self.range = np.full(len(bodies), 0xFFFFFFFF, np.uint64)
         self.n = np.full(len(bodies), 4)
 
-    def place(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.part = self.range[lanes] // total.astype(np.uint64)
-        return np.minimum((self.code[lanes] // self.part).astype(np.int64), total - 1)
+    def place(self, m: int, total: np.ndarray) -> np.ndarray:
+        self.part = self.range[:m] // total.astype(np.uint64)
+        return np.minimum((self.code[:m] // self.part).astype(np.int32), total - 1)
 
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.code[lanes] -= self.part * start.astype(np.uint64)
-        self.range[lanes] = self.part * size.astype(np.uint64)
-        while True:
-            lanes = lanes[self.range[lanes] < _TOP]
-            if not len(lanes):
-                return
+    def take(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        self.code[:m] -= self.part * start.astype(np.uint64)
+        self.range[:m] = self.part * size.astype(np.uint64)
+        lanes = np.flatnonzero(self.range[:m] < _TOP)
+        while len(lanes):
             at = np.minimum(self.n[lanes], self.data.shape[1] - 1)
             self.code[lanes] = self.code[lanes] << np.uint64(8) | self.data[lanes, at].astype(np.uint64)
             self.n[lanes] += 1
             self.range[lanes] <<= np.uint64(8)
+            lanes = lanes[self.range[lanes] < _TOP]
+
+
+def _span(run: np.ndarray, symbol: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, total) of each lane's symbol in the running sums of its odds."""
+    end = run[symbol, lanes]
+    start = np.where(symbol > 0, run[symbol - 1, lanes], 0)
+    return start, end - start, run[15]
 
 
-def _low_counts(model: _Model, lanes: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the low byte's counts: high bytes share 64 tables by their low six bits."""
-    return model.low_counts.reshape(-1, 256), lanes * 64 + (high & 63)
+def _longest_first(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes by falling size, and for every step the number of lanes that still go on."""
+    size = np.array(sizes)
+    order = np.argsort(-size, kind="stable")
+    steps = np.arange(int(size.max(initial=0)))
+    return order, len(size) - np.searchsorted(np.sort(size), steps, "right")
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Bodies of blocks of ids below 65536."""
-    size = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), int(size.max(initial=0))), np.int64)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    model, out = _Model(len(blocks)), _Writer(len(blocks), ids.shape[1] * 5 + 16)
-    one = np.full(len(blocks), 1 << _SCALE)
-    for k in range(ids.shape[1]):
-        on = np.flatnonzero(size > k)
-        now = ids[:, k]
-        model.contexts()
-        tried = np.full(len(blocks), -1, np.int64)
-        for order in (0, 1):
-            guess = model.guess2 if order == 0 else model.guess1
-            ask = on[(guess[on] >= 0) & (guess[on] != tried[on])]
-            if not len(ask):
-                continue
-            odds = model.odds(order)[ask]
-            hit = guess[ask] == now[ask]
-            out.put(ask, np.where(hit, 0, odds), np.where(hit, odds, (1 << _SCALE) - odds), one[ask])
-            model.learn(order, ask, hit)
-            tried[ask] = guess[ask]
-            done = np.zeros(len(blocks), bool)
-            done[ask[hit]] = True
-            model.update(ask[hit], now[ask[hit]])
-            on = on[~done[on]]
-        if len(on):
-            high, low = now[on] >> 8, now[on] & 255
-            out.put(on, *_cumulated(model.high[on], high))
-            _add(model.high, on, high, 24, 1 << 14)
-            table, rows = _low_counts(model, on, high)
-            out.put(on, *_cumulated(table[rows], low))
-            _add(table, rows, low, 24, 1 << 13)
-            model.update(on, now[on])
-    return out.close()
+    order, going = _longest_first([len(b) for b in blocks])
+    ids = np.zeros((len(going), len(blocks)), np.int32)
+    for lane, i in enumerate(order.tolist()):
+        ids[: len(blocks[i]), lane] = blocks[i]
+    model, out = _Model(len(blocks)), _Writer(len(blocks), len(going) * 8 + 16)
+    for now, m in zip(ids, going.tolist()):
+        prefix, lanes = np.ones(m, np.uint32), model.lanes[:m]
+        for shift in (12, 8, 4, 0):
+            symbol = (now[:m] >> shift) & 15
+            run = model.frequencies(m, prefix)
+            start, size, total = _span(run, symbol, lanes)
+            out.put(m, start, size, total)
+            model.learn(m, symbol, size, total)
+            prefix = prefix << np.uint32(4) | symbol.astype(np.uint32)
+        model.follow(m, now[:m])
+    bodies: list[bytes] = [b""] * len(blocks)
+    for i, body in zip(order.tolist(), out.close()):
+        bodies[i] = body
+    return bodies
 
 
 def decode_blocks(bodies: list[bytes], counts: list[int]) -> list[np.ndarray]:
     if not bodies:
         return []
-    size = np.array(counts)
-    ids = np.zeros((len(bodies), int(size.max(initial=0))), np.int64)
-    model, src = _Model(len(bodies)), _Reader(bodies)
-    one = np.full(len(bodies), 1 << _SCALE)
-    for k in range(ids.shape[1]):
-        on = np.flatnonzero(size > k)
-        model.contexts()
-        tried = np.full(len(bodies), -1, np.int64)
-        for order in (0, 1):
-            guess = model.guess2 if order == 0 else model.guess1
-            ask = on[(guess[on] >= 0) & (guess[on] != tried[on])]
-            if not len(ask):
-                continue
-            odds = model.odds(order)[ask]
-            hit = src.place(ask, one[ask]) < odds
-            src.take(ask, np.where(hit, 0, odds), np.where(hit, odds, (1 << _SCALE) - odds))
-            model.learn(order, ask, hit)
-            tried[ask] = guess[ask]
-            done = np.zeros(len(bodies), bool)
-            done[ask[hit]] = True
-            ids[ask[hit], k] = guess[ask[hit]]
-            model.update(ask[hit], guess[ask[hit]])
-            on = on[~done[on]]
-        if len(on):
-            value = np.zeros(len(on), np.int64)
-            table, rows = model.high, on
-            for step in (0, 1):
-                run = np.cumsum(table[rows], axis=1)
-                at = src.place(on, run[:, -1])
-                symbol = (run <= at[:, None]).sum(1)
-                n = table[rows, symbol].astype(np.int64)
-                src.take(on, run[np.arange(len(on)), symbol] - n, n)
-                _add(table, rows, symbol, 24, 1 << (14 - step))
-                value = value << 8 | symbol
-                if step == 0:
-                    table, rows = _low_counts(model, on, symbol)
-            ids[on, k] = value
-            model.update(on, value)
-    return [ids[i, : size[i]] for i in range(len(bodies))]
+    order, going = _longest_first(counts)
+    ids = np.zeros((len(going), len(bodies)), np.int32)
+    model, src = _Model(len(bodies)), _Reader([bodies[i] for i in order.tolist()])
+    for now, m in zip(ids, going.tolist()):
+        prefix, lanes = np.ones(m, np.uint32), model.lanes[:m]
+        for _ in range(4):
+            run = model.frequencies(m, prefix)
+            symbol = np.add.reduce(run <= src.place(m, run[15]), axis=0, dtype=np.int32)
+            start, size, total = _span(run, symbol, lanes)
+            src.take(m, start, size)
+            model.learn(m, symbol, size, total)
+            prefix = prefix << np.uint32(4) | symbol.astype(np.uint32)
+        now[:m] = prefix & np.uint32(0xFFFF)
+        model.follow(m, now[:m])
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(bodies)
+    for lane, i in enumerate(order.tolist()):
+        out[i] = ids[: counts[i], lane].astype(np.int64)
+    return out
 
 
 def pack(ids: np.ndarray, body: bytes) -> bytes:
@@ -302,14 +293,13 @@ def _tokenizer(path: str):
 
 def token_ids(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END) -> DataFrame:
     """(doc_id, ids): ids of every whole text with the end id, as little-endian unsigned 16-bit integers."""
-    path = path or public_tokenizers.path(MODEL)
     picked = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path or public_tokenizers.path(MODEL))  # of the machine that runs the task
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 coded = tokenizer.encode_batch_fast(part.column("text").fill_null("").to_pylist(), add_special_tokens=False)
@@ -322,19 +312,19 @@ def token_ids(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
 def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> None:
     """Writes the file under `path`: rows of kind `blocks` (part, block, record) and of kind `docs` (part, doc_id,
     first, n_tokens, and the block that holds the first id). Parts follow the order of ids."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.select(F.col(doc_id).cast("long").alias("d")).where("d is not null")
-    cuts = sorted(set(ids.stat.approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    ordered = (token_ids(df, doc_id, text).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-               .repartition(max(len(cuts) + 1, 1), "part").sortWithinPartitions("part", "doc_id", "ids"))
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if parts is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(-(-size // PART_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Texts are dealt, not their ids: finding the ranges reads the rows once more, and must not tokenize them.
+    ordered = token_ids(texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "block", "record", "doc_id", "first", "n_tokens"]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        state = {"part": None, "first": 0, "block": 0}
-        waiting: list[tuple[int, int, np.ndarray]] = []
+        part = TaskContext.get().partitionId()
+        state = {"first": 0, "block": 0}
+        waiting: list[tuple[int, np.ndarray]] = []
         rest: list[np.ndarray] = []
 
         def rows(cols: list) -> pa.RecordBatch:
@@ -342,9 +332,9 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
 
         def code() -> Iterator[pa.RecordBatch]:
             if waiting:
-                bodies = encode_blocks([w[2] for w in waiting])
+                bodies = encode_blocks([w[1] for w in waiting])
                 none = [None] * len(bodies)
-                yield rows([[w[0] for w in waiting], [w[1] for w in waiting], [pack(w[2], b) for w, b in zip(waiting, bodies)], none, none, none])
+                yield rows([[part] * len(bodies), [w[0] for w in waiting], [pack(w[1], b) for w, b in zip(waiting, bodies)], none, none, none])
                 waiting.clear()
 
         def cut(final: bool) -> Iterator[pa.RecordBatch]:
@@ -356,19 +346,16 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
                     if len(piece) < BLOCK and not final:
                         rest.append(piece)
                         break
-                    waiting.append((state["part"], state["block"], piece))
+                    waiting.append((state["block"], piece))
                     state["block"] += 1
                     if len(waiting) >= LANES:
                         yield from code()
 
         for batch in batches:
             docs: list[tuple] = []
-            for p, d, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
-                if p != state["part"]:
-                    yield from cut(True)
-                    state.update(part=p, first=0, block=0)
+            for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 one = np.frombuffer(raw, "<u2")
-                docs.append((p, state["first"] // BLOCK, None, d, state["first"], len(one)))
+                docs.append((part, state["first"] // BLOCK, None, d, state["first"], len(one)))
                 state["first"] += len(one)
                 rest.append(one)
                 yield from cut(False)
@@ -390,7 +377,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     sizes = rows.where("kind = 'docs'").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    ordered = rows.drop("kind").repartition("part").sortWithinPartitions("part", "block", F.col("record").isNull(), "first")
+    parts = (rows.where("kind = 'docs'").agg(F.max("part")).first()[0] or 0) + 1
+    ordered = rows.drop("kind").repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block", F.col("record").isNull(), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple] = []

@@ -86,3 +86,35 @@ def test_files_hold_all_ids_in_order(messy, tmp_path):
 def test_digest_of_an_empty_text(make_docs):
     r = op8.encode_texts(make_docs([(1, None)])).first()
     assert hashlib.sha256(r.ids).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_contexts_and_weights_are_learned():
+    rng = np.random.default_rng(5)
+    same, cycle = np.full(4096, 65535), np.tile(rng.integers(0, 65536, 64), 64)
+    # Order 1 alone cannot tell what follows an id here: the pair before it does.
+    pairs = np.tile(rng.permutation(np.repeat(rng.integers(0, 65536, 24), 6)), 28)
+    noise = rng.integers(0, 65536, 4096)
+    bodies = op9.encode_blocks([same, noise, cycle, pairs, noise[:1], noise[:0]])
+    assert len(bodies[0]) < 60 and len(bodies[2]) < 4096 // 4 and len(bodies[3]) < len(pairs) // 3
+    assert len(bodies[1]) < 4096 * 2 * 1.15 and len(bodies[5]) <= 4
+    got = op9.decode_blocks(bodies, [4096, 4096, 4096, len(pairs), 1, 0])
+    for a, b in zip(got, [same, noise, cycle, pairs, noise[:1], noise[:0]], strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_blocks_do_not_depend_on_their_neighbours():
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, 300, n) for n in (900, 20, 4096, 1)]
+    assert op9.encode_blocks(blocks) == [op9.encode_blocks([b])[0] for b in blocks]
+
+
+def test_parts_are_ranges_of_ids(make_docs, tmp_path):
+    docs = make_docs([(i * i, "some words " * (i % 7)) for i in range(400)] + [(None, "x"), (None, None)])
+    op9.write_token_files(docs, str(tmp_path / "f"), parts=9)
+    rows = docs.sparkSession.read.parquet(str(tmp_path / "f")).where("kind = 'docs'").groupBy("part").agg(
+        {"doc_id": "min", "*": "count"}).orderBy("part").collect()
+    assert 6 <= len(rows) <= 9 and max(r["count(1)"] for r in rows) < 120
+    least = [r["min(doc_id)"] for r in rows]
+    assert least == sorted(least)
+    got = op9.read_token_files(docs.sparkSession, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, *(i * i for i in range(400))]
