@@ -7,8 +7,8 @@ a column among its first `prefix(n)` in any order of the columns that all docume
 1. Copies (equal sets) become one row, the smallest id of them.
 2. The first block holds the columns with the smallest hashes of every row, some more than
    its prefix. Columns are counted; those with one row drop out, those with more than
-   `FREQUENT` rows are set apart. The product over the rest accumulates overlap counts per
-   pair; a pair whose count cannot reach the size-derived bound with all that is not
+   `FREQUENT` rows are set apart. Columns with the same rows become one that counts for
+   all of them. The product over the rest accumulates overlap counts per pair; a pair whose count cannot reach the size-derived bound with all that is not
    counted is discarded.
 3. Rows whose prefix is not covered that way (they hold too many frequent columns) form a
    second matrix. Its columns are ordered by exact frequency, and every column's rows are
@@ -99,15 +99,24 @@ def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             .where(linked(F.size("ha"), F.size("hb"), both, least)).select("a", "b"))
 
 
+def merged_columns(shared: DataFrame) -> DataFrame:
+    """(h, c, m) over cells (doc_id, h): one column h for all m columns with the same c rows. Rows are
+    compared by their number, least and greatest id, and three sums of 31-bit hashes. Columns of one row drop out."""
+    sums = [F.sum(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 31))).alias(f"s{k}") for k in range(3)]
+    columns = shared.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *sums)
+    return (columns.where("c > 1").groupBy("c", "low", "high", "s0", "s1", "s2")
+            .agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("m")).select("h", "c", "m"))
+
+
 def light_pairs(shared: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Step 2 over (doc_id, n, h, c): candidate pairs (a, b), and the rows it does not cover."""
+    """Step 2 over (doc_id, n, h, c, m): candidate pairs (a, b), and the rows it does not cover."""
     first = prefix(F.col("n"), least)
     listed = F.least(F.col("n"), first + (first / 4).cast("int") + 8)  # as many as `shingle_rows` gives
-    heavy = (shared.where(F.col("c") > FREQUENT).groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    heavy = (shared.where(F.col("c") > FREQUENT).groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("m").alias("v"))
              .withColumn("open", listed - F.col("v") < first))
     light = (shared.where(F.col("c") <= FREQUENT).join(heavy.select("doc_id", "v"), "doc_id", "left")
-             .select("h", "doc_id", "n", F.coalesce("v", F.lit(0)).alias("v")))
-    one = light.select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
+             .select("h", "doc_id", "n", "m", F.coalesce("v", F.lit(0)).alias("v")))
+    one = light.select("h", "m", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
     two = light.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
 
     def rest(n: str, v: str) -> Column:
@@ -117,7 +126,7 @@ def light_pairs(shared: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     most = F.col("both") + F.greatest(rest("na", "va"), rest("nb", "vb"))
     pairs = (one.join(two, "h").where((F.col("a") < F.col("b")) & _alike("na", "nb", least))
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), *(F.first(x).alias(x) for x in ("na", "nb", "va", "vb")))
+             .groupBy("a", "b").agg(F.sum("m").alias("both"), *(F.first(x).alias(x) for x in ("na", "nb", "va", "vb")))
              .where(linked(F.col("na"), F.col("nb"), F.least(most, F.col("na"), F.col("nb")), least)).select("a", "b"))
     return pairs, heavy.where("open").select("doc_id")
 
@@ -125,7 +134,8 @@ def light_pairs(shared: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 def rare_columns(sets: DataFrame, least: int) -> DataFrame:
     """Step 3: (h, doc_id, n, i), every row's prefix when its rarest columns come first; i: the place."""
     cells = sets.select("doc_id", "n", F.explode("hs").alias("h"))
-    counts = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    # Stored, so that the join is a plain one, which Spark splits at a hot column.
+    counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "counts")
     rows = (cells.join(counts, "h").groupBy("doc_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("cs")))
     return (rows.select("doc_id", "n", F.posexplode(F.slice("cs", F.lit(1), prefix(F.col("n"), least))).alias("i", "x"))
             .where("x.c > 1").select("doc_id", "n", "i", F.col("x.h").alias("h")))
@@ -166,11 +176,12 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rep = stored(nodes.select("doc_id", "n", "sig").join(first, ["n", "sig"]).groupBy("doc_id").agg(F.min("rep").alias("rep")), "copies")
 
     cells = nodes.select("doc_id", "n", F.explode("hs").alias("h"))
-    counts = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "counts")
     shared = stored(cells.join(counts, "h").join(rep.where("rep <> doc_id").select("doc_id"), "doc_id", "left_anti"), "shared")
-    again = shared.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    cells = stored(shared.join(again, "h"), "cells")
-    drop([shared])
+    drop([counts])
+    columns = stored(merged_columns(shared), "columns")
+    cells = stored(shared.join(columns, "h"), "cells")
+    drop([shared, columns])
     pairs, rest = light_pairs(cells, least)
     pairs, rest = stored(pairs, "pairs"), stored(rest, "open")
     drop([cells])

@@ -162,3 +162,17 @@ def test_repeats_against_brute_force(make_docs, messy, monkeypatch):
                 assert hashlib.sha256(r.kept).hexdigest() == want[r.doc_id], r.doc_id
                 assert sum(s.length for s in r.spans) == r.n_bytes - len(r.kept)
     assert op6.without_repeats(messy.limit(0)).collect() == []
+
+
+def test_columns_with_the_same_rows_become_one(spark):
+    cells = [(d, h) for h, rows in {1: (5, 7), 2: (5, 7), 3: (5, 7, 9), 4: (5, 8, 9), 5: (6, 6), 6: (7, 7), 7: (5,), 8: (5, 8, 9)}.items() for d in rows]
+    got = op7.merged_columns(spark.createDataFrame(cells, "doc_id long, h long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 2), (3, 3, 1), (4, 3, 2), (5, 2, 1), (6, 2, 1)]
+
+
+def test_a_stored_count_lets_spark_split_a_hot_column(spark):
+    """The join of cells with their columns reads both sides from files, right before its exchange."""
+    cells = spark.range(1000).selectExpr("id as doc_id", "id % 3 as h")
+    columns = op7.stored(op7.merged_columns(cells), "columns")
+    plan = op7.stored(cells, "shared").join(columns.hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 2
