@@ -15,13 +15,15 @@ _SCRIPT = r"(?is)<script[^>]*>.*?</script>"
 _STYLE = r"(?is)<style[^>]*>.*?</style>"
 _ANCHOR = rf"""(?is)<a{WS}[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 
-# Any attribute, then the one wanted; values may be quoted or bare.
-_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_ATTRIBUTE = r"""[\s/]+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
-# The attribute loop is bounded because Java matches it by recursion.
-# Comments, scripts and styles are matched first, so links inside them are passed over.
+# Attributes, then the one wanted; values may be quoted or bare. What has been read as an attribute is
+# never read again (possessive), so a tag may have any number of them and costs its length once.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_ATTRIBUTE = r"""[\s/]++[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+_WANTED = r"[\s/]+href\s*=\s*"
+# Comments, scripts and styles are matched first, so links inside them are passed over; so are
+# the attributes of a link without an address.
 _HREF = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-         rf"|<a(?:{_ATTRIBUTE}){{0,200}}?[\s/]+href\s*=\s*{_VALUE}")
+         rf"|<a(?:(?!{_WANTED}{_VALUE}){_ATTRIBUTE})*+(?:{_WANTED}({_VALUE}))?+")
 
 _URL = r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?\z"
 # An address that is already in its canonical form: nothing to fold, drop or encode.

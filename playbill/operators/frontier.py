@@ -18,7 +18,8 @@ from playbill.functions.rules import (
     city_ok,
     is_event_link,
 )
-from playbill.operators.keyed import first_by, lookup_join, small, top_per
+from playbill.operators.keyed import first_by, lookup_join, number_sorted, small, top_per
+from playbill.session import materialize
 
 # Source tiers by site: lower is better (fixed values). Unlisted sites rank 4.
 SITE_TIERS = {
@@ -28,6 +29,10 @@ SITE_TIERS = {
 UNLISTED_TIER = 4
 LAST_RESORT_TIER = 5
 RESALE_SITES = ("viagogo.com", "stubhub.com")
+# Up to so many rows are cut by Spark's own top-n, which keeps that many rows of each task and host.
+DIRECT = 1000
+# Hex digits of a sample key that one pass counts: 65,536 counts at most reach the driver.
+DIGITS = 4
 
 
 def project_hits(hits: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def rank_sources(
     tiers: Mapping[str, int] | DataFrame = SITE_TIERS,
     n: int | None = None,
     other_cities: Sequence[str] = OTHER_CITIES,
-    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """The best `n` source pages, from as many different hosts as possible.
 
@@ -75,6 +80,7 @@ def rank_sources(
     tier, as a mapping or, when the list is long, a table (host, tier); the host's own
     tier comes before its site's, and the better of two rows for one name counts. A table too long
     to be broadcast is looked up once per host; `stage` may write what that reads more than once.
+    Above `DIRECT` pages, rounds are numbered in sampled ranges, so that no task holds a whole host.
     """
     words = F.concat_ws(" ", "title", "description")
     host = hostname(F.col("url"))
@@ -89,7 +95,7 @@ def rank_sources(
         )
     )
     if isinstance(tiers, DataFrame):
-        known = _tiered(kept, tiers.groupBy("host").agg(F.min("tier").alias("_tier")), stage)
+        known = _tiered(kept, tiers.groupBy("host").agg(F.min("tier").alias("_tier")), stage or (lambda df, name: df))
     else:
         table = F.create_map(*[F.lit(x) for pair in tiers.items() for x in pair])
         known = kept.withColumn("_tier", F.coalesce(table[F.col("host")], table[F.col("site")]))
@@ -97,6 +103,8 @@ def rank_sources(
     if n is None:
         return ranked
     order = ["tier", "query_idx", "rank", "url"]
+    if n > DIRECT:
+        return _best_of_many(ranked, order, n, stage or materialize)
     return (
         top_per(ranked, ["host"], order, n, number="round")
         .orderBy((F.col("tier") >= LAST_RESORT_TIER).cast("int"), "round", *order)
@@ -104,6 +112,18 @@ def rank_sources(
     )
 
 
+def _best_of_many(ranked: DataFrame, order: Sequence[str], n: int, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The first `n` pages when hosts take turns. All pages are numbered host by host; a page's round
+    is its number less that of its host's first page. Those that can be chosen are numbered again by rounds."""
+    numbered = stage(number_sorted(ranked, ["host", *order], "_no", stage), "numbered")
+    hosts = numbered.groupBy("host").agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias("n"))
+    turns = (lookup_join(numbered, hosts.drop("n"), ["host"], F.col("_no"), hosts.select("host", "n"))
+             .withColumn("round", (F.col("_no") - F.col("_first") + 1).cast("int")).where(F.col("round") <= n)
+             .withColumn("_late", (F.col("tier") >= LAST_RESORT_TIER).cast("int")).drop("_no", "_first"))
+    places = number_sorted(turns, ["_late", "round", *order], "_place", stage)
+    return places.where(F.col("_place") <= n).orderBy("_place").drop("_late", "_place")
+
+
 def _tiered(kept: DataFrame, table: DataFrame, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """`kept` with `_tier`: that of its host in `table` (host, _tier), or else that of its site."""
     own = table.select("host", F.col("_tier").alias("_own"))
@@ -158,13 +178,36 @@ def sample_key(url: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), url))
 
 
-def sample_urls(urls: DataFrame, n: int | None = None, seed: str = "0") -> DataFrame:
+def sample_urls(urls: DataFrame, n: int | None = None, seed: str = "0",
+                stage: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """A reproducible random sample of `n` addresses, spread over all sources; None keeps all.
 
-    Ordered by a seeded hash, which does not depend on partitioning.
+    They are the first ones by a seeded hash, which does not depend on partitioning. Above `DIRECT`
+    rows the cut is found from counts of hash prefixes, so the sample stays spread over the cluster.
     """
     keyed = urls.select("url", sample_key(F.col("url"), seed).alias("sample_key"))
-    return keyed if n is None else keyed.orderBy("sample_key", "url").limit(n)
+    if n is None:
+        return keyed
+    if n <= DIRECT:
+        return keyed.orderBy("sample_key", "url").limit(n)
+    keyed = stage(keyed, "sample_keys")
+    taken, rest, left = keyed.limit(0), keyed, n
+    for digit in range(1, 32, DIGITS):
+        prefix = F.substring("sample_key", digit, DIGITS)
+        counts = sorted((r.p, r.n) for r in rest.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        whole, cut = 0, None
+        for p, rows in counts:
+            if whole + rows > left:
+                cut = p
+                break
+            whole += rows
+        if cut is None:  # all that is left fits
+            return taken.unionByName(rest)
+        taken, rest, left = taken.unionByName(rest.where(prefix < cut)), rest.where(prefix == cut), left - whole
+        if left <= DIRECT:
+            break
+    # Beyond the last digit only copies of one address are left.
+    return taken.unionByName(rest.orderBy("sample_key", "url").limit(left))
 
 
 def with_links(pages: DataFrame) -> DataFrame:

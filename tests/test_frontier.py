@@ -109,3 +109,24 @@ def test_short_tier_tables_are_read_once_or_twice(spark, tmp_path):
     ranked = frontier.rank_sources(spark.read.parquet(str(tmp_path / "hits")), spark.read.parquet(str(tmp_path / "tiers")))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 4 and "SortMergeJoin" not in plan
+
+
+def test_long_samples_are_the_same_rows(spark, monkeypatch):
+    urls = spark.range(3000).select(F.concat(F.lit("https://e.gr/"), F.col("id") % 2500).alias("url")).repartition(5)
+    every = sorted((r.sample_key, r.url) for r in frontier.sample_urls(urls).collect())
+    for direct, digits in ((1000, 4), (3, 1), (0, 1)):
+        monkeypatch.setattr(frontier, "DIRECT", direct)
+        monkeypatch.setattr(frontier, "DIGITS", digits)
+        for n in (1, 1500, 2999, 3000, 4000):
+            got = sorted((r.sample_key, r.url) for r in frontier.sample_urls(urls, n).collect())
+            assert got == every[:n]
+
+
+def test_many_sources_take_the_same_turns(spark, monkeypatch):
+    rows = [(q, r, f"https://{'big.gr' if (q + r) % 3 else f'h{r % 17}.gr'}/{q}/{r}", "t", "") for q in range(9) for r in range(60)]
+    hits = spark.createDataFrame(rows, "query_idx int, rank int, url string, title string, description string").repartition(4)
+    tiers = {"big.gr": 2, "h3.gr": 5, "h5.gr": 1}
+    want = {n: [tuple(r) for r in frontier.rank_sources(hits, tiers, n).select("url", "tier", "round").collect()] for n in (5, 200, 900)}
+    monkeypatch.setattr(frontier, "DIRECT", 0)
+    for n, rows in want.items():
+        assert [tuple(r) for r in frontier.rank_sources(hits, tiers, n).select("url", "tier", "round").collect()] == rows

@@ -47,6 +47,15 @@ def test_many_attributes_and_long_pages(apply):
     assert apply(html.strip_html, [deep]) == ["x"]
 
 
+def test_links_cost_the_length_of_the_page(apply):
+    """Any number of attributes, and tags that never close: each character is read once or twice."""
+    wide = "<a " + " ".join(f'd{i}="{i}"' for i in range(20_000)) + ' href="/w">x</a>'
+    open_tags = '<a b="1" c ' * 40_000 + '<p><a href="/late">'
+    nested = '<a x <a href="/b">1</a><a href=>2</a><a hrefs="/no" data-href=/no>3</a><a/href="/c">4</a><a x=y/href=/no>5</a><a\thref=\'/d\'>'
+    got = apply(lambda c: html.page_links(c, F.lit("https://e.gr/")), [wide, open_tags, nested])
+    assert got == [["https://e.gr/w"], ["https://e.gr/late"], ["https://e.gr/b", "https://e.gr/c", "https://e.gr/d"]]
+
+
 def test_text(apply):
     page = "<p>One <a class='c' href='u'><b>two</b></a></p>\n<script>var t=\"</p>\";</script><style>p{}</style> three &middot;"
     assert apply(html.text_with_links, [page]) == ["One two (u) three &middot;"]
