@@ -102,9 +102,10 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return shift + np.arange(total, dtype=np.int64)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches of a partition that is sorted by integer `keys`, cut so that no group spans two of
-    them: (rows, start of every group plus the end). Only the last group waits for the next batch."""
+    them: (rows, start of every group plus the end). Only the last group waits for the next batch, and
+    batches of fewer than `least` bytes, which are put together."""
     rest: list[pa.RecordBatch] = []
 
     def cut(rows: pa.Table) -> np.ndarray:
@@ -119,6 +120,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         if not batch.num_rows:
             continue
         rest.append(batch)
+        if sum(b.nbytes for b in rest) < least:
+            continue
         if len(rest) > 1 and all(rest[0].column(k)[0].equals(batch.column(k)[batch.num_rows - 1]) for k in keys):
             continue
         rows = pa.Table.from_batches(rest)

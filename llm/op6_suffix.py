@@ -142,7 +142,10 @@ def repeats_in_shards(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, raw
     places = ragged(seg_at, own)
     text[places] = flat
     text[seg_at + own - 1] = 1
-    sa = suffix_arrays(text, sizes, np.full(len(sizes), 258))
+    # Only the symbols that occur get buckets.
+    used = np.bincount(text, minlength=258) > 0
+    text = (np.cumsum(used) - 1)[text]
+    sa = suffix_arrays(text, sizes, np.full(len(sizes), int(used.sum())))
     shared = common_prefixes(text, sizes, sa)
     seg_of = np.full(len(text), -1, np.int64)
     seg_of[places] = np.repeat(segs, own)

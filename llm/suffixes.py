@@ -12,34 +12,31 @@ import numpy as np
 from llm.arrays import ragged
 
 
-def _induce(text: np.ndarray, small: np.ndarray, sa: np.ndarray, base: np.ndarray, size: np.ndarray, bucket: np.ndarray,
+def _induce(sa: np.ndarray, larger: np.ndarray, smaller: np.ndarray, base: np.ndarray, size: np.ndarray,
             heads: np.ndarray, tails: np.ndarray) -> None:
     """Places larger-type suffixes from the left and smaller-type ones from the right.
-    `text` and `sa` hold lane-local positions; lanes are ordered by falling size."""
+    `sa` holds places in the text, its length where there is none yet; `larger` and `smaller` give the bucket of the
+    suffix one to the left of a place if it is of that type, else -1. Lanes are ordered by falling size."""
     heads, tails = heads.copy(), tails.copy()
     longest = int(size[0])
-    alive = np.searchsorted(-size, -np.arange(longest), "left")  # lanes longer than i
+    alive = np.searchsorted(-size, -np.arange(longest), "left").tolist()  # lanes longer than i
     for i in range(longest):
-        b = base[: alive[i]]
-        at = sa[b + i] - 1
-        go = np.flatnonzero(at >= 0)
-        place = b[go] + at[go]
-        ok = ~small[place]
-        go, place = go[ok], place[ok]
-        key = bucket[go] + text[place]
-        sa[heads[key]] = at[go]
-        heads[key] += 1
+        at = sa[base[: alive[i]] + i]
+        key = larger[at]
+        go = key >= 0
+        key = key[go]
+        head = heads[key]
+        sa[head] = at[go] - 1
+        heads[key] = head + 1
     ends = base + size - 1
     for i in range(longest):
-        n = alive[i]
-        at = sa[ends[:n] - i] - 1
-        go = np.flatnonzero(at >= 0)
-        place = base[go] + at[go]
-        ok = small[place]
-        go, place = go[ok], place[ok]
-        key = bucket[go] + text[place]
-        tails[key] -= 1
-        sa[tails[key]] = at[go]
+        at = sa[ends[: alive[i]] - i]
+        key = smaller[at]
+        go = key >= 0
+        key = key[go]
+        tail = tails[key] - 1
+        sa[tail] = at[go] - 1
+        tails[key] = tail
 
 
 def suffix_arrays(text: np.ndarray, size: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -50,7 +47,6 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray, alphabet: np.ndarray) -> n
     total, lanes = len(text), len(size)
     base = np.cumsum(size) - size
     lane = np.repeat(np.arange(lanes), size)
-    local = np.arange(total) - base[lane]
     last = base + size - 1
     # Smaller-type: smaller than the suffix that follows.
     step = np.zeros(total, np.int64)
@@ -63,31 +59,38 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray, alphabet: np.ndarray) -> n
     leftmost[base] = False
     leftmost[last] |= size > 1
     bucket = np.cumsum(alphabet) - alphabet
-    counts = np.bincount(bucket[lane] + text, minlength=int(alphabet.sum()))
+    own_bucket = bucket[lane] + text
+    counts = np.bincount(own_bucket, minlength=int(alphabet.sum()))
     tails = np.cumsum(counts)
     heads = tails - counts
+    tails, heads = tails.astype(np.int32), heads.astype(np.int32)
+    left = np.full(total + 1, -1, np.int32)
+    left[1:total] = own_bucket[:-1]
+    left[base] = -1
+    left_small = np.r_[False, small]
+    larger, smaller = np.where(left_small, np.int32(-1), left), np.where(left_small, left, np.int32(-1))
+    larger[total] = smaller[total] = -1
     marks = np.flatnonzero(leftmost)
 
     def placed(order: np.ndarray) -> np.ndarray:
         """`order`: leftmost-smaller positions, those of one bucket in rising order."""
-        sa = np.full(total, -1, np.int64)
-        key = bucket[lane[order]] + text[order]
+        sa = np.full(total, total, np.int32)
+        key = own_bucket[order]
         rank = np.argsort(key, kind="stable")
         key, order = key[rank], order[rank]
         n = np.bincount(key, minlength=len(counts))
         within = np.arange(len(key)) - (np.cumsum(n) - n)[key]
-        sa[tails[key] - n[key] + within] = local[order]
-        single = size == 1
-        sa[base[single]] = 0
+        sa[tails[key] - n[key] + within] = order
+        single = base[size == 1]
+        sa[single] = single
         return sa
 
     sa = placed(marks)
-    _induce(text, small, sa, base, size, bucket, heads, tails)
+    _induce(sa, larger, smaller, base, size, heads, tails)
     # Leftmost-smaller substrings in sorted order get names; equal neighbours share one.
-    at = base[lane] + sa
-    order = at[leftmost[at]]
+    order = sa[leftmost[sa]]
     if not len(order):
-        return sa
+        return sa - base[lane]
     nth = np.full(total, -1, np.int64)
     nth[marks] = np.arange(len(marks))
     stop = np.r_[marks[1:], total - 1]
@@ -121,32 +124,34 @@ def suffix_arrays(text: np.ndarray, size: np.ndarray, alphabet: np.ndarray) -> n
         sub = suffix_arrays(by_place[marks[inner]], marks_of[deeper], names_of[deeper])
         order[inner] = marks[sub + np.repeat(first[deeper], marks_of[deeper])]
     sa = placed(order)
-    _induce(text, small, sa, base, size, bucket, heads, tails)
-    return sa
+    _induce(sa, larger, smaller, base, size, heads, tails)
+    return sa - base[lane]
 
 
 def common_prefixes(text: np.ndarray, size: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For every place of the suffix array, the symbols its suffix shares with the one before it in
-    its lane (0 at the first). Computed in text order, where a value falls by one at most."""
-    lanes, total = len(size), len(text)
+    its lane (0 at the first). Permuted into text order, a value is one less than its left neighbour's where the
+    symbols left of both suffixes are equal; only the other values are counted symbol by symbol."""
+    total = len(text)
     base = np.cumsum(size) - size
-    lane = np.repeat(np.arange(lanes), size)
+    flat = np.repeat(base, size) + sa
     before = np.full(total, -1, np.int64)
-    flat = base[lane] + sa
     rest = np.ones(total, bool)
     rest[base] = False
     before[flat[rest]] = flat[np.flatnonzero(rest) - 1]
+    opens = np.zeros(total, bool)
+    opens[base] = True
+    place = np.arange(total)
+    counted = opens | (before < 0)
+    inner = np.flatnonzero(~counted)
+    counted[inner] = opens[before[inner]] | (text[inner - 1] != text[before[inner] - 1])
     permuted = np.zeros(total, np.int64)
-    at, ends, run = base.copy(), base + size, np.zeros(lanes, np.int64)
-    while len(at):
-        other = before[at]
-        one, two = at + run, other + run
-        grows = (other >= 0) & (one < ends) & (two < ends)
-        grows[grows] = text[one[grows]] == text[two[grows]]
-        permuted[at[~grows]] = run[~grows]
-        run = np.where(grows, run + 1, np.maximum(run - 1, 0))
-        at = np.where(grows, at, at + 1)
-        on = at < ends
-        if not on.all():
-            at, ends, run = at[on], ends[on], run[on]
-    return permuted[flat]
+    row = np.flatnonzero(counted & (before >= 0))
+    one, two, run = row, before[row], 0
+    while len(row):
+        # The end symbol of a lane occurs once in it, so equal symbols never lead out of the lane.
+        same = text[one] == text[two]
+        permuted[row[~same]] = run
+        row, one, two, run = row[same], one[same] + 1, two[same] + 1, run + 1
+    source = np.maximum.accumulate(np.where(counted, place, 0))
+    return (permuted[source] - (place - source))[flat]
