@@ -7,8 +7,10 @@ them with the smallest hash. Consecutive windows with one anchor are a segment.
 2. Equal segments of one anchor: all but the first (smallest document, then place) go.
 3. The distinct segments of an anchor are a shard. Its suffix array is built by induced
    sorting (`suffixes`), and neighbours that share `width` bytes and more are runs of equal
-   windows; all but the first of a run go. Anchors with more than `SHARD` distinct segments
-   are not sorted in one task: their windows are grouped by two hashes of their bytes, with partial sums.
+   windows; all but the first of a run go. A shard with more than `SHARD` distinct segments is
+   split before: its windows are dealt by their distance to the anchor, `STEP` distances to a piece,
+   and by all bytes that the windows of a piece share; pieces are treated as in 2 and 3. What is
+   still larger is split a second time, into single windows, whose shards hold one kind each.
 4. The windows that go are joined to their documents, and the bytes they cover are removed.
 
 Only hashes and places are shuffled for the whole corpus; texts travel compressed.
@@ -33,9 +35,9 @@ from llm.arrays import SpanHash, ragged, slices, utf8, whole_groups
 from llm.suffixes import common_prefixes, suffix_arrays
 from llm.tables import documents, drop, made, stored
 
-WIDTH, ANCHOR, SHARD = 100, 28, 16
+WIDTH, ANCHOR, SHARD, STEP = 100, 28, 16, 8
 # Bytes of shards whose suffix arrays are built together.
-LANES_BYTES = 1 << 20
+LANES_BYTES = 1 << 19
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, full: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,9 +105,27 @@ def packed(df: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) ->
     return picked.mapInArrow(run, "doc_id long, z binary" + fields)
 
 
+def anchor_places(raw: list[bytes], anchor: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Where the anchor stands in each segment: the leftmost place in its last window, which all its windows hold."""
+    own = np.fromiter(map(len, raw), np.int64, len(raw))
+    base = np.cumsum(own) - own
+    hashes = SpanHash(np.frombuffer(b"".join(raw), np.uint8)).windows(ANCHOR)
+    hit = np.flatnonzero(hashes == np.repeat(anchor.view(np.uint64), own)[: len(hashes)])
+    seg = np.repeat(np.arange(len(raw)), own)[hit]
+    at = hit - base[seg]
+    fits = (at >= windows[seg] - 1) & (at <= own[seg] - ANCHOR)
+    found, first = np.unique(seg[fits], return_index=True)
+    assert len(found) == len(raw)
+    return at[fits][first]
+
+
+PARTS = "shard long, doc_id long, start long, windows int, skip int, core int, many boolean, bytes binary"
+
+
 def cut_segments(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, z, places) to one row per place with its bytes."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    """(doc_id, z, places) to one row per place with its bytes; all its windows hold the `core` bytes from `skip` on
+    (looked up for the segments of large shards only)."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -116,10 +136,16 @@ def cut_segments(texts: DataFrame, width: int) -> DataFrame:
                     raw = press.decompress(z)
                     out += [(p["anchor"], doc_id, p["start"], p["windows"], p["many"], raw[p["start"] : p["start"] + p["windows"] + width - 1])
                             for p in places]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)],
-                                                 ["anchor", "doc_id", "start", "windows", "many", "bytes"])
+                anchor, doc_id, start, windows, many, cut = zip(*out)
+                large = np.flatnonzero(many)
+                skip = np.zeros(len(out), np.int32)
+                if len(large):
+                    skip[large] = anchor_places([cut[k] for k in large], np.array(anchor)[large], np.array(windows)[large])
+                columns = (anchor, doc_id, start, windows, skip, np.full(len(out), ANCHOR), many, cut)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                                                 ["shard", "doc_id", "start", "windows", "skip", "core", "many", "bytes"])
 
-    return texts.mapInArrow(run, "anchor long, doc_id long, start long, windows int, many boolean, bytes binary")
+    return texts.mapInArrow(run, PARTS)
 
 
 def repeats_in_shards(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +190,10 @@ def repeats_in_shards(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, raw
 
 def shard_repeats(segs: DataFrame, width: int) -> DataFrame:
     """Steps 3's suffix arrays: (doc_id, start, windows) of the windows that go."""
-    dealt = segs.select("anchor", "doc_id", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = segs.select("shard", "doc_id", "start", "bytes").repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in whole_groups(batches, ["anchor"]):
+        for rows, starts in whole_groups(batches, ["shard"], LANES_BYTES):
             sizes = pc.binary_length(rows.column("bytes")).to_numpy()
             ends = np.cumsum(sizes)
             at = 0
@@ -190,30 +216,58 @@ def shard_repeats(segs: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, windows int")
 
 
-def window_repeats(segs: DataFrame, width: int) -> DataFrame:
-    """The same for the segments of very common anchors, by two hashes of their windows' bytes."""
-    cut = F.substring("bytes", F.col("o") + 1, F.lit(width))
-    windows = segs.select("doc_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("o")).select(
-        F.struct("doc_id", (F.col("start") + F.col("o")).alias("start")).alias("at"), F.xxhash64(cut).alias("w"), F.xxhash64(F.lit(1), cut).alias("v"))
-    first = windows.groupBy("w", "v").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v", "first")
-    return windows.join(first, ["w", "v"]).where("at > first").select("at.doc_id", "at.start", F.lit(1).alias("windows"))
+def split(parts: DataFrame, step: int, width: int) -> DataFrame:
+    """The windows of `parts`, dealt to pieces by their distance to the core, `step` distances to a piece. The windows of a piece
+    share a longer core, whose bytes name its shard: equal windows stay in one shard."""
+    last = F.col("windows") - 1
+    dealt = parts.withColumn("b", F.explode(F.sequence(F.floor((F.col("skip") - last) / step), F.floor(F.col("skip") / step))))
+    low = (F.col("b") * step).cast("int")
+    dealt = (dealt.withColumn("low", low).withColumn("high", F.least(low + step - 1, F.lit(width) - F.col("core")))
+             .withColumn("from", F.greatest(F.lit(0), F.col("skip") - F.col("high")))
+             .withColumn("to", F.least(last, F.col("skip") - F.col("low")))
+             .withColumn("held", F.col("low") + F.col("core") + F.lit(width) - F.col("core") - F.col("high")))
+    core = F.substring("bytes", F.col("skip") - F.col("low") + 1, F.col("held"))
+    return dealt.select(
+        F.xxhash64("shard", "low", core).alias("shard"), "doc_id", (F.col("start") + F.col("from")).alias("start"),
+        (F.col("to") - F.col("from") + 1).alias("windows"), (F.col("skip") - F.col("low") - F.col("from")).alias("skip"),
+        F.col("held").alias("core"), F.substring("bytes", F.col("from") + 1, F.col("to") - F.col("from") + width).alias("bytes"))
+
+
+def large_shard_repeats(parts: DataFrame, width: int) -> DataFrame:
+    """The same for large shards: split into pieces, and what is still large into windows."""
+    place = F.struct("doc_id", "start")
+    kind = ["shard", "skip", "core", "windows", "bytes"]
+    found = None
+    for step in (STEP, 1):
+        pieces = stored(split(parts, step, width), "pieces")
+        kinds = stored(pieces.groupBy(*kind).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "piece_kinds")
+        later = (pieces.join(kinds.where("n > 1").select(*kind, "first"), kind).where(place > F.col("first"))
+                 .select("doc_id", "start", "windows"))
+        found = later if found is None else found.unionByName(later)
+        if step == 1:
+            return found
+        variants = stored(kinds.groupBy("shard").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "piece_variants")
+        cut = stored(kinds.join(variants, "shard").select(*kind, "first.doc_id", "first.start", (F.col("k") > SHARD).alias("many")), "piece_shards")
+        found = found.unionByName(shard_repeats(cut.where("not many"), width))
+        parts = cut.where("many").drop("many")
 
 
 def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, start, windows): runs of windows of `width` bytes that also start earlier."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
-    common = segment_rows(docs, width, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Counts are stored before they are joined: then Spark can split a hot anchor.
+    common = stored(segment_rows(docs, width, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     segs = stored(segment_rows(docs, width, True).join(common.hint("shuffle_hash"), "anchor"), "segments")
     kinds = stored(segs.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start", "windows")).alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
     firsts = kinds.where("n > 1").select("anchor", "whole", F.struct("first.doc_id", "first.start").alias("first"))
     later = (segs.join(firsts, ["anchor", "whole"]).where(F.struct("doc_id", "start") > F.col("first"))
              .select("doc_id", "start", "windows"))
-    variants = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    variants = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "variants")
     places = (kinds.join(variants, "anchor").groupBy("first.doc_id")
               .agg(F.collect_list(F.struct("anchor", "first.start", "first.windows", (F.col("k") > SHARD).alias("many"))).alias("places")))
     cut = stored(cut_segments(packed(docs, "doc_id", "text").join(places, "doc_id"), width), "shards")
     return (later.unionByName(shard_repeats(cut.where("not many"), width))
-            .unionByName(window_repeats(cut.where("many"), width)))
+            .unionByName(large_shard_repeats(cut.where("many").drop("many"), width)))
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, keep: tuple[str, ...] = (),

@@ -164,6 +164,36 @@ def test_repeats_against_brute_force(make_docs, messy, monkeypatch):
     assert op6.without_repeats(messy.limit(0)).collect() == []
 
 
+def test_a_passage_with_many_neighbours_is_split(make_docs, monkeypatch):
+    """Shards of hundreds of distinct segments go through pieces and windows; none is sorted whole."""
+    monkeypatch.setattr(op6, "SHARD", 3)
+    most = []
+    sort = op6.shard_repeats
+    monkeypatch.setattr(op6, "shard_repeats", lambda segs, width: most.append(
+        segs.groupBy("shard").count().agg(F.max("count")).first()[0] or 0) or sort(segs, width))
+    passage = prose(71, 40)
+    rows = [(i, prose(1000 + i, 3) + passage[i % 7 : 120 + i % 90] + prose(2000 + i, 3 + i % 4)) for i in range(150)]
+    rows += [(200 + i, "ab" * (60 + i) + passage[:40]) for i in range(12)] + [(300, "x" * 500), (301, "x" * 300 + passage[:150])]
+    got = {r.doc_id: hashlib.sha256(r.kept).hexdigest() for r in op6.without_repeats(make_docs(rows)).collect()}
+    assert got == cut(rows)
+    assert len(most) == 2 and max(most) <= 3
+
+
+def test_joins_with_counts_read_stored_tables(spark, make_docs, monkeypatch):
+    """A join meets its counts as files, not as an aggregate of the same exchange, so a hot anchor can be split."""
+    plans = []
+    keep = op6.stored
+
+    def note(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(df, label)
+
+    monkeypatch.setattr(op6, "stored", note)
+    op6.without_repeats(make_docs([(i, prose(i % 3, 60)) for i in range(9)])).collect()
+    joined = [(label, plan) for label, plan in plans if label in ("segments", "piece_shards")]
+    assert len(joined) == 2 and all("Join" in plan and "Aggregate" not in plan for _, plan in joined)
+
+
 def test_columns_with_the_same_rows_become_one(spark):
     cells = [(d, h) for h, rows in {1: (5, 7), 2: (5, 7), 3: (5, 7, 9), 4: (5, 8, 9), 5: (6, 6), 6: (7, 7), 7: (5,), 8: (5, 8, 9)}.items() for d in rows]
     got = op7.merged_columns(spark.createDataFrame(cells, "doc_id long, h long")).collect()
