@@ -13,7 +13,8 @@ from playbill.functions.base import WS, compute_once, let, present, trim_text
 from playbill.functions.dates import DEFAULT_ZONE, is_future, parse_flexible_date, utc_day
 from playbill.functions.rules import EXTRACTION_GENRES, OTHER_CITIES, SKIP_GENRES, city_ok, genre_ok
 from playbill.functions.text import clean_title, gig_url, name_key, normalize_price, venue_or_default
-from playbill.operators.keyed import first_by, number_rows
+from playbill.operators.keyed import first_by, number_rows, number_sorted
+from playbill.session import materialize
 from playbill.sources.responses import parse_gig_responses
 
 BATCH_SIZE = 2
@@ -25,12 +26,14 @@ TICKET_SITES = ("more.com", "viva.gr", "ticketmaster")
 
 # --- batches ---------------------------------------------------------------
 
-def chunk(pages: DataFrame, order: Sequence[str], bucket: Column, size: int = BATCH_SIZE) -> DataFrame:
+def chunk(pages: DataFrame, order: Sequence[str], bucket: Column | None = None, size: int = BATCH_SIZE,
+          stage: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """Cut an ordered table into batches of `size` rows: batch number and slot.
 
-    `bucket` is as for `number_rows`; batches run across bucket borders.
+    `bucket` is as for `number_rows`, for keys that are known to be dense or hashes; without it the
+    rows are written in sampled ranges, so their keys may be as sparse as they like. Batches run across the borders.
     """
-    numbered = number_rows(pages, order, bucket, "_row")
+    numbered = number_sorted(pages, order, "_row", stage) if bucket is None else number_rows(pages, order, bucket, "_row")
     return (numbered.withColumn("batch", F.floor((F.col("_row") - 1) / size).cast("bigint"))
             .withColumn("slot", F.pmod(F.col("_row") - 1, F.lit(size)).cast("int"))
             .drop("_row"))

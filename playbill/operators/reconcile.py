@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from playbill.functions.base import present, utf16_length
 from playbill.functions.dates import iso_utc, utc_day
 from playbill.functions.text import name_key
-from playbill.operators.keyed import RANGE_WIDTH, id_range, lookup_join, number_rows
+from playbill.operators.keyed import id_range, lookup_join, number_rows, number_sorted
 from playbill.schemas import GIG_LIMITS, VENUE_LIMITS
+from playbill.session import materialize
 
 CREATED, SKIPPED, ERROR = "created", "skipped", "error"
 
@@ -105,11 +106,18 @@ def gig_outcomes(candidates: DataFrame, gigs: DataFrame, stage: Stage = same, **
     return judged.withColumn("outcome", outcome).drop("stored", "first_valid")
 
 
+def _numbered(df: DataFrame, key: str, width: int | None, stage: Stage) -> DataFrame:
+    """`no` in order of a unique `key`: in sampled ranges, or in ranges of `width` where the key is dense."""
+    if width is None:
+        return number_sorted(df, [key], "no", stage)
+    return number_rows(df, [key], id_range(F.col(key), width), "no")
+
+
 def match_venues(
     outcomes: DataFrame,
     venues: DataFrame,
-    stage: Stage = same,
-    width: int = RANGE_WIDTH,
+    stage: Stage = materialize,
+    width: int | None = None,
 ) -> DataFrame:
     """One row per venue named by a created or failed row: key, name, id, is_new.
 
@@ -124,8 +132,7 @@ def match_venues(
     matched = stage(named.join(stored, "venue_key", "left"), "matched")
     old = matched.where(F.col("stored_id").isNotNull()).select(
         "venue_key", "name", F.col("stored_id").alias("venue_id"), F.lit(False).alias("is_new"))
-    fresh = number_rows(matched.where(F.col("stored_id").isNull()), ["first_i"],
-                        id_range(F.col("first_i"), width), "no")
+    fresh = _numbered(matched.where(F.col("stored_id").isNull()), "first_i", width, stage)
     new = fresh.select("venue_key", "name", (_top_id(venues) + F.col("no")).alias("venue_id"),
                        F.lit(True).alias("is_new"))
     return old.unionByName(new)
@@ -139,16 +146,15 @@ def reconcile(
     candidates: DataFrame,
     gigs: DataFrame,
     venues: DataFrame,
-    stage: Stage = same,
-    width: int = RANGE_WIDTH,
+    stage: Stage = materialize,
+    width: int | None = None,
     **skew,
 ) -> Reconciled:
     """New gigs, new venues and outcomes for candidates with a unique order `i`.
 
-    `stage(df, name)` may write an intermediate table and return it re-read; a job
-    that uses all three results passes `session.materialize`. New ids follow the
-    highest stored id in order of `i`, so a repeated run makes the same ones.
-    `width` is the range of `i` that one task numbers.
+    `stage(df, name)` writes an intermediate table and returns it re-read. New ids follow the
+    highest stored id in order of `i`, so a repeated run makes the same ones; they are given in
+    sampled ranges of even size, so `i` may be dense, sparse or a hash; a `width` takes fixed ranges of a dense `i`.
     """
     outcomes = stage(gig_outcomes(candidates, gigs, stage, **skew), "outcomes")
     matched = stage(match_venues(outcomes, venues, stage, width), "venues")
@@ -157,7 +163,7 @@ def reconcile(
         F.col("venue_id").alias("id"), "name",
         *[F.lit(None).cast("string").alias(c) for c in ("address", "website", "neighborhood")])
 
-    created = (number_rows(outcomes.where(F.col("outcome") == CREATED), ["i"], id_range(F.col("i"), width), "no")
+    created = (_numbered(outcomes.where(F.col("outcome") == CREATED), "i", width, stage)
                .withColumn("venue_key", name_key(F.col("venue_name"))))
     placed = lookup_join(created, matched.select("venue_key", "venue_id"), ["venue_key"], F.col("i"), **skew)
     new_gigs = placed.select(

@@ -53,9 +53,6 @@ from playbill.sources.pages import has_text, scrape_rows, successful
 from playbill.sources.seed import EXTRA_URLS
 from playbill.sources.store import Head, Store
 
-# Batches whose records one task numbers.
-_BATCHES_PER_RANGE = 4096
-
 
 @dataclass(frozen=True)
 class SyncOptions:
@@ -179,7 +176,7 @@ def run_sync(
         found = candidates(scored, o.tz, o.day_first)
     found = stage(found, "candidates")
 
-    result = reconcile(found, gigs, venues, stage, width=_BATCHES_PER_RANGE << POSITION_BITS)
+    result = reconcile(found, gigs, venues, stage)
     stats = sync_stats(unique, sources, details, result.outcomes)
     return SyncResult(unique, sources, details, scored, found, result, stats, batch_counts(scored))
 

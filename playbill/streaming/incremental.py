@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from playbill.functions.dates import DEFAULT_ZONE
-from playbill.operators.extraction import POSITION_BITS, candidates, extraction_index
+from playbill.operators.extraction import candidates, extraction_index
 from playbill.operators.keyed import number_sorted
 from playbill.operators.reconcile import reconcile
 from playbill.session import materialize
@@ -37,8 +37,7 @@ def apply_batch(store: Store, responses: DataFrame, source: str, batch_id: int,
     records = candidates(rows.select("batch", "response"), tz, day_first).drop("i").join(numbers.select("batch", "_no"), "batch")
     numbered = records.withColumn("batch", F.col("_no") - 1).drop("_no")
     found = materialize(numbered.withColumn("i", extraction_index(F.col("batch"), F.col("pos"))), "candidates")
-    result = reconcile(found, store.gigs(head), store.venues(head), materialize,
-                       width=4096 << POSITION_BITS)
+    result = reconcile(found, store.gigs(head), store.venues(head), materialize)
     store.append(result.gigs, result.venues, source, batch_id, base=head)
 
 

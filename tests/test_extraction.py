@@ -56,6 +56,15 @@ def test_batches(spark):
     assert got == {i: [str(10 * i), str(10 * i + 5)] for i in range(5)}
 
 
+def test_batches_of_sparse_keys(spark):
+    """Keys anywhere in 64 bits, without ranges given by the caller."""
+    pages = spark.range(5000).select(F.xxhash64("id").alias("id"), F.col("id").cast("string").alias("url"), F.lit("c").alias("content"))
+    got = sorted((r.batch, r.slot, r.id) for r in extraction.chunk(pages, ["id"], size=3).collect())
+    assert [(b, s) for b, s, _ in got] == [(n // 3, n % 3) for n in range(5000)]
+    assert [i for _, _, i in got] == sorted(r.id for r in pages.collect())
+    assert extraction.chunk(pages.limit(0), ["id"]).collect() == []
+
+
 @pytest.fixture(scope="module")
 def batches(spark):
     pages = [(0, [(0, "u0", "Red Lanterns @ STEGI 2026-02-15T20:00 €12-€15 heavy rock (https://www.more.com/w) doors 20:00")]),

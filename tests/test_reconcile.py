@@ -74,6 +74,31 @@ def test_matches_the_row_by_row_import(spark, seed, hot, limit):
     assert counts.gigs_extracted == counts.gigs_created + counts.gigs_skipped + counts.errors == len(rows)
 
 
+@pytest.mark.parametrize("sparse", [False, True])
+def test_new_ids_of_sparse_records(spark, sparse):
+    """Records numbered by hashes: ids follow their order, and no range holds more than twice the mean."""
+    sizes = {}
+
+    def stage(df, name):
+        out = materialize(df, name)
+        if name == "ranges":
+            sizes[len(sizes)] = [r["count"] for r in out.groupBy(F.shiftright("_m", 33)).count().collect()]
+        return out
+
+    n = 20_000
+    cand = spark.range(n).repartition(8).select(
+        (F.xxhash64("id") if sparse else F.col("id")).alias("i"),
+        F.concat(F.lit("Act "), "id").alias("title"), F.lit(datetime(2026, 2, 1)).cast("timestamp_ntz").alias("date"),
+        F.concat(F.lit("Hall "), F.col("id") % 5000).alias("venue_name"),
+        *[F.lit(None).cast("string").alias(c) for c in ("description", "price", "url")]).cache()
+    got = reconcile.reconcile(cand, spark.createDataFrame([], schemas.GIG), spark.createDataFrame([], schemas.VENUE), stage)
+    order = [r.title for r in cand.orderBy("i").collect()]
+    assert [r.title for r in got.gigs.orderBy("id").collect()] == order
+    assert sorted(r.id for r in got.gigs.collect()) == list(range(1, n + 1))
+    assert sorted(r.id for r in got.venues.collect()) == list(range(1, 5001))
+    assert sizes and all(len(s) == 1 or max(s) <= 2 * sum(s) / len(s) for s in sizes.values())
+
+
 def test_reject_reasons(spark):
     rows = [("a", "2026-01-01", "€1", "u"), (None, "2026-01-01", None, None), (LONG, "2026-01-01", None, None),
             ("a", None, None, None), ("a", "2026-01-01", "p" * 51, None), ("a", "2026-01-01", None, "u" * 501),
