@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from playbill.functions.base import let
+
 # Genres that are kept and genres that are skipped (fixed values).
 KEEP_GENRES = ("rock", "metal", "indie", "alternative", "folk", "post-rock", "shoegaze",
                "dark", "goth", "post-punk", "experimental", "noise", "ambient")
@@ -27,7 +30,10 @@ SOCIAL_HOSTS = ("facebook.com", "instagram.com", "twitter.com", "x.com", "tiktok
 def any_word(words: Sequence[str]) -> str:
     """A pattern for any of the words with no letter on either side."""
     escaped = "|".join(w.replace("-", "[- ]?") for w in words)
-    return rf"(?i)(^|[^\p{{L}}])({escaped})([^\p{{L}}]|$)"
+    # The first letters tell at most places that none of the words stands there.
+    first = "".join(sorted({w[:1] for w in words}))
+    hint = f"(?=[{first}])" if all(w[:1].isalpha() and w[1:2] not in ("?", "*", "{") and "|" not in w for w in words) and words else ""
+    return rf"(?i)(?:^|[^\p{{L}}]){hint}(?:{escaped})(?:[^\p{{L}}]|$)"
 
 
 def genre_ok(text: Column, keep: Sequence[str] = EXTRACTION_GENRES,
@@ -46,8 +52,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"\A[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def _any_path(patterns: Sequence[str]) -> str:
+    """A pattern for any of the path parts. Where all of them begin with a slash, it is tried at slashes only."""
+    whole = "|".join(patterns)
+    at_slash = all(re.match(r"/[a-z\\]", p) and "|" not in re.sub(r"\([^()]*\)", "", p) for p in patterns)
+    return f"(?=/)(?:{whole})" if patterns and at_slash else whole
+
+
 def is_event_link(url: Column, include: Sequence[str] = EVENT_PATHS,
                   exclude: Sequence[str] = OTHER_PATHS) -> Column:
     """The path looks like one event's page."""
     path = F.lower(url_path(url))
-    return path.rlike("|".join(include)) & ~path.rlike("|".join(exclude))
+    return let(path, lambda p: p.rlike(_any_path(include)) & ~p.rlike(_any_path(exclude)))

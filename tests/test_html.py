@@ -99,3 +99,13 @@ def test_choose_content(spark):
 
 def test_hostname(apply):
     assert apply(html.hostname, ["https://U:p@EX.com:81/x", "mailto:a@b", "http://a.b", "x"]) == ["ex.com", "", "a.b", ""]
+
+
+def test_plain_paths_resolve_like_all_others(spark):
+    """A path without dots takes a shorter way; with a base that is not in its plain form it does not."""
+    paths = ["/", "/a", "/a/b%20c", "/a[1]|x", "/a~b!$&'()*+,;=:@"]
+    for base, origin in (("https://ex.com/d?x", "https://ex.com"), ("https://EX.com:443/d", "https://ex.com"),
+                         ("http://u:p@ex.com/d", "http://u:p@ex.com"), ("http://ex.com:8080/d", "http://ex.com:8080")):
+        frame = spark.createDataFrame([(p,) for p in paths], "v string")
+        got = [r.o for r in frame.select(html.resolve_url(F.col("v"), F.lit(base)).alias("o")).collect()]
+        assert got == [origin + p for p in paths]

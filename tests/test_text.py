@@ -107,3 +107,22 @@ def test_event_links(apply):
     urls = ["https://x.gr/event/a", "https://x.gr/t/12", "https://x.gr/t/12a", "https://x.gr/events", "https://x.gr/",
             "https://x.gr/category/event/", "https://x.gr/show/events-night", "https://x.gr/GIG/x?y"]
     assert apply(rules.is_event_link, urls) == [True, True, False, False, False, False, True, True]
+
+
+def test_white_space_is_one_set(spark):
+    """The pattern, its short form and the plain characters name the same ones."""
+    every = spark.range(1, 0xD800).union(spark.range(0xE000, 0x10000)).select(F.decode(F.encode(F.char(F.lit(97)), "UTF-8"), "UTF-8").alias("a"), "id")
+    wide = every.select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    got = wide.where(F.col("c").rlike(rf"\A{base.WS}\z") != F.col("c").rlike(rf"\A[{base.SPACE}]\z")).collect()
+    assert got == []
+    trimmed = wide.where((base.trim_text(F.col("c")) == "") != F.col("c").rlike(rf"\A[{base.SPACE}]\z")).collect()
+    assert trimmed == []
+    assert wide.where(F.col("c").rlike(base.WS)).count() == len(base.SPACE_MARKS)
+
+
+def test_words_in_any_place(apply):
+    texts = ["rock", "Rocks", "hard rock!", "post rock", "krock", "hip-hop", "hip hop night", "λαϊκά", "άrock", "x\nrap", "trap"]
+    assert apply(lambda c: c.rlike(rules.any_word(rules.KEEP_GENRES)), texts) == [
+        True, False, True, True, False, False, False, False, False, False, False]
+    assert apply(lambda c: c.rlike(rules.any_word(rules.SKIP_GENRES)), texts) == [
+        False, False, False, False, False, True, True, True, False, True, True]
