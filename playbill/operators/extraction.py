@@ -81,9 +81,10 @@ def render_prompt(kind: str, **slots: Column) -> Column:
 
 # --- scoring ---------------------------------------------------------------
 
-_DATE = r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?)?|\d{2}/\d{2}/\d{4}"
+# Both shapes begin with two digits, which is all that most places of a text are looked at for.
+_DATE = r"\d\d(?:\d\d-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?)?|/\d{2}/\d{4})"
 _AMOUNT = r"\d+(?:[.,]\d+)?"
-_PRICE = (rf"(?i:sold\s*out|free (?:entry|admission)|€\s*{_AMOUNT}(?:\s*-\s*€?\s*{_AMOUNT})?"
+_PRICE = (rf"(?=[sSfF€\d])(?i:sold\s*out|free (?:entry|admission)|€\s*{_AMOUNT}(?:\s*-\s*€?\s*{_AMOUNT})?"
           rf"|{_AMOUNT}\s*(?:€(?!\d)|EUR))")
 _TICKET = rf"\((https?://[^\s()]*(?:{'|'.join(s.replace('.', r'[.]') for s in TICKET_SITES)})[^\s()]*)\)"
 
@@ -192,7 +193,15 @@ def extract_events(url: Column, content: Column) -> Column:
     page with one date that leads needs a venue, a price or a ticket link.
     """
     def gaps_of(text: Column, dates: Column) -> Column:
-        pieces = F.split(text, _DATE, -1)
+        return let(cut_at(text, dates), lambda pieces: read(pieces, dates))
+
+    def cut_at(text: Column, dates: Column) -> Column:
+        """What stands between the dates; one date alone is found again by its text, without the pattern."""
+        one = F.get(dates, F.lit(0))
+        head = F.call_function("substring_index", text, one, F.lit(1))
+        return F.when(F.size(dates) == 1, F.array(head, F.substr(text, F.length(head) + F.length(one) + 1))).otherwise(F.split(text, _DATE, -1))
+
+    def read(pieces: Column, dates: Column) -> Column:
         count = F.size(dates)
         # One date behind one plain headline with a venue: no reading of what follows can be ahead of that.
         head = F.get(pieces, F.lit(0))

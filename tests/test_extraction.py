@@ -182,3 +182,19 @@ def test_a_text_between_two_dates_counts_once(spark):
     frame = spark.createDataFrame([("u", "2026-02-15 Band One at Club A 2026-02-20"), ("v", "2026-02-15 | 2026-02-16")], "url string, content string")
     got = [[(e.title, e.date) for e in r.e] for r in frame.select(extraction.extract_events(F.col("url"), F.col("content")).alias("e")).collect()]
     assert [len(g) for g in got] == [1, 0] and got[0][0][0] == "Band One at Club A"
+
+
+def test_a_page_is_cut_at_its_dates_once(spark):
+    pages = spark.createDataFrame([("u", "Band @ Hall 2026-02-15 €10")], "url string, content string")
+    plan = pages.select(extraction.extract_events(F.col("url"), F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {extraction._DATE}, -1)") <= 2
+
+
+@pytest.mark.parametrize("content, dates", [
+    ("2026-02-15 Band @ Hall €10", ["2026-02-15"]), ("Band @ Hall 2026-02-15T20:30", ["2026-02-15T20:30"]),
+    ("Band @ Hall 15/02/2026 €10", ["15/02/2026"]), ("A @ B 2026-02-15 €1. C @ D 2026-02-15 €2.", ["2026-02-15"] * 2),
+    ("A @ B 2026-02-15T20 or later", ["2026-02-15"]), ("Act 12 @ Hall 3 2026-02-155 €1", ["2026-02-15"]), ("no date 12/3", [])])
+def test_dates_are_found_and_cut_off(spark, content, dates):
+    got = spark.createDataFrame([(content,)], "c string").select(extraction.extract_events(F.lit("u"), F.col("c")).alias("e")).first().e
+    assert [e.date for e in got] == dates
+    assert not any(d in e.title for e in got for d in dates)
