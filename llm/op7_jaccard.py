@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from llm.arrays import mix, slices, utf8
 from llm.components import components
 from llm.shingles import shingle_sets
-from llm.tables import documents, drop, stored
+from llm.tables import among, documents, drop, stored
 
 SIZE, LEAST = 5, 75
 # Turns of step 3; the last one takes all pairs that are left.
@@ -99,6 +99,22 @@ def verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             .where(linked(F.size("ha"), F.size("hb"), both, least)).select("a", "b"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(doc_id): rows of the pairs (a, b)."""
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def shared_cells(cells: DataFrame, counts: DataFrame, copies: DataFrame) -> DataFrame:
+    """Cells (doc_id, n, h) of the columns in `counts`, without those of `copies` (doc_id, rep). Copies are looked up
+    by the cells that are left: an anti-join would be pushed down to all lists of hashes and have them moved."""
+    return cells.join(counts, "h").join(copies, "doc_id", "left").where("rep is null").select("doc_id", "h", "n")
+
+
+def needed_texts(df: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) of the ids in `needed`, each id there once; other texts stay where they are."""
+    return among(df, needed, "doc_id").join(needed, "doc_id").select("doc_id", "text")
+
+
 def merged_columns(shared: DataFrame) -> DataFrame:
     """(h, c, m) over cells (doc_id, h): one column h for all m columns with the same c rows. Rows are
     compared by their number, least and greatest id, and three sums of 31-bit hashes. Columns of one row drop out."""
@@ -175,10 +191,12 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = nodes.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
     rep = stored(nodes.select("doc_id", "n", "sig").join(first, ["n", "sig"]).groupBy("doc_id").agg(F.min("rep").alias("rep")), "copies")
 
+    copies = stored(rep.where("rep <> doc_id"), "repeated")
     cells = nodes.select("doc_id", "n", F.explode("hs").alias("h"))
     counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "counts")
-    shared = stored(cells.join(counts, "h").join(rep.where("rep <> doc_id").select("doc_id"), "doc_id", "left_anti"), "shared")
-    drop([counts])
+    shared = stored(shared_cells(cells, counts, copies), "shared")
+    sizes = stored(rows.select("doc_id", "n"), "sizes")
+    drop([rows, counts, copies])
     columns = stored(merged_columns(shared), "columns")
     cells = stored(shared.join(columns, "h"), "cells")
     drop([shared, columns])
@@ -186,25 +204,27 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs, rest = stored(pairs, "pairs"), stored(rest, "open")
     drop([cells])
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(rest).distinct()
-    texts = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi")
+    needed = stored(ends(pairs).union(rest).distinct(), "needed")
+    texts = needed_texts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), needed)
     sets = stored(shingle_rows(texts, "doc_id", "text", size, None).select("doc_id", "n", "hs"), "sets")
 
     columns = stored(rare_columns(sets.join(rest, "doc_id", "left_semi"), least), "columns")
     found = [stored(verify(pairs.unionByName(spokes(columns, least, F.col("doc_id"))).distinct(), sets, least), "tied")]
+    groups = components(found[0], "a", "b")
     # Rows that one component already holds need not meet again. Other rows of each column are tried
     # before the rest, so that few rows of different components are left in one column.
     for turn in range(1, TURNS + 1):
-        groups = components(reduce(DataFrame.unionByName, found), "a", "b")
         apart = stored(split_columns(columns, groups), "apart")
-        met = spokes(apart, least, F.xxhash64("h", "doc_id", F.lit(turn))) if turn < TURNS else all_pairs(apart, least)
-        found.append(stored(verify(met, sets, least), "tied"))
+        met = stored(spokes(apart, least, F.xxhash64("h", "doc_id", F.lit(turn))) if turn < TURNS else all_pairs(apart, least), "met")
         drop([apart])
-    drop([pairs, rest, sets, columns])
+        if not met.isEmpty():
+            found.append(stored(verify(met, among(sets, ends(met), "doc_id"), least), "tied"))
+            groups = components(reduce(DataFrame.unionByName, found), "a", "b")
+        drop([met])
+    drop([needed, pairs, rest, sets, columns])
 
-    groups = components(reduce(DataFrame.unionByName, found), "a", "b")
     place = rep.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(place, "doc_id", "left")
+    out = sizes.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(place, "doc_id", "left")
     return out.select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from playbill.session import materialize
 
@@ -60,3 +61,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     finally:
         if before is not None:
             spark.conf.set(_CLEAN_UP, before)
+
+
+# Bits of the bitmaps that `among` sends to the tasks: 8 MB at most, whatever the number of keys.
+BITS = 1 << 26
+
+
+def among(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of `df` whose column `name` may be in that column of `keys` (of the same type): all that are, and,
+    while keys are few beside `BITS`, few others. A join that follows need not move the rest."""
+    place = (F.pmod(F.xxhash64(name), F.lit(BITS)) + 1).alias("_place")
+    bits = (keys.select(place).groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")))
+    placed = df.select("*", place).withColumns({"_bucket": F.bitmap_bucket_number("_place"), "_bit": F.bitmap_bit_position("_place")})
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return (placed.join(F.broadcast(bits), "_bucket").withColumn("_byte", byte)
+            .where(F.expr("mod(shiftright(_byte, cast(mod(_bit, 8) as int)), 2) = 1")).select(*df.columns))

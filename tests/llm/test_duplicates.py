@@ -2,12 +2,14 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm import components as cc
 from llm import op4_embeddings as op4
 from llm import op6_suffix as op6
 from llm import op7_jaccard as op7
+from llm import tables
 from llm.suffixes import common_prefixes, suffix_arrays
 from tests.llm.conftest import prose
 
@@ -206,3 +208,33 @@ def test_a_stored_count_lets_spark_split_a_hot_column(spark):
     columns = op7.stored(op7.merged_columns(cells), "columns")
     plan = op7.stored(cells, "shared").join(columns.hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Exchange") == 2
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_among_keeps_all_keys_and_few_other_rows(spark, kind):
+    rows = spark.range(20_000).selectExpr(f"cast(id as {kind}) as d", "id as v").union(spark.sql(f"select cast(null as {kind}), -1L"))
+    keys = spark.range(7, 20_000, 40).selectExpr(f"cast(id as {kind}) as d").union(spark.sql(f"select cast(7 as {kind})"))
+    got = tables.among(rows, keys, "d")
+    assert got.columns == ["d", "v"]
+    found = sorted(r.v for r in got.collect())
+    assert set(range(7, 20_000, 40)) <= set(found) and len(found) == len(set(found)) < 510
+    assert tables.among(rows, keys.limit(0), "d").collect() == []
+
+
+def test_jaccard_moves_no_text_that_it_does_not_need(make_docs, monkeypatch):
+    """Texts are filtered before the join with the ids needed, copies are looked up behind the join that drops most
+    cells, and a turn without pairs reads no sets."""
+    plans, checked, keep, verify = {}, [], op7.stored, op7.verify
+
+    def note(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(op7, "stored", note)
+    monkeypatch.setattr(op7, "verify", lambda *a: checked.append(1) or verify(*a))
+    base = prose(70, 80)
+    check_jaccard(make_docs([(1, base), (2, base), (3, base + " more"), *((10 + i, prose(80 + i, 60)) for i in range(20))]))
+    assert "LeftAnti" not in plans["shared"] and plans["shared"].index("LeftOuter") < plans["shared"].index("Inner")
+    joins = [line for line in plans["sets"].splitlines() if "Join" in line]
+    assert len(joins) == 2 and "_bucket" not in joins[0] and "_bucket" in joins[1]
+    assert len(checked) == 1
