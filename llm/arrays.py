@@ -15,6 +15,9 @@ import pyarrow as pa
 
 # Bytes of text and rows that one slice of a batch holds (a longer text is a slice of its own).
 SLICE_BYTES, SLICE_ROWS = 1_000_000, 1024
+# The same where a step makes many arrays with eight bytes for each byte of text: a worker
+# keeps what it once took, for all later steps of a job.
+HASH_BYTES = 1 << 18
 
 _ODD = 0x9E3779B97F4A7C15
 

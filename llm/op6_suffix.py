@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.arrays import SpanHash, ragged, slices, utf8, whole_groups
+from llm.arrays import HASH_BYTES, SpanHash, ragged, slices, utf8, whole_groups
 from llm.suffixes import common_prefixes, suffix_arrays
 from llm.tables import documents, drop, made, stored
 
@@ -73,7 +73,7 @@ def segment_rows(docs: DataFrame, width: int, full: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASH_BYTES):
                 row, start, count, anchor, whole = segments(*utf8(part.column("text")), width, ANCHOR, full)
                 if not full:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
@@ -94,7 +94,7 @@ def packed(df: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASH_BYTES):
                 data, offsets = utf8(part.column("text"))
                 raw, at = data.tobytes(), offsets.tolist()
                 yield pa.RecordBatch.from_arrays(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.arrays import mix, slices, utf8
+from llm.arrays import HASH_BYTES, mix, slices, utf8
 from llm.components import components
 from llm.shingles import shingle_sets
 from llm.tables import among, documents, drop, stored
@@ -57,7 +57,7 @@ def shingle_rows(df: DataFrame, doc_id: str, text: str, size: int, least: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", HASH_BYTES):
                 hashes, offsets = shingle_sets(*utf8(part.column("_text")), size)
                 n = np.diff(offsets)
                 sums = np.r_[np.uint64(0), np.cumsum(mix(hashes + np.uint64(0x51ED2701)))]

@@ -13,14 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Spark's default and ours: rows and bytes that a Python task gets at a time.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+          "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2000000b")}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts are long: unless the session names a number of its own, Python tasks get 1,000
-    rows at a time instead of Spark's 10,000, which bounds both sides' buffers."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "1000")
+    """Whole texts are long: unless the session names limits of its own, Python tasks get 1,000
+    rows or some 2 MB at a time instead of Spark's 10,000 or 64 MB, which bounds both sides' buffers."""
+    for name, (default, ours) in _BATCH.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
