@@ -47,8 +47,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     # Position-dependent multiples, so that the order of the words counts.
     factors = [np.uint64(f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                                       0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
-    for k in range(size):
-        out[: max(len(out) - k, 0)] += hashed[k:]  # a slice may hold fewer words than `size` * (factors[k % len(factors)] + np.uint64(2 * (k // len(factors))))
+    for k in range(size):  # the whole slice may hold fewer words
+        out[: max(len(out) - k, 0)] += hashed[k:] * (factors[k % len(factors)] + np.uint64(2 * (k // len(factors))))
     out = mix(out)
     row = np.repeat(np.arange(rows), count)
     keep = np.arange(len(out)) + size <= first[1:][row] if len(out) else np.zeros(0, bool)

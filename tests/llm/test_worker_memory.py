@@ -4,6 +4,7 @@ from llm import op6_suffix as op6
 from llm import op7_jaccard as op7
 from llm.tables import small_batches
 from tests.llm.conftest import prose
+from tests.llm.test_duplicates import shingles
 
 
 class Frame:
@@ -55,7 +56,9 @@ def test_segments_are_found_in_small_slices_and_stay_the_same(monkeypatch):
 
 def test_shingles_do_not_depend_on_the_slices(spark, messy, monkeypatch):
     def rows():
-        return sorted(map(str, op7.shingle_rows(messy, "doc_id", "text", 5, None).collect()))
+        found = op7.shingle_rows(messy, "doc_id", "text", 5, None).collect()
+        assert sorted(r.n for r in found) == sorted(len(shingles(r.text)) for r in messy.collect())
+        return sorted(map(str, found))
 
     whole = rows()
     monkeypatch.setattr(op7, "HASH_BYTES", 64)
