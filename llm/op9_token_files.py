@@ -5,20 +5,23 @@ its own, from a fresh model, so blocks can be read, checked and lost one by one.
 
     magic "TIB1", count (4 bytes), crc32 of the ids (4), crc32 of the body (4), body
 
-(little-endian; ids count as unsigned 32-bit integers in both sums). The body codes each id as four
-symbols of four bits, highest first. Each symbol is coded with odds that mix four predictions:
+(little-endian; ids count as unsigned 32-bit integers in both sums). The body codes each id as one
+symbol, with odds that mix four predictions:
 
-* order 0: adaptive counts of the symbols that followed this beginning of an id;
+* order 2: counts of up to four ids that followed the two ids before, the rarest gives way;
 * order 1: the same after the id before;
-* order 2: the same after the two ids before;
-* uniform odds, for what none of them has seen.
+* order 0: how often each id came in the block, counted again whenever a quarter more has come;
+* static odds for every id, half uniform and half falling with its length in bits.
 
-Their weights are learned as the block goes: one for each order and how often its context
-has been seen, raised or lowered by how much likelier than the mixture that prediction made the
-symbol. Contexts are hashed into `_ROWS` rows of counts for each order.
+Their weights are learned as the block goes: one for order 0, one for the static odds, and one for
+each of the other orders and how often its context has been seen, raised or lowered by how much
+likelier than the mixture that prediction made the id. The range lists the ids of orders 2 and 1
+first, each once and with the sum of what orders 0 to 2 give it, then those of order 0, then all. Contexts
+are hashed into `_ROWS` rows for each order.
 
 Blocks of a task are coded side by side: every step of the coder is a few array operations
-over all of them. All arithmetic is in integers, so writer and reader agree everywhere.
+over all of them. Ranges are integers; weights are single floats that are only added, multiplied, divided and
+compared one by one in a fixed order, which IEEE 754 rounds alike, so writer and reader agree everywhere.
 
 A part of the file is what one task codes: a range of document ids of about `PART_BYTES` of text (at
 least as many parts as the session has shuffle partitions), so their number grows with the table.
@@ -30,7 +33,11 @@ table gives an empty file. A damaged block raises an error that names it.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from llm.arrays import slices
 from llm.tables import documents
@@ -51,164 +59,298 @@ MODEL, END = "byte_bpe_50k.json", 2
 BLOCK = 4096
 # Blocks that are coded side by side.
 LANES = 1024
+# Words whose ids a worker keeps: their letters and 32 for each word.
+KNOWN = 1 << 24
+# White space as Unicode defines it.
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MAGIC = b"TIB1"
 FILE = "part int, block int, record binary, doc_id long, first long, n_tokens long"
 # Text of a part; the reader sends one row per part to its tasks (12 bytes: 38 MB for 100 TB).
 PART_BYTES = 32 << 20
-_TOP = np.uint64(1 << 24)
 _ROWS_BITS = 11
 _ROWS = 1 << _ROWS_BITS
-_ORDERS, _SEEN = 3, 8
-# What a symbol adds to its count in each order, as powers of two, and the largest total.
-_STEPS = np.array([[1], [4], [5]], np.int32)
-_ADDS = np.left_shift(1, _STEPS).astype(np.uint8)
-_FULL = 223
+_ROW = np.dtype("V16")
+# Counts of single ids by their last bits, for ids that another order names.
+_COMMON = 1 << 11
+_SEEN, _FULL = 8, 250
+# What the weights are scaled to in all.
+_SCALE = 1 << 35
 # Least and largest weight of a prediction.
-_LEAST, _MOST = 16, 1 << 16
+_LEAST, _MOST = np.float32(1 / 64), np.float32(16)
+_SLOTS = np.arange(8, dtype=np.int8)[:, None]
+_FOUR = np.arange(4, dtype=np.uint16)[:, None]
+# Static odds: half of them uniform, half spread evenly over the lengths of an id in bits.
+_OCTAVES = np.array([0, *(1 << k for k in range(16))])
+_WIDE = np.diff(np.r_[_OCTAVES, 1 << 16])
+_OCTAVE_OF = np.repeat(np.arange(17), _WIDE)
+_STATIC_EACH = 8 + (1 << 19) // 17 // _WIDE
+_STATIC_FROM = np.cumsum(_STATIC_EACH * _WIDE) - _STATIC_EACH * _WIDE
+_STATIC_ALL = int((_STATIC_EACH * _WIDE).sum())
+_ONES = (1 << 64) - 1
+_16, _48 = np.uint64(16), np.uint64(48)
+_WORD, _NARROW = np.uint64(1 << 48), np.uint64(1 << 44)
 
 
 class _Model:
-    """State of the predictors of every lane. `frequencies` and `learn` are all that the writer and
-    the reader share, and `frequencies` does not look at the symbol to come. Lanes from `m` on have
-    ended."""
+    """State of the predictors of every lane, and the range of the id to come. `ranges` and `learn` are
+    all that the writer and the reader share, and `ranges` does not look at the id to come. Lanes from
+    `m` on have ended."""
 
     def __init__(self, lanes: int):
-        self.counts = np.zeros((_ORDERS * lanes * _ROWS, 16), np.uint8)
-        self.totals = np.zeros(_ORDERS * lanes * _ROWS, np.uint8)
-        self.weights = np.full((_ORDERS + 1) * lanes * _SEEN, 1 << 12, np.int32)
-        self.first = np.arange(_ORDERS * lanes).reshape(_ORDERS, lanes) * _ROWS
-        self.own = np.arange((_ORDERS + 1) * lanes).reshape(_ORDERS + 1, lanes) * _SEEN
+        # Of orders 2 and 1: four ids and their counts for each row.
+        self.rows = np.zeros(2 * lanes * _ROWS, _ROW)
+        self.counts = np.zeros(lanes * _COMMON, np.uint16)
+        self.weights = np.ones(2 * lanes * _SEEN, np.float32)
+        self.others = np.ones((2, lanes), np.float32)
+        self.first = np.arange(2 * lanes).reshape(2, lanes) * _ROWS
+        self.own = np.arange(2 * lanes).reshape(2, lanes) * _SEEN
         self.lanes = np.arange(lanes)
-        self.key = np.zeros((_ORDERS, lanes), np.uint32)
-        self.one = np.zeros(lanes, np.uint32)
-
-    def frequencies(self, m: int, prefix: np.ndarray) -> np.ndarray:
-        """(16, m) running sums of the odds of the next symbol of an id that begins with `prefix`; all below 65536."""
-        mixed = (self.key[:, :m] + prefix * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
+        self.own_counts = self.lanes * _COMMON
+        self.key = np.zeros((2, lanes), np.uint32)
+        self.t = self.size = 0
+
+    def recount(self, ids: np.ndarray) -> None:
+        """Order 0 from here on: `ids` so far, in order for each lane, with the start and the length of every run of equal ones."""
+        self.size, m = ids.shape
+        kind = np.int32 if m <= 1 << 14 else np.int64
+        known = np.sort(ids.T.astype(kind), axis=1)
+        known += (self.lanes[:m, None] << 16).astype(kind)
+        self.known = known.reshape(-1)
+        if self.size:
+            starts = np.flatnonzero(np.r_[True, self.known[1:] != self.known[:-1]]).astype(kind)
+            lengths = np.diff(np.r_[starts, kind(len(self.known))])
+            self.start, self.length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
+
+    def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of `ids`, a row per step: its place among the ids of order 0 and how often it is there."""
+        steps, m = ids.shape
+        place, often = np.zeros((2, steps, m), np.int64)
+        if self.size:
+            bits = steps.bit_length()
+            keys = ids.T + (self.lanes[:m, None] << 16)
+            keys = np.sort((keys << bits) + np.arange(steps), axis=1)
+            step = keys & ((1 << bits) - 1)
+            keys >>= bits
+            at = np.searchsorted(self.known, keys.astype(self.known.dtype).reshape(-1)).reshape(m, steps)
+            np.minimum(at, len(self.known) - 1, out=at)
+            lanes = np.broadcast_to(self.lanes[:m, None], at.shape)
+            place[step, lanes] = at - lanes * self.size
+            often[step, lanes] = np.where(self.known[at] == keys, self.length[at], 0)
+        return place, often
+
+    def ranges(self, m: int) -> np.ndarray:
+        """(11, m) running sums of the odds: four ids of order 2, four of order 1, all ids of order 0, all there are."""
+        mixed = self.key[:, :m] * np.uint32(0x85EBCA6B)
         self.at = self.first[:, :m] + (mixed >> np.uint32(32 - _ROWS_BITS))
-        self.seen = self.counts.take(self.at, axis=0)
-        total = self.totals.take(self.at).astype(np.int32)
-        self.known = total > 0
-        self.total = np.maximum(total, 1)
-        bucket = np.minimum((total + (1 << _STEPS) - 1) >> _STEPS, _SEEN - 1)
-        self.place = self.own[:, :m] + np.concatenate([bucket, bucket[:1]])
+        rows = self.rows.take(self.at).view(np.uint16).reshape(2, m, 8)
+        self.seen = np.ascontiguousarray(rows.transpose(0, 2, 1))
+        ids, often = self.seen[:, :4], self.seen[:, 4:]
+        total = often[:, 0] + often[:, 1]
+        total += often[:, 2]
+        total += often[:, 3]
+        self.total = np.maximum(total, 1).astype(np.float32)
+        self.place = self.own[:, :m] + np.minimum(total, _SEEN - 1)
         self.w = self.weights.take(self.place)
-        use = self.w.copy()
-        use[:_ORDERS] *= self.known
-        # At most 2^16 (a weight) by 2^14: within 32 bits.
-        share = (use << 14) // use.sum(0, dtype=np.int32) << 1
-        parts = np.ascontiguousarray(self.seen.transpose(2, 0, 1), np.int32)
-        parts *= share[:_ORDERS] // self.total
-        run = parts[:, 0] + parts[:, 1]
-        run += parts[:, 2]
-        run += (share[_ORDERS] >> 4) + 1
-        for k in range(1, 16):
+        use = self.w * (total > 0)
+        zero, rest = self.others[:, :m]
+        scale = use[0] + use[1]
+        if self.size:
+            scale += zero
+        scale += rest
+        scale = np.float32(_SCALE) / scale
+        use *= scale
+        use /= self.total
+        mass = often * use[:, None]
+        some = often > 0
+        # An id of both orders stands with order 2.
+        for k in range(4):
+            same = ids[1] == ids[0, k]
+            same &= some[0, k]
+            same &= some[1]
+            more = mass[1] * same
+            mass[0, k] += more[0] + more[1] + (more[2] + more[3])
+            some[1] &= ~same
+        if self.size:
+            common = self.counts.take((ids & np.uint16(_COMMON - 1)) + self.own_counts[:m]) * some
+            mass += common * (zero * scale / np.float32(self.t))
+            # What order 0 gives to these eight is not given to them once more.
+            twice = np.add.reduce(common.reshape(8, m), axis=0, dtype=np.uint16) / np.float32(self.t)
+            twice *= twice
+            zero = zero * np.maximum(np.float32(1) - twice, _LEAST)
+        mass *= some
+        run = np.zeros((11, m), np.int64)
+        run[1:9] = mass.reshape(8, m)
+        for k in range(2, 9):
             run[k] += run[k - 1]
+        self.each = np.maximum((zero * scale / np.float32(max(self.size, 1))).astype(np.int64), 1)
+        self.unit = (rest * scale / np.float32(_STATIC_ALL)).astype(np.int64)
+        np.add(run[8], self.each * self.size, out=run[9])
+        np.add(run[9], self.unit * _STATIC_ALL, out=run[10])
+        self.run = run
         return run
 
-    def learn(self, m: int, symbol: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """The symbol that came and its odds, `size` in `total`."""
+    def symbol(self, m: int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids in whose odds the targets lie, with their places and numbers in order 0 where it holds them."""
         lanes = self.lanes[:m]
-        count = self.seen[:, lanes, symbol]
-        mixture = np.maximum((size << 15) // total, 1)
-        made = np.empty((_ORDERS + 1, m), np.int32)
-        made[:_ORDERS] = (count.astype(np.int32) << 15) // self.total
-        made[_ORDERS] = 1 << 11
-        better = np.minimum((made << 8) // mixture, 2048) - 256
-        better[:_ORDERS] *= self.known
-        better *= self.w >> 4
-        better >>= 8
-        better += self.w
-        self.weights[self.place] = np.minimum(np.maximum(better, _LEAST, out=better), _MOST, out=better)
-        self.counts.reshape(-1)[self.at * 16 + symbol] = count + _ADDS
-        now = self.totals.take(self.at) + _ADDS
-        self.totals[self.at] = now
-        full = self.at[now > _FULL]
-        if len(full):
-            half = self.counts[full] >> 1
-            self.counts[full] = half
-            self.totals[full] = half.sum(1)
-
-    def follow(self, m: int, ids: np.ndarray) -> None:
-        """Sets the contexts of what follows `ids`."""
+        slot = np.add.reduce(self.run[1:9] <= target, axis=0, dtype=np.int64)
+        ids = self.seen[:, :4].reshape(8, m)[np.minimum(slot, 7), lanes].astype(np.int64)
+        place, often = np.zeros((2, m), np.int64)
+        far = np.flatnonzero(target >= self.run[9])
+        spot = (target[far] - self.run[9, far]) // self.unit[far]
+        octave = np.searchsorted(_STATIC_FROM, spot, "right") - 1
+        ids[far] = (_OCTAVES[octave] + (spot - _STATIC_FROM[octave]) // _STATIC_EACH[octave])
+        near = np.flatnonzero((slot == 8) & (target < self.run[9]))
+        if len(near):
+            first = near * self.size
+            at = first + np.minimum((target[near] - self.run[8, near]) // self.each[near], self.size - 1)
+            ids[near], place[near], often[near] = self.known[at] & 0xFFFF, self.start[at] - first, self.length[at]
+        return ids, place, often
+
+    def span(self, m: int, ids: np.ndarray, place: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the odds of `ids`."""
+        self.hit = self.seen[:, :4] == ids.astype(np.uint16)
+        self.hit &= self.seen[:, 4:] > 0
+        self.any = self.hit[:, 0] | self.hit[:, 1] | self.hit[:, 2] | self.hit[:, 3]
+        slots = self.hit.reshape(8, m)
+        slot = np.add.reduce(slots[1:4] * _SLOTS[1:4], axis=0, dtype=np.int64)
+        slot += np.add.reduce(slots[4:] * _SLOTS[4:], axis=0, dtype=np.int64) * ~self.any[0]
+        octave = _OCTAVE_OF[ids]
+        here, lanes = self.any[0] | self.any[1], self.lanes[:m]
+        at = slot * m + lanes
+        flat = self.run.reshape(-1)
+        start = flat.take(at)
+        at += m
+        size = flat.take(at) - start
+        self.static = _STATIC_EACH[octave]
+        far = (_STATIC_FROM[octave] + (ids - _OCTAVES[octave]) * self.static) * self.unit
+        held = often > 0
+        start = np.where(here, start, np.where(held, self.run[8] + place * self.each, self.run[9] + far))
+        size = np.where(here, size, np.where(held, often * self.each, self.static * self.unit))
+        return start, size
+
+    def learn(self, m: int, ids: np.ndarray, size: np.ndarray) -> None:
+        """The id that came and its odds."""
+        likely = (self.run[10] / size).astype(np.float32)
+        likely *= np.float32(1 / 16)
+        often = self.seen[:, 4:]
+        chosen = often * self.hit
+        came = (chosen[:, 0] + chosen[:, 1] + (chosen[:, 2] + chosen[:, 3])) / self.total
+        came *= likely
+        np.minimum(came, np.float32(0.5), out=came)
+        came += np.float32(15 / 16)
+        came *= self.w
+        self.weights[self.place] = np.minimum(np.maximum(came, _LEAST, out=came), _MOST, out=came)
+        at = (ids & (_COMMON - 1)) + self.own_counts[:m]
+        common = self.counts.take(at)
+        self.counts[at] = common + np.uint16(1)
+        came = np.empty((2, m), np.float32)
+        np.multiply(common, np.float32(1 / max(self.t, 1)), out=came[0])
+        np.multiply(self.static, np.float32(1 / _STATIC_ALL), out=came[1], casting="unsafe")
+        came *= likely
+        np.minimum(came, np.float32(0.5), out=came)
+        came += np.float32(15 / 16)
+        others = self.others[:, :m]
+        first = 0 if self.size else 1
+        others[first:] *= came[first:]
+        np.minimum(np.maximum(others, _LEAST, out=others), _MOST, out=others)
+        # The rarest of the four gives way to an id that is not among them.
+        rank = (often << 2) + _FOUR
+        least = np.minimum(np.minimum(rank[:, 0], rank[:, 1]), np.minimum(rank[:, 2], rank[:, 3]))
+        fresh = rank == least[:, None]
+        fresh &= ~self.any[:, None]
+        np.copyto(self.seen[:, :4], ids.astype(np.uint16), where=fresh)
+        often *= ~fresh
+        often += fresh
+        often += self.hit
+        most = often.max(axis=1)
+        if most.max() > _FULL:
+            often >>= (most > _FULL)[:, None]
+        self.rows[self.at] = np.ascontiguousarray(self.seen.transpose(0, 2, 1)).view(_ROW)[..., 0]
+        # Contexts of what follows.
         new = ids.astype(np.uint32)
-        self.key[2, :m] = new * np.uint32(0x27D4EB2F) + self.one[:m] * np.uint32(0x165667B1) + np.uint32(0x3C6EF372)
-        self.key[1, :m] = new * np.uint32(0x27D4EB2F) + np.uint32(0x1B873593)
-        self.one[:m] = new
+        own = new * np.uint32(0x27D4EB2F)
+        self.key[0, :m] = own + self.key[1, :m] * np.uint32(0x165667B1) + np.uint32(0x3C6EF372)
+        self.key[1, :m] = own + np.uint32(0x1B873593)
+        self.t += 1
 
 
-class _Writer:
-    """Byte-wise range coder with carry, one lane per block."""
+class _Range:
+    """Range coder of 64 bits, one lane per block; words of 16 bits leave it. A range that is narrow
+    but lies across a word's edge keeps its larger side."""
 
-    def __init__(self, lanes: int, room: int):
+    def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.out = np.zeros((lanes, room), np.uint8)
-        self.n = np.zeros(lanes, np.int64)
+        self.high = np.full(lanes, _ONES, np.uint64)
 
-    def put(self, m: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = self.range[:m] // total.astype(np.uint64)
-        low = self.low[:m]
-        low += part * start.astype(np.uint64)
-        self.range[:m] = part * size.astype(np.uint64)
-        lanes = np.flatnonzero(low >> np.uint64(32))
-        if len(lanes):
-            low[lanes] &= np.uint64(0xFFFFFFFF)
-            at = self.n[lanes] - 1
-            while len(lanes):  # a carry goes on through bytes that overflow
-                self.out[lanes, at] += 1
-                on = self.out[lanes, at] == 0
-                lanes, at = lanes[on], at[on] - 1
-        lanes = np.flatnonzero(self.range[:m] < _TOP)
+    def part(self, m: int, total: np.ndarray) -> np.ndarray:
+        self.each = (self.high[:m] - self.low[:m]) // total.astype(np.uint64)
+        return self.each
+
+    def narrow(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        low, high = self.low[:m], self.high[:m]
+        low += self.each * start.astype(np.uint64)
+        np.add(low, self.each * size.astype(np.uint64) - np.uint64(1), out=high)
+        lanes = np.flatnonzero(((low ^ high) < _WORD) | ((high - low) < _NARROW))
         while len(lanes):
-            old = self.low[lanes]
-            self.out[lanes, self.n[lanes]] = (old >> np.uint64(24)).astype(np.uint8)
-            self.n[lanes] += 1
-            self.low[lanes] = (old << np.uint64(8)) & np.uint64(0xFFFFFFFF)
-            self.range[lanes] <<= np.uint64(8)
-            lanes = lanes[self.range[lanes] < _TOP]
+            a, b = low[lanes], high[lanes]
+            edge = b >> _48 << _48
+            across = np.flatnonzero(edge > a)
+            if len(across):
+                x, y, e = a[across], b[across], edge[across]
+                upper = y - e >= e - x
+                a[across], b[across] = np.where(upper, e, x), np.where(upper, y, e - np.uint64(1))
+            self.word(lanes, a)
+            a <<= _16
+            b <<= _16
+            b |= np.uint64(0xFFFF)
+            low[lanes], high[lanes] = a, b
+            lanes = lanes[((a ^ b) < _WORD) | ((b - a) < _NARROW)]
+
+    def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        raise NotImplementedError
+
+
+class _Writer(_Range):
+    def __init__(self, lanes: int, room: int):
+        super().__init__(lanes)
+        self.out = np.zeros((lanes, room), ">u2")
+        self.n = np.zeros(lanes, np.int64)
+
+    def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = self.n[lanes]
+        if at.max() >= self.out.shape[1]:
+            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
+        self.out[lanes, at] = low >> _48
+        self.n[lanes] = at + 1
 
     def close(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[np.arange(len(self.n)), self.n] = (self.low >> np.uint64(24)).astype(np.uint8)
-            self.n += 1
-            self.low = (self.low << np.uint64(8)) & np.uint64(0xFFFFFFFF)
-        return [self.out[i, : self.n[i]].tobytes() for i in range(len(self.n))]
+        """The words, and the fewest bytes that stay in the range whatever follows them is taken for zeros."""
+        bodies = []
+        for i, (low, high, n) in enumerate(zip(self.low.tolist(), self.high.tolist(), self.n.tolist())):
+            size = next(k for k in range(9) if -(-low >> 64 - 8 * k) << 64 - 8 * k <= high)
+            bodies.append(self.out[i, :n].tobytes() + (-(-low >> 64 - 8 * size)).to_bytes(size, "big"))
+        return bodies
 
 
-class _Reader:
+class _Reader(_Range):
     def __init__(self, bodies: list[bytes]):
-        most = max(map(len, bodies)) + 8
-        self.data = np.zeros((len(bodies), most), np.uint8)
+        super().__init__(len(bodies))
+        self.data = np.zeros((len(bodies), max(map(len, bodies)) // 2 + 6), ">u2")
+        raw = self.data.view(np.uint8)
         for i, b in enumerate(bodies):
-            self.data[i, : len(b)] = np.frombuffer(b, np.uint8)
+            raw[i, : len(b)] = np.frombuffer(b, np.uint8)
         self.code = np.zeros(len(bodies), np.uint64)
         for k in range(4):
-            self.code = self.code << np.uint64(8) | self.data[:, k].astype(np.uint64)
-        self.range = np.full(len(bodies), 0xFFFFFFFF, np.uint64)
+            self.code = self.code << _16 | self.data[:, k].astype(np.uint64)
         self.n = np.full(len(bodies), 4)
 
-    def place(self, m: int, total: np.ndarray) -> np.ndarray:
-        self.part = self.range[:m] // total.astype(np.uint64)
-        return np.minimum((self.code[:m] // self.part).astype(np.int32), total - 1)
+    def target(self, m: int, total: np.ndarray) -> np.ndarray:
+        return np.minimum(((self.code[:m] - self.low[:m]) // self.part(m, total)).astype(np.int64), total - 1)
 
-    def take(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
-        self.code[:m] -= self.part * start.astype(np.uint64)
-        self.range[:m] = self.part * size.astype(np.uint64)
-        lanes = np.flatnonzero(self.range[:m] < _TOP)
-        while len(lanes):
-            at = np.minimum(self.n[lanes], self.data.shape[1] - 1)
-            self.code[lanes] = self.code[lanes] << np.uint64(8) | self.data[lanes, at].astype(np.uint64)
-            self.n[lanes] += 1
-            self.range[lanes] <<= np.uint64(8)
-            lanes = lanes[self.range[lanes] < _TOP]
-
-
-def _span(run: np.ndarray, symbol: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, total) of each lane's symbol in the running sums of its odds."""
-    end = run[symbol, lanes]
-    start = np.where(symbol > 0, run[symbol - 1, lanes], 0)
-    return start, end - start, run[15]
+    def word(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        at = np.minimum(self.n[lanes], self.data.shape[1] - 1)
+        self.code[lanes] = self.code[lanes] << _16 | self.data[lanes, at].astype(np.uint64)
+        self.n[lanes] += 1
 
 
 def _longest_first(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,23 +361,29 @@ def _longest_first(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return order, len(size) - np.searchsorted(np.sort(size), steps, "right")
 
 
+def _counted(t: int) -> int:
+    """When order 0 is counted again after step t."""
+    return t + max(8, t // 4)
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Bodies of blocks of ids below 65536."""
     order, going = _longest_first([len(b) for b in blocks])
     ids = np.zeros((len(going), len(blocks)), np.int32)
     for lane, i in enumerate(order.tolist()):
         ids[: len(blocks[i]), lane] = blocks[i]
-    model, out = _Model(len(blocks)), _Writer(len(blocks), len(going) * 8 + 16)
-    for now, m in zip(ids, going.tolist()):
-        prefix, lanes = np.ones(m, np.uint32), model.lanes[:m]
-        for shift in (12, 8, 4, 0):
-            symbol = (now[:m] >> shift) & 15
-            run = model.frequencies(m, prefix)
-            start, size, total = _span(run, symbol, lanes)
-            out.put(m, start, size, total)
-            model.learn(m, symbol, size, total)
-            prefix = prefix << np.uint32(4) | symbol.astype(np.uint32)
-        model.follow(m, now[:m])
+    model, out, until = _Model(len(blocks)), _Writer(len(blocks), len(going) + 8), 0
+    for t, m in enumerate(going.tolist()):
+        if t == until:
+            since, until = t, _counted(t)
+            model.recount(ids[:t, :m])
+            places, often = model.found(ids[t:until, :m])
+        now = ids[t, :m]
+        run = model.ranges(m)
+        start, size = model.span(m, now, places[t - since, :m], often[t - since, :m])
+        out.part(m, run[10])
+        out.narrow(m, start, size)
+        model.learn(m, now, size)
     bodies: list[bytes] = [b""] * len(blocks)
     for i, body in zip(order.tolist(), out.close()):
         bodies[i] = body
@@ -247,18 +395,17 @@ def decode_blocks(bodies: list[bytes], counts: list[int]) -> list[np.ndarray]:
         return []
     order, going = _longest_first(counts)
     ids = np.zeros((len(going), len(bodies)), np.int32)
-    model, src = _Model(len(bodies)), _Reader([bodies[i] for i in order.tolist()])
-    for now, m in zip(ids, going.tolist()):
-        prefix, lanes = np.ones(m, np.uint32), model.lanes[:m]
-        for _ in range(4):
-            run = model.frequencies(m, prefix)
-            symbol = np.add.reduce(run <= src.place(m, run[15]), axis=0, dtype=np.int32)
-            start, size, total = _span(run, symbol, lanes)
-            src.take(m, start, size)
-            model.learn(m, symbol, size, total)
-            prefix = prefix << np.uint32(4) | symbol.astype(np.uint32)
-        now[:m] = prefix & np.uint32(0xFFFF)
-        model.follow(m, now[:m])
+    model, src, until = _Model(len(bodies)), _Reader([bodies[i] for i in order.tolist()]), 0
+    for t, m in enumerate(going.tolist()):
+        if t == until:
+            until = _counted(t)
+            model.recount(ids[:t, :m])
+        run = model.ranges(m)
+        now, place, often = model.symbol(m, src.target(m, run[10]))
+        start, size = model.span(m, now, place, often)
+        src.narrow(m, start, size)
+        model.learn(m, now, size)
+        ids[t, :m] = now
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(bodies)
     for lane, i in enumerate(order.tolist()):
         out[i] = ids[: counts[i], lane].astype(np.int64)
@@ -284,11 +431,61 @@ def unpack(records: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+@lru_cache(maxsize=1)
+def _word_pattern() -> re.Pattern:
+    """`public_tokenizers.PATTERN` with its classes spelled out, which `re` looks up at once for 16 bits. Larger code
+    points and those that Python does not know are in no class: a text that holds some is not spelled by its words."""
+    kinds: dict[str, list[str]] = {"L": [], "N": [], "C": []}
+    names = "".join("S" if chr(c) in _SPACE else "C" if (k := unicodedata.category(chr(c))) == "Cn" else k[0] if k[0] in "LN" else "O" for c in range(0x10000))
+    for run in re.finditer(r"L+|N+|C+", names):
+        kinds[run[0][0]].append(f"\\U{run.start():08x}-\\U{run.end() - 1:08x}")
+    L, N, C = ("".join(kinds[k]) for k in "LNC")
+    C += "\\U00010000-\\U0010ffff"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{_SPACE}{L}{N}{C}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+class _Encoder:
+    """Ids by the library. Where it cuts texts by `public_tokenizers.PATTERN`, it is asked once for each
+    word that a task meets (until `KNOWN` is full), else and for texts with special strings for the whole text."""
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        spec = json.loads(self.library.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        self.by_word = (spec["normalizer"] is None and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
+                        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[str, bytes] = {}
+        self.room = KNOWN
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}H", *ids) for ids in (c.ids for c in self.library.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def words(self, text: str) -> list[str] | None:
+        if not self.by_word or any(s in text for s in self.special):
+            return None
+        found = _word_pattern().findall(text)
+        return found if sum(map(len, found)) == len(text) else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 16-bit integers."""
+        words = [self.words(t) for t in texts]
+        met = set().union(*(w for w in words if w is not None))
+        fresh = list(met.difference(self.known))
+        self.room -= sum(map(len, fresh)) + 32 * len(fresh)
+        if self.room < 0:
+            self.known.clear()
+            self.room, fresh = KNOWN - sum(map(len, met)) - 32 * len(met), list(met)
+        self.known.update(zip(fresh, self.ask(fresh)))
+        whole = iter(self.ask([t for t, w in zip(texts, words) if w is None]))
+        return [next(whole) if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
+
 
-    return Tokenizer.from_file(path)
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def token_ids(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = END) -> DataFrame:
@@ -296,15 +493,14 @@ def token_ids(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
     picked = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
-        tokenizer = _tokenizer(path or public_tokenizers.path(MODEL))  # of the machine that runs the task
+        last = np.array([end], "<u2").tobytes()
+        encoder = _encoder(path or public_tokenizers.path(MODEL))  # of the machine that runs the task
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
-                coded = tokenizer.encode_batch_fast(part.column("text").fill_null("").to_pylist(), add_special_tokens=False)
+                coded = encoder.encode(part.column("text").fill_null("").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([np.array([*c.ids, end], "<u2").tobytes() for c in coded], pa.binary())], ["doc_id", "ids"])
+                    [part.column("doc_id"), pa.array([c + last for c in coded], pa.binary())], ["doc_id", "ids"])
 
     return picked.mapInArrow(run, "doc_id long, ids binary")
 
