@@ -118,3 +118,46 @@ def test_parts_are_ranges_of_ids(make_docs, tmp_path):
     assert least == sorted(least)
     got = op9.read_token_files(docs.sparkSession, str(tmp_path / "f")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, None, *(i * i for i in range(400))]
+
+
+def test_an_id_is_one_step_of_the_coder(monkeypatch):
+    steps, narrow = [], op9._Range.narrow
+    monkeypatch.setattr(op9._Range, "narrow", lambda self, m, *odds: (steps.append(m), narrow(self, m, *odds))[1])
+    blocks = [np.arange(40) % 7, np.arange(25)]
+    bodies = op9.encode_blocks(blocks)
+    assert sum(steps) == 65
+    op9.decode_blocks(bodies, [40, 25])
+    assert sum(steps) == 130
+
+
+def test_frequent_ids_take_few_bits():
+    rng = np.random.default_rng(7)
+    odds = 1 / np.arange(1, 400)
+    odds /= odds.sum()
+    ids = rng.permutation(50000)[:399][rng.choice(399, 4096, p=odds)]
+    body = op9.encode_blocks([ids])[0]
+    # What the ids hold in themselves, and two bytes for each of 399 that are new.
+    assert len(body) < 1.15 * (-(odds * np.log2(odds)).sum() * 4096 / 8 + 399 * 2)
+    assert np.array_equal(op9.decode_blocks([body], [4096])[0], ids)
+
+
+def test_words_spell_every_code_point_as_the_library_does():
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x20000, 999)]]
+    texts = ["".join(f"a{c}b {c}{c}1{c}2 {c}!{c}?  {c} \n{c}\n {c}'s{c}  " for c in points[a : a + 50]) for a in range(0, len(points), 50)]
+    texts += [*ODD, "x<|endoftext|>y", "", " " * 500]
+    got = op9._Encoder(public_tokenizers.path(op9.MODEL)).encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == BYTES.encode(text, add_special_tokens=False).ids
+
+
+def test_the_library_is_asked_once_for_a_word(monkeypatch):
+    encoder = op9._Encoder(public_tokenizers.path(op9.MODEL))
+    asked, ask = [], encoder.ask
+    monkeypatch.setattr(encoder, "ask", lambda texts: asked.extend(texts) or ask(texts))
+    texts = ["one two three two", "two three", "one"] * 30
+    first = encoder.encode(texts)
+    assert sorted(asked) == [" three", " two", "one", "two"]
+    assert encoder.encode(texts) == first and len(asked) == 4
+    monkeypatch.setattr(op9, "KNOWN", 40)
+    encoder.room = 0
+    assert encoder.encode(["four", *texts])[1:] == first
