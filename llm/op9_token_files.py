@@ -58,7 +58,7 @@ from playbill.session import new_work_dir
 MODEL, END = "byte_bpe_50k.json", 2
 BLOCK = 4096
 # Blocks that are coded side by side.
-LANES = 1024
+LANES = 2048
 # Words whose ids a worker keeps: their letters and 32 for each word.
 KNOWN = 1 << 24
 # White space as Unicode defines it.
@@ -112,8 +112,10 @@ class _Model:
     def recount(self, ids: np.ndarray) -> None:
         """Order 0 from here on: `ids` so far, in order for each lane, with the start and the length of every run of equal ones."""
         self.size, m = ids.shape
+        self.known = self.start = self.length = None  # frees what was counted before
         kind = np.int32 if m <= 1 << 14 else np.int64
-        known = np.sort(ids.T.astype(kind), axis=1)
+        known = ids.T.astype(kind, order="C")
+        known.sort(axis=1)
         known += (self.lanes[:m, None] << 16).astype(kind)
         self.known = known.reshape(-1)
         if self.size:
@@ -124,16 +126,16 @@ class _Model:
     def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each of `ids`, a row per step: its place among the ids of order 0 and how often it is there."""
         steps, m = ids.shape
-        place, often = np.zeros((2, steps, m), np.int64)
-        if self.size:
-            bits = steps.bit_length()
-            keys = ids.T + (self.lanes[:m, None] << 16)
-            keys = np.sort((keys << bits) + np.arange(steps), axis=1)
+        place, often = np.zeros((2, steps, m), np.int32)
+        bits = steps.bit_length()
+        for a in range(0, m if self.size else 0, 256):  # lanes at a time, which bounds the keys held
+            lanes = self.lanes[a : min(a + 256, m), None]
+            keys = (ids[:, a : a + 256].T + (lanes << 16) << bits) + np.arange(steps)
+            keys.sort(axis=1)
             step = keys & ((1 << bits) - 1)
             keys >>= bits
-            at = np.searchsorted(self.known, keys.astype(self.known.dtype).reshape(-1)).reshape(m, steps)
+            at = np.searchsorted(self.known, keys.astype(self.known.dtype).reshape(-1)).reshape(keys.shape)
             np.minimum(at, len(self.known) - 1, out=at)
-            lanes = np.broadcast_to(self.lanes[:m, None], at.shape)
             place[step, lanes] = at - lanes * self.size
             often[step, lanes] = np.where(self.known[at] == keys, self.length[at], 0)
         return place, often
